@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op1_language_id
 from .simhash import op6_simhash
+from .substring import ORACLE_SQL as OP5_SQL
+from .substring import op5_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash": op6_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
