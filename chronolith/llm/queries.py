@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op1_language_id
+from .quality import op3_quality
 from .simhash import op6_simhash
 from .substring import ORACLE_SQL as OP5_SQL
 from .substring import op5_substring_dedup
+from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_quality": op3_quality,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash": op6_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
