@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import ORACLE_SQL as OP10_SQL
+from .decontaminate import op10_decontamination
 from .langid import op1_language_id
 from .quality import op3_quality
 from .simhash import op6_simhash
@@ -19,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash": op6_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op10_decontamination": OP10_SQL}
