@@ -86,9 +86,17 @@ def _ball(fp: Column, bits: list[int]) -> list[Column]:
     return [fp, *(fp.bitwiseXOR(F.lit(_signed(1 << b)).cast("long")) for b in bits)]
 
 
+MASKS = tuple(_signed(~(0xFFFF << (16 * block)) & (1 << 64) - 1) for block in range(4))
+SALTS = tuple(_signed(0x9E3779B97F4A7C15 * block & (1 << 64) - 1) for block in range(4))
+
+
 def close_fingerprints(uniq: DataFrame) -> DataFrame:
-    """(fp, component) for each distinct fingerprint `fp`; links join those that differ in 3 bits or fewer."""
+    """(fp, component) for each distinct fingerprint `fp`; links join those that differ in 3 bits or fewer.
+
+    Each fingerprint makes 261 rows in the two passes; they are dealt so that no task makes more than some millions."""
     fp = F.col("fp")
+    tasks = uniq.count() // 20_000 + 1
+    uniq = checkpointed(uniq.repartition(tasks, "fp"))
     near = (
         uniq.select(fp, F.explode(F.array(*_ball(fp, list(range(64))))).alias("key"))
         .groupBy("key")
@@ -98,16 +106,21 @@ def close_fingerprints(uniq: DataFrame) -> DataFrame:
         .where("a != b")
     )
     first = checkpointed(components(near))
-    labelled = checkpointed(uniq.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("comp")))
-
-    keys = []
-    for block in range(4):
-        mask, salt = _signed(~(0xFFFF << (16 * block)) & (1 << 64) - 1), _signed(0x9E3779B97F4A7C15 * block & (1 << 64) - 1)
-        rest = [b for b in range(64) if b // 16 != block]
-        keys += [k.bitwiseXOR(F.lit(salt).cast("long")) for k in _ball(fp.bitwiseAND(F.lit(mask).cast("long")), rest)]
-    variants = labelled.select("fp", "comp", F.explode(F.array(*keys)).alias("key")).repartition("key")
-    shared = variants.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = variants.join(shared.hint("shuffle_hash"), "key", "left_semi")
+    labelled = checkpointed(uniq.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("comp")).repartition(tasks, "fp"))
+
+    # a key is the fingerprint without one block, with at most one more bit flipped, told apart by the block's salt
+    inner = [[b for b in range(64) if b // 16 != block] for block in range(4)]
+    cut = [fp.bitwiseAND(F.lit(mask).cast("long")) for mask in MASKS]
+    keys = [k.bitwiseXOR(F.lit(SALTS[block]).cast("long")) for block in range(4) for k in _ball(cut[block], inner[block])]
+    variants = labelled.select("comp", F.explode(F.array(*keys)).alias("key")).repartition("key")
+    shared = checkpointed(variants.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    # who made the shared keys: look the few keys' own balls up among the fingerprints without a block
+    key, bare = F.col("key"), F.col("bare")
+    asked = shared.select("key", F.explode(F.array(*(F.struct(F.lit(block).alias("block"), key.bitwiseXOR(F.lit(SALTS[block]).cast("long")).alias("bare")) for block in range(4)))).alias("s")).select("key", "s.*")
+    asked = asked.where(F.element_at(F.array(*(bare.bitwiseAND(F.lit(_signed(~m)).cast("long")) for m in MASKS)), F.col("block") + 1) == 0)
+    asked = asked.select("key", "block", F.explode(F.element_at(F.array(*(F.array(*_ball(bare, inner[block])) for block in range(4))), F.col("block") + 1)).alias("bare"))
+    have = labelled.select("fp", "comp", F.posexplode(F.array(*cut)).alias("block", "bare"))
+    members = checkpointed(asked.join(have, ["block", "bare"]).select("key", "fp", "comp"))
     x, y = members.alias("x"), members.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= 3))
     second = components(pairs.select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct())
