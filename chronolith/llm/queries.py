@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import ORACLE_SQL as OP10_SQL
 from .decontaminate import op10_decontamination
 from .langid import op1_language_id
+from .mixing import op4_mixing
 from .quality import op3_quality
 from .simhash import op6_simhash
 from .substring import ORACLE_SQL as OP5_SQL
@@ -18,6 +19,7 @@ from .toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_quality": op3_quality,
+    "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash": op6_simhash,
     "op9_toxicity": op9_toxicity,
