@@ -10,6 +10,7 @@ from .decontaminate import ORACLE_SQL as OP10_SQL
 from .decontaminate import op10_decontamination
 from .langid import op1_language_id
 from .mixing import op4_mixing
+from .pii import op8_pii
 from .quality import op3_quality
 from .simhash import op6_simhash
 from .substring import ORACLE_SQL as OP5_SQL
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash": op6_simhash,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
