@@ -127,15 +127,19 @@ def close_fingerprints(uniq: DataFrame) -> DataFrame:
     return labelled.join(second.withColumnRenamed("node", "comp"), "comp", "left").select("fp", F.coalesce("component", "comp").alias("component"))
 
 
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp, component_id): the smallest id that links of fingerprints reach, for each row of docs."""
-    fps = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+def linked_ids(fps: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """(id, fp, component_id) from rows of (id, fp)."""
     uniq = checkpointed(fps.groupBy("fp").agg(F.min(id_col).alias("first_id")))
     linked = checkpointed(close_fingerprints(uniq.select("fp")))
     named = linked.join(linked.join(uniq, "fp").groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component_id")
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(id, fp, component_id): the smallest id that links of fingerprints reach, for each row of docs."""
+    return linked_ids(checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)), id_col=id_col)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
