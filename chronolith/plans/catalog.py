@@ -1,10 +1,512 @@
-"""Every query by name, with the equivalent DuckDB SQL."""
+"""Every query by name, with the equivalent DuckDB SQL.
+
+Each callable takes (spark, sf_dir) and runs an operator over the whole tables. Keys that start with x_ are extensions: general
+relational work that the archive's users get from Spark. Queries without SQL are state machines; tests hold them against small
+independent programs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from chronolith.functions import scalars as S
+from chronolith.operators import blocks, directories, generations, latest, lookups, model, recent, recovery, registry, retry, validation
+from chronolith.sources import journal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+EVENTS = "(SELECT event_id + 1 AS seq, user_id AS series, ts AS effective, value, event_type AS state, event_id FROM events)"
+OBS = """(SELECT l_orderkey + 1 AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS ordinal, l_shipdate AS receive, l_quantity AS value, l_returnflag AS tag FROM lineitem)"""
+FRAMES = "(SELECT o_orderkey + 1 AS seq, o_custkey AS series, o_orderdate AS effective, o_orderpriority AS priority, coalesce(n_obs, 0) AS n_obs, 64 + 96 * coalesce(n_obs, 0) AS len FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_obs FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
+STORE = f"(SELECT c_nationkey AS store, f.*, row_number() OVER (PARTITION BY c_nationkey ORDER BY seq) AS store_seq FROM {FRAMES} f JOIN customer ON c_custkey = series)"
+SERIES = 7
+
+
+def _span(t: str) -> tuple:
+    a, b = t.split()
+    return F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz")
+
+
+# ---- recent-first reads
+
+
+@query(f"SELECT seq, effective, value FROM {EVENTS} WHERE series = 7 ORDER BY effective DESC, event_id DESC LIMIT 16")
+def recent_observations(spark, d):
+    return recent.recent(model.event_observations(spark, d), SERIES, 16).select("seq", "effective", "value")
+
+
+@query(f"SELECT seq, effective, value FROM {EVENTS} WHERE series = 7 AND effective >= TIMESTAMP '2024-01-02' AND effective < TIMESTAMP '2024-01-20' ORDER BY effective DESC, event_id DESC LIMIT 5")
+def recent_interval(spark, d):
+    return recent.recent(model.event_observations(spark, d), SERIES, 5, *_span("2024-01-02 2024-01-20")).select("seq", "effective", "value")
+
+
+@query(f"""SELECT CAST(7 AS BIGINT) AS series, least(n, 16) AS returned, n > 16 AS is_truncated FROM (SELECT count(*) AS n FROM {EVENTS} WHERE series = 7)
+UNION ALL SELECT CAST(-1 AS BIGINT), 0, false
+UNION ALL SELECT CAST(7 AS BIGINT), least(n, 3), n > 3 FROM (SELECT count(*) AS n FROM {EVENTS} WHERE series = 7 AND effective >= TIMESTAMP '2024-01-02' AND effective < TIMESTAMP '2024-01-10')""")
+def recent_truncated(spark, d):
+    e = model.event_observations(spark, d)
+    return recent.recent_with_evidence(e, SERIES, 16).union(recent.recent_with_evidence(e, -1, 16)).union(recent.recent_with_evidence(e, SERIES, 3, *_span("2024-01-02 2024-01-10")))
+
+
+@query(f"SELECT seq, effective FROM {FRAMES} WHERE series = 7 ORDER BY effective DESC, seq DESC LIMIT 16")
+def recent_ties(spark, d):
+    return recent.recent(model.frames(spark, d), SERIES, 16).select("seq", "effective")
+
+
+@query(f"SELECT f.seq, ordinal, value FROM {FRAMES} f JOIN {OBS} o USING (seq) WHERE series = 7 ORDER BY f.effective DESC, receive DESC, f.seq DESC, ordinal LIMIT 16")
+def recent_frame_observations(spark, d):
+    mine = model.frames(spark, d).where(F.col("series") == SERIES).select("seq", "series", "effective")
+    return recent.recent(mine.join(model.observations(spark, d), "seq"), SERIES, 16).select("seq", "ordinal", "value")
+
+
+@query(f"SELECT seq, effective FROM {FRAMES} WHERE series = 7 AND (seq - 1) // 500 + 1 = 2 ORDER BY effective DESC, seq DESC LIMIT 16")
+def recent_in_generation(spark, d):
+    g = generations.rotate_by_count(model.frames(spark, d), 500).where("generation = 2")
+    return recent.recent(g, SERIES, 16).select("seq", "effective")
+
+
+@query("SELECT o.seq, o.effective, e.props FROM (SELECT event_id + 1 AS seq, ts AS effective FROM events WHERE user_id = 7 ORDER BY ts DESC LIMIT 4) o JOIN events e ON e.event_id + 1 = o.seq")
+def late_decode(spark, d):
+    payloads = model.table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), "props")
+    return recent.late_decoded(model.event_observations(spark, d).select("seq", "series", "effective", "receive"), payloads, SERIES, 4).select("seq", "effective", "props")
+
+
+# ---- directories
+
+
+@query(f"SELECT series, count(*) AS frame_count, CAST(sum(n_obs) AS BIGINT) AS observation_count, CAST(sum(len) AS BIGINT) AS block_length, min(seq) AS first_seq, max(seq) AS last_seq FROM {FRAMES} GROUP BY series")
+def series_directory(spark, d):
+    return directories.series_directory(model.sized_frames(spark, d))
+
+
+@query(f"SELECT seq, series, row_number() OVER w - 1 AS frame_ordinal, CAST(coalesce(sum(len) OVER (PARTITION BY series ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS frame_offset FROM {FRAMES} WINDOW w AS (PARTITION BY series ORDER BY seq)")
+def append_directory(spark, d):
+    return directories.append_directory(model.sized_frames(spark, d))
+
+
+@query(f"WITH s AS (SELECT series, sum(len) AS n FROM {FRAMES} GROUP BY series) SELECT series, CAST(192 + 64 * count(*) OVER () + coalesce(sum(n) OVER (ORDER BY series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS block_offset, CAST(n AS BIGINT) AS block_length FROM s")
+def block_offsets(spark, d):
+    return directories.block_offsets(directories.series_directory(model.sized_frames(spark, d)))
+
+
+@query(f"""WITH t AS (SELECT count(DISTINCT series) AS s, count(*) AS f, CAST(sum(n_obs) AS BIGINT) AS o, CAST(sum(len) AS BIGINT) AS b FROM {FRAMES})
+SELECT s AS series_count, f AS frame_count, o AS observation_count, 192 + 64 * s AS blocks_offset, 192 + 64 * s + b AS append_offset, 192 + 64 * s + b + 48 * f AS recent_offset, 192 + 64 * s + b + 48 * f + 96 * o + 4 AS total FROM t""")
+def segment_layout(spark, d):
+    return directories.segment_layout(model.sized_frames(spark, d))
+
+
+@query(f"SELECT f.seq, series, f.effective, ordinal, receive FROM {FRAMES} f JOIN {OBS} o USING (seq)")
+def recency_directory(spark, d):
+    return directories.recency_directory(model.frames(spark, d), model.observations(spark, d)).select("seq", "series", "effective", "ordinal", "receive")
+
+
+@query("SELECT count(DISTINCT o_orderkey) AS present, CAST(1000 - count(DISTINCT o_orderkey) AS BIGINT) AS missing, CAST(count(*) - count(DISTINCT o_orderkey) AS BIGINT) AS repeated FROM orders WHERE o_orderkey + 1 > 100 AND o_orderkey + 1 <= 1100")
+def contiguous_coverage(spark, d):
+    return directories.contiguous(model.frames(spark, d), 100, 1100)
+
+
+@query(f"""WITH r AS (SELECT series, count(*) AS frame_count FROM {FRAMES} GROUP BY series), s AS (SELECT series, frame_count + CASE WHEN series % 50 = 0 THEN 1 ELSE 0 END AS frame_count FROM r)
+SELECT *, 'not in frames' AS problem FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'not in index' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM s)""")
+def directory_audit(spark, d):
+    real = directories.series_directory(model.sized_frames(spark, d)).select("series", "frame_count")
+    damaged = real.withColumn("frame_count", F.col("frame_count") + (F.col("series") % 50 == 0).cast("int"))
+    return directories.audit(damaged, real)
+
+
+# ---- generations
+
+
+@query("SELECT o_orderkey + 1 AS seq, o_orderkey // 500 + 1 AS generation FROM orders")
+def rotation_by_count(spark, d):
+    return generations.rotate_by_count(model.frames(spark, d), 500).select("seq", "generation")
+
+
+GREEDY = f"""WITH RECURSIVE f AS MATERIALIZED (SELECT * FROM {STORE}),
+r AS (SELECT store, seq, store_seq, CAST(1 AS BIGINT) AS generation, 28 + len AS size, 1 AS n FROM f WHERE store_seq = 1
+UNION ALL SELECT f.store, f.seq, f.store_seq, CASE WHEN r.size + f.len > 20000 OR r.n >= 40 THEN r.generation + 1 ELSE r.generation END, CASE WHEN r.size + f.len > 20000 OR r.n >= 40 THEN 28 + f.len ELSE r.size + f.len END, CASE WHEN r.size + f.len > 20000 OR r.n >= 40 THEN 1 ELSE r.n + 1 END
+FROM r JOIN f ON f.store = r.store AND f.store_seq = r.store_seq + 1)"""
+
+
+@query(GREEDY + " SELECT store, seq, generation FROM r")
+def rotation_by_bytes(spark, d):
+    return generations.rotate_by_bytes(model.store_frames(spark, d), 20_000, 40).select("store", "seq", "generation")
+
+
+@query(f"""WITH RECURSIVE f AS MATERIALIZED (SELECT *, len AS l FROM {STORE}),
+r AS (SELECT store, seq, store_seq, CAST(1 AS BIGINT) AS batch, l AS size, 1 AS n, priority FROM f WHERE store_seq = 1
+UNION ALL SELECT f.store, f.seq, f.store_seq, r.batch + CASE WHEN r.n >= 32 OR r.size >= 8000 OR r.priority = '1-URGENT' THEN 1 ELSE 0 END, f.l + CASE WHEN r.n >= 32 OR r.size >= 8000 OR r.priority = '1-URGENT' THEN 0 ELSE r.size END, 1 + CASE WHEN r.n >= 32 OR r.size >= 8000 OR r.priority = '1-URGENT' THEN 0 ELSE r.n END, f.priority
+FROM r JOIN f ON f.store = r.store AND f.store_seq = r.store_seq + 1) SELECT store, seq, batch FROM r""")
+def group_commit_batches(spark, d):
+    return generations.group_commits(model.store_frames(spark, d), 32, 8_000).select("store", "seq", "batch")
+
+
+@query(f"SELECT (seq - 1) // 500 + 1 AS generation, min(seq) - 1 AS floor, max(seq) AS cutoff, count(*) AS records, CAST(sum(len) + 28 AS BIGINT) AS bytes FROM {FRAMES} GROUP BY 1")
+def generation_catalog(spark, d):
+    return generations.catalog(generations.rotate_by_count(model.sized_frames(spark, d), 500), [])
+
+
+@query(GREEDY + " SELECT r.store, generation, min(r.store_seq) - 1 AS floor, max(r.store_seq) AS cutoff, count(*) AS records, CAST(sum(len) + 28 AS BIGINT) AS bytes FROM r JOIN f USING (store, store_seq) GROUP BY 1, 2")
+def store_catalog(spark, d):
+    return generations.catalog(generations.rotate_by_bytes(model.store_frames(spark, d), 20_000, 40), ["store"], "store_seq")
+
+
+@query(f"WITH c AS (SELECT (seq - 1) // 500 + 1 AS g, min(seq) - 1 AS lo, max(seq) AS hi, sum(len) + 28 AS b FROM {FRAMES} GROUP BY 1) SELECT count(*) AS sealed, min_by(lo, g) AS floor, max_by(hi, g) AS cutoff, CAST(sum(b) AS BIGINT) AS bytes FROM c")
+def generation_inventory(spark, d):
+    return generations.inventory(generation_catalog(spark, d))
+
+
+@query(f"""WITH c AS (SELECT (seq - 1) // 100 + 1 AS g, min(seq) - 1 AS lo, max(seq) AS hi FROM {FRAMES} GROUP BY 1),
+x AS (SELECT CASE WHEN g >= 6 THEN g + 1 ELSE g END AS generation, CASE WHEN g = 4 THEN lo + 1 ELSE lo END AS floor, hi AS cutoff FROM c WHERE g <> 9),
+v AS (SELECT *, lag(generation) OVER (ORDER BY generation) AS pg, lag(cutoff) OVER (ORDER BY generation) AS pc FROM x),
+r AS (SELECT generation, CASE WHEN pg IS NULL AND (generation <> 1 OR floor <> 0) THEN 'bad_first' WHEN pg IS NOT NULL AND generation <> pg + 1 THEN 'generation_gap' WHEN pc IS NOT NULL AND floor <> pc THEN 'range_gap' WHEN cutoff <= floor THEN 'empty_range' END AS reason FROM v)
+SELECT generation, reason FROM r WHERE reason IS NOT NULL""")
+def catalog_chain_check(spark, d):
+    c = generations.catalog(generations.rotate_by_count(model.sized_frames(spark, d), 100), [])
+    g = F.col("generation")
+    damaged = c.where(g != 9).select(F.when(g >= 6, g + 1).otherwise(g).alias("generation"), (F.col("floor") + (g == 4).cast("int")).alias("floor"), "cutoff")
+    return generations.chain_violations(damaged, []).select("generation", "reason")
+
+
+@query(f"""WITH c AS (SELECT (seq - 1) // 500 + 1 AS g, min(seq) - 1 AS lo, max(seq) AS hi, sum(len) + 28 AS b FROM {FRAMES} GROUP BY 1),
+m AS (SELECT seq, (seq - 1) // 480 + 1 AS claimed, 28 + 600 * ((seq - 1) % 500) AS end_offset FROM {FRAMES})
+SELECT seq, g AS generation FROM m JOIN c ON g = claimed WHERE seq > lo AND seq <= hi AND end_offset > 28 AND end_offset <= b""")
+def covers_commit(spark, d):
+    commits = model.frames(spark, d).select("seq", (F.floor((F.col("seq") - 1) / 480) + 1).alias("claimed"), (28 + 600 * ((F.col("seq") - 1) % 500)).alias("end_offset"))
+    return generations.covers(commits, generation_catalog(spark, d)).select("seq", "generation")
+
+
+# ---- scalars and validation
+
+
+@query("""SELECT ms, CAST(floor(CAST(ms AS DECIMAL(20,0)) / 1000) AS BIGINT) AS s, CAST((ms % 1000 + 1000) % 1000 * 1000000 AS INTEGER) AS n FROM (SELECT (event_id - 300) * 777777 AS ms FROM events)""")
+def time_euclid_split(spark, d):
+    ms = (F.col("event_id") - 300) * 777777
+    e = model.table(spark, d, "events").select(ms.alias("ms"))
+    return e.select("ms", S.seconds_of_ms(F.col("ms")).alias("s"), S.nanos_of_ms(F.col("ms")).alias("n"))
+
+
+@query("""WITH t AS (SELECT event_id, (event_id % 600 - 300) * CASE WHEN event_id % 7 = 0 THEN 9000000000000000 ELSE 1000 END AS s, CASE WHEN event_id % 5 = 0 THEN 123456789 ELSE (event_id % 1000) * 1000000 END AS n FROM events),
+x AS (SELECT *, CAST(s AS HUGEINT) * 1000 + n // 1000000 AS e FROM t)
+SELECT event_id, CASE WHEN n % 1000000 = 0 AND e BETWEEN -9223372036854775808 AND 9223372036854775807 THEN CAST(e AS BIGINT) END AS ms, CASE WHEN n % 1000000 <> 0 THEN 'sub_millisecond' WHEN e NOT BETWEEN -9223372036854775808 AND 9223372036854775807 THEN 'overflow' END AS refusal FROM x""")
+def time_join(spark, d):
+    i = F.col("event_id")
+    t = model.table(spark, d, "events").select("event_id", ((i % 600 - 300) * F.when(i % 7 == 0, 9_000_000_000_000_000).otherwise(1000)).alias("s"), F.when(i % 5 == 0, 123456789).otherwise((i % 1000) * 1_000_000).alias("n"))
+    ms, refusal = S.ms_of_time(F.col("s"), F.col("n"))
+    return t.select("event_id", ms.alias("ms"), refusal.alias("refusal"))
+
+
+UUIDS = "CASE event_id % 6 WHEN 0 THEN h WHEN 1 THEN upper(h) WHEN 2 THEN replace(h, '-7', '-4') WHEN 3 THEN replace(h, '-', '') WHEN 4 THEN substr(h, 1, 35) ELSE replace(h, '-8', '-c') END"
+UUID_SQL = f"SELECT event_id, {UUIDS} AS text FROM (SELECT event_id, 'abcd' || lpad(CAST(event_id % 9999 AS VARCHAR), 4, '0') || '-0123-7abc-8def-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS h FROM events)"
+
+
+def _uuid_texts(spark, d):
+    i = F.col("event_id")
+    h = F.concat(F.lit("abcd"), F.lpad((i % 9999).cast("string"), 4, "0"), F.lit("-0123-7abc-8def-"), F.lpad(i.cast("string"), 12, "0"))
+    return model.table(spark, d, "events").select("event_id", h.alias("h")).select("event_id", F.expr(UUIDS).alias("text"))
+
+
+@query(f"SELECT event_id, text, regexp_full_match(text, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-7[0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}') AS valid FROM ({UUID_SQL})")
+def uuid_valid(spark, d):
+    return _uuid_texts(spark, d).select("event_id", "text", S.uuid_valid(F.col("text")).alias("valid"))
+
+
+@query(f"SELECT event_id, text AS again FROM ({UUID_SQL}) WHERE regexp_full_match(text, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-7[0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}')")
+def uuid_round_trip(spark, d):
+    u = _uuid_texts(spark, d).select("event_id", S.uuid_bytes(F.col("text")).alias("raw")).where("raw IS NOT NULL")
+    return u.select("event_id", S.uuid_text(F.col("raw")).alias("again"))
+
+
+DECIMALS = "CASE event_id % 7 WHEN 0 THEN CAST(event_id AS VARCHAR(40)) WHEN 1 THEN '0' || CAST(event_id AS VARCHAR(40)) WHEN 2 THEN '340282366920938463463374607431768211455' WHEN 3 THEN '340282366920938463463374607431768211456' WHEN 4 THEN '' WHEN 5 THEN '-1' ELSE '0' END"
+
+
+@query(f"SELECT event_id, t AS text, regexp_full_match(t, '(0|[1-9][0-9]{{0,38}})') AND lpad(t, 39, '0') <= '340282366920938463463374607431768211455' AS valid FROM (SELECT event_id, {DECIMALS} AS t FROM events)")
+def canonical_decimal(spark, d):
+    t = model.table(spark, d, "events").select("event_id", F.expr(DECIMALS.replace("VARCHAR(40)", "STRING")).alias("text"))
+    return t.select("event_id", "text", S.canonical_decimal(F.col("text")).alias("valid"))
+
+
+@query(r"""SELECT doc_id, length(t) <= 4096 AS exact_text, regexp_full_match(t, '[ -~]{1,256}') AS token, regexp_full_match(t, '[ -~]{1,128}') AS retry_key, regexp_full_match(t, '[!-@\[-~]{1,64}') AS format, length(t) BETWEEN 1 AND 1024 AND NOT regexp_matches(t, '\p{Cc}') AS reference FROM (SELECT doc_id, text AS t FROM documents UNION ALL SELECT doc_id, lang || '/' || source FROM documents)""")
+def token_valid(spark, d):
+    docs = model.table(spark, d, "documents")
+    t = docs.select("doc_id", "text").union(docs.select("doc_id", F.concat("lang", F.lit("/"), "source")))
+    c = F.col("text")
+    return t.select("doc_id", S.exact_text(c).alias("exact_text"), S.portable_token(c).alias("token"), S.retry_key(c).alias("retry_key"), S.content_format(c).alias("format"), S.declaration_reference(c).alias("reference"))
+
+
+@query("SELECT DISTINCT flags, flags % 2 = 1 AS stale, flags // 2 % 2 = 1 AS invalid, flags // 4 % 2 = 1 AS substituted, flags // 8 % 2 = 1 AS overridden, flags // 16 % 2 = 1 AS out_of_service, flags // 32 % 2 = 1 AS communication_failure, flags | 4 AS with_substituted, flags & ~CAST(1 AS BIGINT) AS without_stale FROM (SELECT event_id % 64 AS flags FROM events)")
+def quality_flags(spark, d):
+    f = model.table(spark, d, "events").select((F.col("event_id") % 64).alias("flags")).distinct()
+    return f.select("flags", *(S.flag(F.col("flags"), n).alias(n) for n in S.FLAGS), S.with_flag(F.col("flags"), "substituted").alias("with_substituted"), S.with_flag(F.col("flags"), "stale", False).alias("without_stale"))
+
+
+@query("WITH f AS (SELECT unnest(['real','signed','unsigned','boolean','state','text','artifact']) AS family), k AS (SELECT unnest(['real','signed','unsigned','boolean','state','text','artifact','unavailable']) AS kind) SELECT family, kind, kind = family OR kind = 'unavailable' AS admits FROM f, k")
+def value_family_admits(spark, d):
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, S.FAMILIES))).alias("family")).select("family", F.explode(F.array(*map(F.lit, (*S.FAMILIES, "unavailable")))).alias("kind"))
+    return grid.select("family", "kind", S.admits(F.col("family"), F.col("kind")).alias("admits"))
+
+
+# Envelopes from orders: the key decides what is wrong with each
+ENVELOPES = """SELECT o_orderkey + 1 AS seq, CASE WHEN o_orderkey % 11 = 1 THEN 'interval' ELSE 'sampled' END AS mode, n,
+  o_orderkey % 11 AS fault FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)"""
+
+
+@query(f"""SELECT seq, CASE WHEN n > 6 THEN 'TooManyObservations' WHEN fault = 10 THEN 'TooManyGaps' WHEN n = 0 AND fault NOT IN (6, 7, 8) THEN 'EmptyObservedEvidence'
+WHEN n > 0 AND fault = 1 THEN 'MissingObservationInterval' WHEN n > 0 AND fault = 2 THEN 'UnexpectedObservationInterval' WHEN n > 1 AND fault = 3 THEN 'DuplicateObservationId' WHEN n > 1 AND fault = 4 THEN 'MixedProducerPositions'
+WHEN n > 1 AND fault = 5 THEN 'MisorderedProducerPositions' WHEN fault = 6 THEN 'MisorderedGaps' WHEN fault = 7 THEN 'OverlappingGaps' WHEN n > 0 AND fault = 8 THEN 'ObservationInsideGap' END AS violation FROM ({ENVELOPES})""")
+def envelope_violation(spark, d):
+    o = model.sized_frames(spark, d).select("seq", F.col("n_obs").cast("int").alias("n"), ((F.col("seq") - 1) % 11).alias("fault"))
+    at, n = F.col("fault"), F.col("n")
+    mode = F.when(at == 1, "interval").otherwise("sampled")
+
+    def one(k):
+        position = F.struct(F.lit(1).alias("epoch"), F.when(at == 5, 100 - k).otherwise(10 + k).alias("sequence"))
+        return F.struct(
+            F.when((at == 3) & (k > 0), 0).otherwise(k).alias("id"),
+            F.when(~((at == 4) & (k > 0)), position).alias("position"),
+            F.when(at == 2, F.struct(F.lit(0).alias("s"), F.lit(1).alias("e"))).alias("interval"),
+        )
+
+    obs = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), one)
+
+    def gap(a, b, e=1):
+        return F.struct(F.lit(e).alias("epoch"), F.lit(a).alias("start"), F.lit(b).alias("end"))
+
+    gaps = F.when(at == 6, F.array(gap(900, 950), gap(800, 850))).when(at == 7, F.array(gap(800, 850), gap(840, 900))).when(at == 8, F.array(gap(0, 5), gap(10, 12))).when(at == 10, F.array_repeat(gap(800, 850), 70)).otherwise(F.filter(F.array(gap(0, 1)), lambda g: g["start"] > 0))
+    e = o.select("seq", mode.alias("mode"), obs.alias("observations"), gaps.alias("gaps"))
+    return e.select("seq", validation.envelope_violation(F.col("mode"), F.col("observations"), F.col("gaps"), 6, 64).alias("violation"))
+
+
+# ---- lookups
+
+
+DECLARATIONS = "(SELECT c_custkey AS series, r AS revision, CASE WHEN r = 1 THEN c_mktsegment ELSE 'revised' END AS payload FROM customer, (SELECT unnest([1, 2]) AS r) WHERE r = 1 OR c_custkey % 3 = 0)"
+CLAIMS = "(SELECT o_orderkey + 1 AS seq, o_custkey AS series, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS revision, CASE WHEN o_orderkey % 10 = 9 THEN 'other' ELSE c_mktsegment END AS payload FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+def _declarations(spark, d):
+    c = model.table(spark, d, "customer")
+    r = c.select(F.col("c_custkey").alias("series"), "c_mktsegment", F.explode(F.array(F.lit(1), F.lit(2))).alias("revision")).where("revision = 1 OR series % 3 = 0")
+    return r.select("series", "revision", F.when(F.col("revision") == 1, F.col("c_mktsegment")).otherwise("revised").alias("payload"))
+
+
+def _claims(spark, d):
+    c = model.table(spark, d, "customer").select(F.col("c_custkey").alias("series"), "c_mktsegment")
+    k = F.col("seq") - 1
+    return model.frames(spark, d).join(c, "series").select("seq", "series", F.when(k % 4 == 0, 2).otherwise(1).alias("revision"), F.when(k % 10 == 9, "other").otherwise(F.col("c_mktsegment")).alias("payload"))
+
+
+@query(f"SELECT seq, c.series, c.revision, d.payload FROM {CLAIMS} c LEFT JOIN {DECLARATIONS} d ON c.series = d.series AND c.revision = d.revision")
+def declaration_resolve(spark, d):
+    return lookups.resolve(_claims(spark, d).drop("payload"), _declarations(spark, d)).select("seq", "series", "revision", "payload")
+
+
+@query(f"SELECT seq FROM {CLAIMS} c WHERE EXISTS (SELECT 1 FROM {DECLARATIONS} d WHERE c.series = d.series AND c.revision = d.revision AND c.payload IS NOT DISTINCT FROM d.payload)")
+def declared_frames(spark, d):
+    return lookups.declared(_claims(spark, d), _declarations(spark, d), ["payload"]).select("seq")
+
+
+@query(f"SELECT seq, series, revision FROM {CLAIMS} c WHERE NOT EXISTS (SELECT 1 FROM {DECLARATIONS} d WHERE c.series = d.series AND c.revision = d.revision)")
+def undeclared_frames(spark, d):
+    return lookups.undeclared(_claims(spark, d), _declarations(spark, d)).select("seq", "series", "revision")
+
+
+@query("SELECT event_id + 1 AS seq, user_id AS series, gap_start FROM events JOIN (SELECT user_id AS u, event_id AS gap_start, event_id + 40 AS gap_end FROM events WHERE event_id % 97 = 0) ON u = user_id AND event_id >= gap_start AND event_id < gap_end QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY gap_start DESC) = 1")
+def obs_inside_gap(spark, d):
+    e = model.event_observations(spark, d)
+    gaps = e.where((F.col("seq") - 1) % 97 == 0).select("series", (F.col("seq") - 1).alias("gap_start"), (F.col("seq") + 39).alias("gap_end"))
+    return lookups.inside_gap(e.select("series", (F.col("seq") - 1).alias("position"), "seq"), gaps, ["series"]).select("seq", "series", "gap_start")
+
+
+@query(f"SELECT seq, ordinal, NOT (seq % 13 = 0 AND ordinal = 1) AND NOT (seq % 17 = 0 AND ordinal = 2) AS links_ok FROM {OBS}")
+def observation_lineage(spark, d):
+    o = model.observations(spark, d).select("seq", "ordinal", (F.col("seq") * 1000 + F.col("ordinal")).alias("id"))
+    wrong = (F.col("seq") % 13 == 0) & (F.col("ordinal") == 1)
+    link = F.struct(F.col("ordinal"), F.when(wrong, F.lit(-1)).otherwise(F.col("id")).alias("observation"), (F.col("id") * 2).alias("raw"), F.when((F.col("seq") % 17 == 0) & (F.col("ordinal") == 2), F.lit(0)).otherwise(F.col("id") * 2).alias("normalized_raw"))
+    packed = o.select("seq", F.struct("ordinal", "id", link.alias("link")).alias("r")).groupBy("seq").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return lookups.lineage_links(packed.select("seq", F.col("r.id").alias("observations"), F.col("r.link").alias("lineage")))
+
+
+# ---- latest and retry
+
+
+@query("SELECT series, epoch, sequence, value FROM (SELECT user_id AS series, event_id // 300 AS epoch, (event_id * 7919) % 300 AS sequence, value, event_id FROM events WHERE event_id % 5 <> 0) QUALIFY row_number() OVER (PARTITION BY series ORDER BY epoch DESC, sequence DESC, event_id DESC) = 1")
+def latest_by_position(spark, d):
+    i = F.col("seq") - 1
+    e = model.event_observations(spark, d).select("series", F.when(i % 5 != 0, F.floor(i / 300)).alias("epoch"), ((i * 7919) % 300).alias("sequence"), "value", i.alias("event_id"))
+    return latest.latest(e, ["epoch", "sequence", "event_id"]).select("series", "epoch", "sequence", "value")
+
+
+@query("SELECT series, position, count(*) AS n FROM (SELECT user_id AS series, event_id // 40 AS position, event_type, value FROM events) GROUP BY 1, 2 HAVING count(DISTINCT event_type) > 1")
+def latest_conflicts(spark, d):
+    e = model.event_observations(spark, d).select("series", F.floor((F.col("seq") - 1) / 40).alias("position"), "state")
+    return latest.conflicts(e, ["position"], ["state"]).select("series", "position", "n")
+
+
+@query("SELECT a.event_id AS l, b.event_id AS r, CASE WHEN a.user_id <> b.user_id OR a.value <> b.value THEN 'distinct' WHEN a.event_type = b.event_type THEN 'equivalent' ELSE 'conflict' END AS class FROM (SELECT event_id, user_id % 3 AS user_id, floor(value / 100) AS value, event_type FROM events) a JOIN (SELECT event_id, user_id % 3 AS user_id, floor(value / 100) AS value, event_type FROM events) b ON b.event_id = a.event_id + 1")
+def retry_classify(spark, d):
+    e = model.table(spark, d, "events").select("event_id", F.struct((F.col("user_id") % 3).alias("scope"), F.floor(F.col("value") / 100).alias("key"), F.col("event_type").alias("content")).alias("q"))
+    a, b = e.select(F.col("event_id").alias("l"), F.col("q").alias("a"), (F.col("event_id") + 1).alias("r")), e.select(F.col("event_id").alias("r"), F.col("q").alias("b"))
+    return a.join(b, "r").select("l", "r", retry.classify("a", "b").alias("class"))
+
+
+@query(f"SELECT store, store_seq, CASE WHEN last - store_seq < 20 THEN 'replay' WHEN last - store_seq < 50 THEN 'guard' ELSE 'fresh' END AS tier FROM (SELECT store, store_seq, max(store_seq) OVER (PARTITION BY store) AS last FROM {STORE})")
+def retry_tiers(spark, d):
+    f = model.store_frames(spark, d).select("store", "store_seq")
+    return retry.tiers(f, f.groupBy("store").agg(F.max("store_seq").alias("last")), 20, 30).select("store", "store_seq", "tier")
+
+
+def submissions(spark: SparkSession, d: str) -> DataFrame:
+    """Events as submissions: stores are users modulo 8; keys and contents repeat."""
+    i = F.col("event_id")
+    return model.table(spark, d, "events").select((F.col("user_id") % 8).alias("store"), i.alias("n"), F.col("user_id").alias("scope"), F.concat(F.lit("k"), F.floor(F.col("value") % 9).cast("string")).alias("key"), F.when(i % 11 == 0, "other").otherwise("same").alias("content"))
+
+
+@query()
+def retry_script(spark, d):
+    return retry.run_submissions(submissions(spark, d), 12, 12)
+
+
+# ---- registry
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as requests on their customers: the key decides operation, expectation and payload."""
+    k = F.col("seq") - 1
+    op = F.when(k % 9 == 0, "retire").when(k % 3 == 0, "register").otherwise("revise")
+    return model.frames(spark, d).select("series", F.col("seq").alias("n"), op.alias("op"), F.lit("b").alias("binding"), (1 + k % 3).alias("expected"), F.concat(F.lit("p"), (k % 4).cast("string")).alias("payload"), F.concat(F.lit("e"), (k % 2).cast("string")).alias("evidence"))
+
+
+@query()
+def registry_lifecycle(spark, d):
+    return registry.run_requests(requests(spark, d))
+
+
+@query()
+def registry_snapshot(spark, d):
+    return registry.snapshot(registry_lifecycle(spark, d))
+
+
+REGISTRY_SQL = "(SELECT c_custkey AS series, CASE c_custkey % 3 WHEN 0 THEN 'sampled' WHEN 1 THEN 'event' ELSE 'interval' END AS mode, CASE c_custkey % 2 WHEN 0 THEN 'real' ELSE 'state' END AS family, c_custkey % 10 = 0 AS retired FROM customer WHERE c_custkey % 7 <> 0)"
+
+
+@query(f"SELECT seq, e.series, CASE WHEN r.series IS NULL THEN 'SeriesNotFound' WHEN retired THEN 'SeriesRetired' WHEN e.mode <> r.mode THEN 'SeriesMetadataMismatch' WHEN kind <> family AND kind <> 'unavailable' THEN 'ObservationValueFamilyMismatch' END AS refusal FROM (SELECT o_orderkey + 1 AS seq, o_custkey AS series, CASE o_custkey % 3 WHEN 0 THEN 'sampled' WHEN 1 THEN 'event' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'interval' ELSE 'sampled' END END AS mode, CASE o_orderkey % 3 WHEN 0 THEN 'real' WHEN 1 THEN 'state' ELSE 'unavailable' END AS kind FROM orders) e LEFT JOIN {REGISTRY_SQL} r ON r.series = e.series")
+def bind_check(spark, d):
+    c = F.col("c_custkey")
+    reg = model.table(spark, d, "customer").where(c % 7 != 0).select(c.alias("series"), F.when(c % 3 == 0, "sampled").when(c % 3 == 1, "event").otherwise("interval").alias("mode"), F.when(c % 2 == 0, "real").otherwise("state").alias("family"), (c % 10 == 0).alias("retired"))
+    s, k = F.col("series"), F.col("seq") - 1
+    env = model.frames(spark, d).select("seq", "series", F.when(s % 3 == 0, "sampled").when(s % 3 == 1, "event").otherwise(F.when(k % 2 == 0, "interval").otherwise("sampled")).alias("mode"), F.when(k % 3 == 0, "real").when(k % 3 == 1, "state").otherwise("unavailable").alias("kind"))
+    return registry.bind(env, reg)
+
+
+# ---- recovery, blocks, journal
+
+
+TAIL = "SELECT event_id, event_id % 60 AS suffix_len, event_id % 2 = 0 AS start_ok, event_id % 7 <> 0 AS sequence_ok, event_id % 5 <> 0 AS length_ok, 20 + event_id % 45 AS frame_len, event_id % 3 = 0 AS decode_ok FROM events"
+
+
+@query(f"""SELECT event_id, CASE WHEN suffix_len = 0 THEN 'Clean' WHEN suffix_len < 20 THEN CASE WHEN start_ok THEN 'ShortFramePrefix' ELSE 'refuse:InvalidLayout' END WHEN NOT sequence_ok THEN 'refuse:SequenceMismatch'
+WHEN NOT length_ok THEN CASE WHEN suffix_len = 20 THEN 'InvalidFramePrefix' ELSE 'refuse:InvalidLayout' END WHEN frame_len > suffix_len THEN 'TruncatedDeclaredFrame' WHEN frame_len < suffix_len THEN 'refuse:InvalidLayout' WHEN decode_ok THEN 'refuse:InvalidLayout' ELSE 'InvalidCompleteFrame' END AS class FROM ({TAIL})""")
+def recovery_classes(spark, d):
+    i = F.col("event_id")
+    t = model.table(spark, d, "events").select("event_id", (i % 60).alias("suffix_len"), (i % 2 == 0).alias("start_ok"), (i % 7 != 0).alias("sequence_ok"), (i % 5 != 0).alias("length_ok"), (20 + i % 45).alias("frame_len"), (i % 3 == 0).alias("decode_ok"))
+    return t.select("event_id", recovery.tail_class().alias("class"))
+
+
+@query("SELECT count(*) AS n, max(o_orderkey + 1) AS cutoff FROM orders WHERE o_orderkey + 1 <= 900")
+def committed_rows(spark, d):
+    return recovery.committed(model.frames(spark, d), 900).agg(F.count("*").alias("n"), F.max("seq").alias("cutoff"))
+
+
+BOOLS = "SELECT event_id // 64 AS block, list(value > 100 ORDER BY event_id) AS v FROM (SELECT event_id, CASE WHEN (event_id // 64) % 3 = 0 THEN (event_id // 20) * 37 % 200 ELSE value END AS value FROM events) GROUP BY 1"
+
+
+def _bool_blocks(spark, d):
+    e = model.table(spark, d, "events")
+    b = F.floor(F.col("event_id") / 64)
+    v = F.when(b % 3 == 0, F.floor(F.col("event_id") / 20) * 37 % 200).otherwise(F.col("value"))
+    rows = e.select(b.alias("block"), F.struct("event_id", (v > 100).alias("v")).alias("r")).groupBy("block").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return rows.select("block", F.col("r.v").alias("values"))
+
+
+@query(f"SELECT block, CAST(1 + len(list_filter(range(2, len(v) + 1), lambda i: v[i] <> v[i - 1])) AS BIGINT) AS runs FROM ({BOOLS})")
+def bool_run_count(spark, d):
+    return blocks.choose(_bool_blocks(spark, d)).select("block", "runs")
+
+
+@query(f"""WITH x AS (SELECT block, len(v) AS n, 1 + len(list_filter(range(2, len(v) + 1), lambda i: v[i] <> v[i - 1])) AS runs FROM ({BOOLS})), y AS (SELECT block, CAST(runs AS BIGINT) AS runs, n + 16 AS raw, (n + 7) // 8 + 17 AS packed, runs * 3 + 17 AS rle FROM x)
+SELECT block, runs, CASE WHEN packed < raw AND packed <= rle THEN 'bitpack' WHEN rle < raw AND rle < packed THEN 'rle' ELSE 'raw' END AS codec, CAST(CASE WHEN packed < raw AND packed <= rle THEN packed WHEN rle < raw AND rle < packed THEN rle ELSE raw END AS BIGINT) AS bytes FROM y""")
+def block_codec_choice(spark, d):
+    return blocks.choose(_bool_blocks(spark, d))
+
+
+@query("SELECT event_id + 1 AS seq, CAST(octet_length(encode(props)) + 24 AS BIGINT) AS frame_bytes FROM events")
+def frame_lengths(spark, d):
+    return model.table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), journal.frame_length("props").cast("long").alias("frame_bytes"))
+
+
+@query("SELECT event_id + 1 AS seq, props AS payload FROM events")
+def journal_round_trip(spark, d):
+    """Frames written and scanned again: every payload comes back."""
+    e = model.table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), F.col("props").alias("payload"))
+    f = journal.encode_frames(e)
+    files = f.select(F.col("seq").cast("string").alias("path"), F.col("frame").alias("content"))
+    return journal.scan(files).where("seq IS NOT NULL").select("seq", F.col("payload").cast("string").alias("payload"))
+
+
+# ---- extensions
+
+
+@query(f"SELECT series, seq, rank FROM (SELECT series, seq, CAST(row_number() OVER (PARTITION BY series ORDER BY effective DESC, seq DESC) AS INTEGER) AS rank FROM {EVENTS}) WHERE rank <= 3")
+def x_recent_of_each(spark, d):
+    return recent.recent_of_each(model.event_observations(spark, d), 3).select("series", "seq", "rank")
+
+
+@query("SELECT r_name, n_name, count(*) AS n, grouping(r_name) AS g1, grouping(n_name) AS g2 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def x_rollup(spark, d):
+    j = model.table(spark, d, "customer").join(model.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(model.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.rollup("r_name", "n_name").agg(F.count("*").alias("n"), F.grouping("r_name").cast("long").alias("g1"), F.grouping("n_name").cast("long").alias("g2"))
+
+
+@query("SELECT user_id AS series, time_bucket(INTERVAL '1 hour', ts) AS hour, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2")
+def x_hourly(spark, d):
+    e = model.event_observations(spark, d)
+    return e.groupBy("series", F.date_trunc("hour", "effective").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query("WITH s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL '6 hours' THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), t AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id AS series, CAST(k AS BIGINT) AS session, count(*) AS n, min(ts) AS first, max(ts) AS last FROM t GROUP BY 1, 2")
+def x_sessions(spark, d):
+    w = W.partitionBy("series").orderBy("effective")
+    e = model.event_observations(spark, d)
+    gap = F.lag("effective").over(w)
+    b = e.withColumn("b", F.when(gap.isNull() | (F.col("effective") - gap > F.expr("INTERVAL '6' HOUR")), 1).otherwise(0)).withColumn("session", F.sum("b").over(w))
+    return b.groupBy("series", "session").agg(F.count("*").alias("n"), F.min("effective").alias("first"), F.max("effective").alias("last"))
+
+
+@query("SELECT c_custkey AS series FROM customer EXCEPT SELECT o_custkey FROM orders")
+def x_silent_series(spark, d):
+    return model.table(spark, d, "customer").select(F.col("c_custkey").alias("series")).exceptAll(model.frames(spark, d).select("series").distinct())
+
+
+@query("SELECT e.event_id AS event, o.o_orderkey AS order_key FROM events e ASOF JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) = 1) o ON o.o_custkey = e.user_id AND o.o_orderdate + INTERVAL '9000 days' <= e.ts + INTERVAL '6000 days'")
+def x_as_of(spark, d):
+    """Each event's last order of the same id not later (on shifted clocks): one pass over both, sorted."""
+    e = model.table(spark, d, "events").select(F.col("user_id").alias("k"), (F.col("ts") + F.expr("INTERVAL '6000' DAY")).alias("t"), "event_id", F.lit(None).cast("long").alias("o"))
+    o = model.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderdate") + F.expr("INTERVAL '9000' DAY")).alias("t"), F.lit(None).cast("long").alias("event_id"), F.col("o_orderkey").alias("o"))
+    w = W.partitionBy("k").orderBy("t", F.col("o").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    return e.union(o).withColumn("last", F.last("o", ignorenulls=True).over(w)).where("event_id IS NOT NULL AND last IS NOT NULL").select(F.col("event_id").alias("event"), F.col("last").alias("order_key"))
