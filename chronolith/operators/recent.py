@@ -32,10 +32,11 @@ def recency(obs: DataFrame) -> list[Column]:
 
 def recent(obs: DataFrame, series, limit: int, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """The newest `limit` observations of a series; an unknown series has none."""
+    check_limit(limit)
     if start is not None and end is not None and not obs.sparkSession.range(1).select(start < end).first()[0]:
         raise ValueError("the interval is empty")
     found = obs.where((F.col("series") == F.lit(series)) & within(F.col("effective"), start, end))
-    return found.orderBy(*recency(obs)).limit(check_limit(limit))
+    return found.orderBy(*recency(obs)).limit(limit)
 
 
 def recent_with_evidence(obs: DataFrame, series, limit: int, start: Column | None = None, end: Column | None = None) -> DataFrame:
