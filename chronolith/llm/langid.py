@@ -75,7 +75,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
-        for block in blocks(enumerate(batch.column(1).to_pylist()), BLOCK):
+        for block in blocks(enumerate(t.as_py() for t in batch.column(1)), BLOCK):
             for row, text in block:
                 own = counts.setdefault(langs[row], np.zeros(BUCKETS + 1, np.int64))
                 for part in _slices(text):
@@ -140,7 +140,7 @@ def score_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc
         own = LanguageModel(*shared.value)
         for batch in batches:
             found: list[tuple[str, float]] = []
-            for block in blocks(enumerate(batch.column(batch.num_columns - 1).to_pylist()), BLOCK):
+            for block in blocks(enumerate(t.as_py() for t in batch.column(batch.num_columns - 1)), BLOCK):
                 found += own.predict([t for _, t in block])
             cols = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "lang_pred", "score"])

@@ -200,8 +200,9 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
     schema = src.select(id_col).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1).to_pylist()), pa.float64())], schema.names)
+        for batch in batches:
+            for b in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1).to_pylist()), pa.float64())], schema.names)
 
     return src.mapInArrow(run, schema)
 
