@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,3 +91,18 @@ def covers(commits: DataFrame, cat: DataFrame) -> DataFrame:
     """Commits with the sealed generation that holds them: inside its range of sequences, and of offsets."""
     hit = (F.col("seq") > F.col("floor")) & (F.col("seq") <= F.col("cutoff")) & (F.col("end_offset") > HEADER_BYTES) & (F.col("end_offset") <= F.col("bytes"))
     return commits.join(cat, (commits["claimed"] == cat["generation"]) & hit)
+
+
+def file_name(generation: Column) -> Column:
+    return F.concat(F.lit("generation-"), F.lpad(generation.cast("string"), 20, "0"), F.lit(".journal"))
+
+
+def parse_name(name: Column) -> Column:
+    """The generation of a file's name; null unless the name is exact."""
+    return F.when(name.rlike("^generation-[0-9]{20}\\.journal$"), F.substring(name, 12, 20).cast("long"))
+
+
+def progress(references: DataFrame, key: str) -> DataFrame:
+    """How each generation of a key follows the one before: first, next or skipped."""
+    before = F.lag("generation").over(W.partitionBy(key).orderBy("generation"))
+    return references.withColumn("progress", F.when(before.isNull(), "first").when(F.col("generation") == before + 1, "next").otherwise("skipped"))

@@ -29,8 +29,8 @@ def tail_class() -> Column:
     )
 
 
-def current_manifest(slots: DataFrame) -> DataFrame:
+def current_manifest(slots: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The newer of two committed slots; refused if one is damaged or they aren't consecutive (one slot alone must be the first)."""
-    a = slots.agg(F.count("*").alias("n"), F.min("generation").alias("lo"), F.max("generation").alias("hi"), F.min(F.col("sound").cast("int")).alias("ok"), F.max_by("cutoff", "generation").alias("cutoff"))
+    a = slots.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.min("generation").alias("lo"), F.max("generation").alias("hi"), F.min(F.col("sound").cast("int")).alias("ok"), F.max_by("cutoff", "generation").alias("cutoff"))
     verdict = F.when(F.col("ok") == 0, "damaged").when((F.col("n") == 1) & (F.col("hi") != 1), "missing_slot").when((F.col("n") == 2) & (F.col("hi") != F.col("lo") + 1), "not_consecutive").otherwise("current")
-    return a.select(F.col("hi").alias("generation"), "cutoff", verdict.alias("verdict"))
+    return a.select(*(keys or []), F.col("hi").alias("generation"), "cutoff", verdict.alias("verdict"))

@@ -89,3 +89,11 @@ def bind(envelopes: DataFrame, registry: DataFrame) -> DataFrame:
         .when((F.col("kind") != F.col("_family")) & (F.col("kind") != "unavailable"), "ObservationValueFamilyMismatch")
     )
     return e.select("seq", "series", refusal.alias("refusal"))
+
+
+def counts(declarations: DataFrame) -> DataFrame:
+    return declarations.agg(F.count_distinct("series").alias("series_count"), F.count("*").alias("revision_count"))
+
+
+def latest_declarations(declarations: DataFrame) -> DataFrame:
+    return declarations.groupBy("series").agg(F.max("revision").alias("revision"), F.max_by("payload", "revision").alias("payload"))

@@ -16,6 +16,11 @@ def classify(a: str, b: str) -> Column:
     return F.when(~same, "distinct").when(F.col(f"{a}.content") == F.col(f"{b}.content"), "equivalent").otherwise("conflict")
 
 
+def byte_ceiling(priority: Column, total: int, protected: int, normal: int) -> Column:
+    """Bytes that may be outstanding when a command of this priority is admitted."""
+    return F.when(priority == "protected", total).when(priority == "normal", total - protected).otherwise(total - protected - normal)
+
+
 def tiers(accepted: DataFrame, totals: DataFrame, replay: int, guard: int) -> DataFrame:
     """Tier of each accepted key: the newest `replay` of its store, then `guard`, then fresh again.
 

@@ -292,6 +292,65 @@ def envelope_violation(spark, d):
     return e.select("seq", validation.envelope_violation(F.col("mode"), F.col("observations"), F.col("gaps"), 6, 64).alias("violation"))
 
 
+@query("SELECT event_id, CASE WHEN done < started THEN 'CaptureRunEndsBeforeStart' WHEN event_id % 13 = 0 THEN 'EndpointSystemMismatch' WHEN event_id % 17 = 0 THEN 'RunEndpointMismatch' WHEN event_id % 19 = 0 THEN 'SnapshotRunMismatch' END AS violation FROM (SELECT event_id, ts AS started, ts + (event_id % 7 - 1) * INTERVAL 1 SECOND AS done FROM events)")
+def lifecycle_violation(spark, d):
+    i = F.col("event_id")
+    t = model.table(spark, d, "events").select("event_id", F.col("ts").alias("started"), (F.col("ts") + F.make_dt_interval(secs=(i % 7 - 1))).alias("done"))
+    links = [(F.when(i % n == 0, -1).otherwise(i), i, name) for n, name in ((13, "EndpointSystemMismatch"), (17, "RunEndpointMismatch"), (19, "SnapshotRunMismatch"))]
+    return t.select("event_id", validation.lifecycle_violation(F.col("started"), F.col("done"), links).alias("violation"))
+
+
+@query(f"SELECT seq, count(DISTINCT tag) = count(*) AS unique_ids FROM {OBS} GROUP BY seq")
+def unique_evidence(spark, d):
+    o = model.observations(spark, d).groupBy("seq").agg(F.collect_list("tag").alias("ids"))
+    return o.select("seq", validation.unique_ids(F.col("ids")).alias("unique_ids"))
+
+
+@query("SELECT bits, value_class FROM (SELECT DISTINCT (event_id % 1000 - 500) * 18000000000000000 AS bits, CASE WHEN event_id % 1000 < 500 THEN 'negative' ELSE 'positive' END AS value_class FROM events) ORDER BY xor(bits, CAST(-9223372036854775808 AS BIGINT)) LIMIT 16")
+def real_bits_order(spark, d):
+    i = F.col("event_id") % 1000
+    t = model.table(spark, d, "events").select(((i - 500) * 18_000_000_000_000_000).alias("bits"), F.when(i < 500, "negative").otherwise("positive").alias("value_class")).distinct()
+    return t.orderBy(S.real_order(F.col("bits"))).limit(16)
+
+
+@query("SELECT event_id, name, CASE WHEN regexp_full_match(name, 'generation-[0-9]{20}\\.journal') THEN CAST(substr(name, 12, 20) AS BIGINT) END AS generation FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'generation-' || event_id || '.journal' ELSE 'generation-' || lpad(CAST(event_id AS VARCHAR), 20, '0') || '.journal' END AS name FROM events)")
+def generation_names(spark, d):
+    i = F.col("event_id")
+    t = model.table(spark, d, "events").select("event_id", F.when(i % 4 == 0, F.concat(F.lit("generation-"), i.cast("string"), F.lit(".journal"))).otherwise(generations.file_name(i)).alias("name"))
+    return t.select("event_id", "name", generations.parse_name(F.col("name")).alias("generation"))
+
+
+@query("SELECT event_type, min(value) AS low, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95, max(value) AS high FROM events GROUP BY 1")
+def value_summary(spark, d):
+    return model.table(spark, d, "events").groupBy("event_type").agg(F.min("value").alias("low"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("high"))
+
+
+@query("SELECT event_id + 1 AS seq, sha256(props) AS digest FROM events")
+def content_digest(spark, d):
+    return model.table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), F.sha2("props", 256).alias("digest"))
+
+
+@query("""WITH s AS (SELECT user_id AS store, event_id AS generation, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events WHERE event_id % 3 <> 0)
+SELECT store, generation, CASE WHEN g IS NULL THEN 'first' WHEN generation = g + 1 THEN 'next' ELSE 'skipped' END AS progress FROM s""")
+def reference_progress(spark, d):
+    e = model.table(spark, d, "events").where("event_id % 3 <> 0").select(F.col("user_id").alias("store"), F.col("event_id").alias("generation"))
+    return generations.progress(e, "store")
+
+
+@query("SELECT user_id AS store, max(event_id) AS generation, max_by(value, event_id) AS cutoff, CASE WHEN count(*) = 1 AND max(event_id) <> 1 THEN 'missing_slot' WHEN count(*) = 2 AND max(event_id) <> min(event_id) + 1 THEN 'not_consecutive' ELSE 'current' END AS verdict FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 2) GROUP BY 1")
+def manifest_select(spark, d):
+    e = model.table(spark, d, "events").select(F.col("user_id").alias("store"), F.col("event_id").alias("generation"), F.col("value").alias("cutoff"), F.lit(True).alias("sound"))
+    slots = e.withColumn("r", F.row_number().over(W.partitionBy("store").orderBy(F.desc("generation")))).where("r <= 2")
+    return recovery.current_manifest(slots, ["store"]).select("store", "generation", "cutoff", "verdict")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 1000 WHEN 'view' THEN 1000 - 200 ELSE 1000 - 200 - 300 END AS ceiling, event_id % 1100 + 50 <= CASE event_type WHEN 'click' THEN 1000 WHEN 'view' THEN 1000 - 200 ELSE 1000 - 200 - 300 END AS fits FROM events")
+def priority_ceiling(spark, d):
+    e = model.table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "click", "protected").when(F.col("event_type") == "view", "normal").otherwise("bulk").alias("priority"), (F.col("event_id") % 1100 + 50).alias("bytes"))
+    ceiling = retry.byte_ceiling(F.col("priority"), 1000, 200, 300)
+    return e.select("event_id", ceiling.alias("ceiling"), (F.col("bytes") <= ceiling).alias("fits"))
+
+
 # ---- lookups
 
 
@@ -382,6 +441,13 @@ def retry_script(spark, d):
     return retry.run_submissions(submissions(spark, d), 12, 12)
 
 
+@query("SELECT series, epoch, sequence, value FROM (SELECT user_id AS series, event_id // 300 AS epoch, event_id % 300 AS sequence, value FROM events) WHERE series = 7 ORDER BY epoch DESC, sequence DESC LIMIT 1")
+def latest_get(spark, d):
+    i = F.col("seq") - 1
+    e = model.event_observations(spark, d).where(F.col("series") == SERIES).select("series", F.floor(i / 300).alias("epoch"), (i % 300).alias("sequence"), "value")
+    return latest.latest(e, ["epoch", "sequence"])
+
+
 # ---- registry
 
 
@@ -402,6 +468,16 @@ def registry_snapshot(spark, d):
     return registry.snapshot(registry_lifecycle(spark, d))
 
 
+@query(f"SELECT count(DISTINCT series) AS series_count, count(*) AS revision_count FROM {DECLARATIONS}")
+def registry_counts(spark, d):
+    return registry.counts(_declarations(spark, d))
+
+
+@query(f"SELECT series, max(revision) AS revision, max_by(payload, revision) AS payload FROM {DECLARATIONS} GROUP BY series")
+def latest_declarations(spark, d):
+    return registry.latest_declarations(_declarations(spark, d))
+
+
 REGISTRY_SQL = "(SELECT c_custkey AS series, CASE c_custkey % 3 WHEN 0 THEN 'sampled' WHEN 1 THEN 'event' ELSE 'interval' END AS mode, CASE c_custkey % 2 WHEN 0 THEN 'real' ELSE 'state' END AS family, c_custkey % 10 = 0 AS retired FROM customer WHERE c_custkey % 7 <> 0)"
 
 
