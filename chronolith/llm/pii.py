@@ -1,6 +1,6 @@
 r"""Personal data and secrets: keyed surrogates of the same type and format.
 
-Detection looks for e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, IBANs, assigned secrets
+Detection looks for e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, IBANs, assigned secrets and access keys
 (token = "...", hexadecimal or base-64 text) and names after a title (Mr, Mrs, Herr, Frau, Señor, Madame, ...). Each entity has a
 canonical form, by which its mentions refer to one another: digits without separators, the address in lower case, the name.
 
@@ -45,8 +45,9 @@ SECRET = r"""(?i:\b(?:api[_-]?key|secret|token|password|passwd|access[_-]?key)\b
 EMAIL = r"(?P<email>[A-Za-z0-9_%+\-]+(?:\.[A-Za-z0-9_%+\-]+)*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]*[A-Za-z0-9])*\.[A-Za-z]{2,})"
 IBAN = r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"
 IP = r"(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d.]*\d)"
-CARD = r"(?<!\d)(?P<card>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}(?:\2\d{1,3})?)(?!\d)"
-PHONE = r"(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,5}){1,4}|\(\d{2,4}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}-\d{2}-\d{4}|\+\d{8,15})(?![\w-])"
+CARD = r"(?<!\d)(?P<card>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}(?:\2\d{1,3})?|3[0468]\d{2}[ -]?\d{6}[ -]?\d{4,5})(?!\d)"
+KEYS = r"\b(?:AKIA|gh[pousr]_|sk-)(?P<secret>[A-Za-z0-9]{16,})\b"
+PHONE = r"(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,5}){1,4}|\(\d{2,4}\) ?\d{3}[ .-]\d{4}|\d{3}[-. ]\d{3}[-. ]\d{4}|\d{3}-\d{2}-\d{4}|\+\d{8,15})(?![\w-])"
 NAME = r"\b(?P<title>" + "|".join(sorted((w for t in TITLES for w in (t.capitalize(), t.upper())), key=len, reverse=True)) + r")\b\.? (?P<name>[^\W\d_a-zа-я][^\W\d_]+(?:[ -][^\W\d_a-zа-я][^\W\d_]+){0,2})"
 
 
@@ -65,6 +66,7 @@ _digit = re.compile(r"[0-9]").search
 PATTERNS = [
     ("email", re.compile(EMAIL), lambda text: "@" in text),
     ("secret", re.compile(SECRET), _has_secret),
+    ("secret", re.compile(KEYS), lambda text: "AKIA" in text or "gh" in text and "_" in text or "sk-" in text),
     ("iban", re.compile(IBAN), _digit),
     ("card", re.compile(CARD), _digit),
     ("ip", re.compile(IP), _digit),
@@ -97,8 +99,10 @@ def find(text: str | None) -> list[tuple[int, int, str, str, str]]:
         spans = [(a, b, "") for a, b in _emails(text)] if kind == "email" else [(*m.span(kind), m["title"] if kind == "name" else "") for m in pattern.finditer(text)]
         for a, b, title in spans:
             value = text[a:b]
-            if kind == "card" and len(re.sub(r"\D", "", value)) < 16:
-                continue
+            if kind == "card":
+                digits = re.sub(r"\D", "", value)
+                if len(digits) != 16 and _luhn(digits[:-1]) != int(digits[-1]):
+                    continue
             canon = value.lower() if kind == "email" else re.sub(r"[ .()-]", "", value) if kind in ("phone", "card", "iban") else value
             if not any(a < y and x < b for x, y, *_ in found):
                 found.append((a, b, kind, canon, _gender(title, value) if kind == "name" else ""))
