@@ -45,7 +45,7 @@ SECRET = r"""(?i:\b(?:api[_-]?key|secret|token|password|passwd|access[_-]?key)\b
 EMAIL = r"(?P<email>[A-Za-z0-9_%+\-]+(?:\.[A-Za-z0-9_%+\-]+)*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]*[A-Za-z0-9])*\.[A-Za-z]{2,})"
 IBAN = r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"
 IP = r"(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d.]*\d)"
-CARD = r"(?<!\d)(?P<card>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}(?:\2\d{1,3})?|3[0468]\d{2}[ -]?\d{6}[ -]?\d{4,5})(?!\d)"
+CARD = r"(?<!\d)(?P<card>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}(?:\2\d{1,3})?|3[04678]\d{2}[ -]?\d{6}[ -]?\d{4,5})(?!\d)"
 KEYS = r"\b(?:AKIA|gh[pousr]_|sk-)(?P<secret>[A-Za-z0-9]{16,})\b"
 PHONE = r"(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,5}){1,4}|\(\d{2,4}\) ?\d{3}[ .-]\d{4}|\d{3}[-. ]\d{3}[-. ]\d{4}|\d{3}-\d{2}-\d{4}|\+\d{8,15})(?![\w-])"
 NAME = r"\b(?P<title>" + "|".join(sorted((w for t in TITLES for w in (t.capitalize(), t.upper())), key=len, reverse=True)) + r")\b\.? (?P<name>[^\W\d_a-zа-я][^\W\d_]+(?:[ -][^\W\d_a-zа-я][^\W\d_]+){0,2})"
