@@ -56,11 +56,8 @@ def _has_secret(text: str) -> bool:
     return any(w in low for w in ("key", "secret", "token", "passw"))
 
 
-def _has_title(text: str) -> bool:
-    return any(f"{t} " in text or f"{t}. " in text for t in TITLE_WORDS)
-
-
 TITLE_WORDS = [w for t in TITLES for w in (t.capitalize(), t.upper())]
+_title = re.compile("(?:" + "|".join(sorted(TITLE_WORDS, key=len, reverse=True)) + r")\.? ").search
 _digit = re.compile(r"[0-9]").search
 #: Kind, pattern and a cheap test that texts without the kind fail, in order of precedence.
 PATTERNS = [
@@ -71,7 +68,7 @@ PATTERNS = [
     ("card", re.compile(CARD), _digit),
     ("ip", re.compile(IP), _digit),
     ("phone", re.compile(PHONE), _digit),
-    ("name", re.compile(NAME), _has_title),
+    ("name", re.compile(NAME), _title),
 ]
 #: An e-mail address is looked for around each @, not from each letter of the text.
 LOCAL = re.compile(r"[A-Za-z0-9_%+\-]+(?:\.[A-Za-z0-9_%+\-]+)*$")
