@@ -154,7 +154,8 @@ class _Run:
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run_bytes: int = 12 << 20, shard_windows: int = 4 << 20) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of each row, as the module says."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    src = every.where("doc_id IS NOT NULL")
     total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     runs, shards = total // run_bytes + 1, total // (6 * shard_windows) + 1
     parts = max(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -166,7 +167,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def run_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), side="left").astype(np.int32))
 
-    dealt = src.withColumn("run", run_of(F.coalesce("doc_id", F.lit(0)))).repartition(int(len(bounds)) + 1, "run")
+    dealt = src.withColumn("run", run_of("doc_id")).repartition(int(len(bounds)) + 1, "run")
 
     def emit(key: tuple, t: pa.Table) -> pa.Table:
         run = _Run(t["doc_id"].to_pylist(), t["text"].to_pylist(), window)
@@ -200,7 +201,16 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     sent = dealt.groupBy("run").applyInArrow(emit, "shard int, run int, data binary")
     found = sent.groupBy("shard").applyInArrow(merge, "run int, data binary")
-    return dealt.groupBy("run").cogroup(found.groupBy("run")).applyInArrow(settle, "doc_id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("doc_id", id_col)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    settled = dealt.groupBy("run").cogroup(found.groupBy("run")).applyInArrow(settle, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [(t.as_py() or b"").split() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    # rows without an id stay out of the runs, however many they are
+    return settled.unionByName(every.where("doc_id IS NULL").mapInArrow(whole, schema)).withColumnRenamed("doc_id", id_col)
 
 
 ORACLE_SQL = r"""
