@@ -6,8 +6,9 @@ fingerprint of its own for which the same half-radius balls meet: two texts whos
 variant. The number of tables follows from the wanted recall at the wanted similarity. What meets is verified: by the distance
 of all 448 bits where that decides, else by the shingle sets themselves.
 
-A variant's group is walked in order, never collected: the first eight members meet each other, and later ones the first. That is every
-pair of groups up to eight; larger groups are copies of one another, which a star links.
+Every pair of a variant's group is looked at. In groups up to eight the members meet as rows. Larger groups are dealt into blocks of
+`BLOCK` texts, and pairs of blocks are joined, not pairs of texts: each returns the links that all bits decide as stars, and the pairs
+that the sets must decide only where no such link joins them already. Groups with the same members count once.
 
 Defined results: null and empty texts have no shingles and count as copies of each other; texts of fewer than five words have one shingle.
 Rows with a null id never become a group's representative while another id is there. Repeated rows get one row each. Extra columns are ignored.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from .graph import components
 from .simhash import shingle_hashes
 
 WORDS = 7
+#: Groups up to this size meet as rows, larger ones in blocks.
+SMALL, BLOCK = 8, 256
 MULTIPLIERS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & (1 << 64) - 1 for k in range(WORDS))
 
 
@@ -65,6 +68,26 @@ def table_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
     return min(math.ceil(math.log(1 - recall) / math.log(1 - hit)), 64 * (WORDS - 1) // bits), bits
 
 
+def block_links(names: np.ndarray, sigs: np.ndarray, sure: int, hopeless: int, split: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, other, distance) of texts whose signatures are rows: stars of the groups that distances up to `sure` link, at distance 0;
+    and each pair up to `hopeless` that these groups don't join. With a split, pairs on one side of it are left to other calls."""
+    d = np.zeros((len(names), len(names)), np.int32)
+    for word in sigs.T:
+        d += np.bitwise_count(word[:, None] ^ word[None, :])
+    linked, root = d <= sure, names
+    while True:
+        new = np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1)
+        if (new == root).all():
+            break
+        root = new
+    i, j = np.nonzero(np.triu((d <= hopeless) & (root[:, None] != root[None, :]), 1))
+    if split:
+        i, j = (x[(i < split) & (j >= split)] for x in (i, j))
+    star = np.nonzero(root != names)[0]
+    high, low = np.maximum(names[i], names[j]), np.minimum(names[i], names[j])
+    return np.concatenate([names[star], high]), np.concatenate([root[star], low]), np.concatenate([np.zeros(len(star), np.int64), d[i, j]])
+
+
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, recall: float = 0.97, broadcast_docs: int = 200_000) -> DataFrame:
     """(id, component_id): the smallest id of each row's group of near-duplicates."""
     text = F.col(text_col).cast("string").cast("binary")
@@ -92,11 +115,21 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     flips = F.array(*(F.lit(0 if i < 0 else 1 << i).cast("long") for i in range(-1, bits)))
     balls = nodes.select("node", F.explode("keys").alias("key")).select("node", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
     w = W.partitionBy("key").orderBy("node")
-    early = F.row_number().over(w) <= 8
-    near = [F.first("node").over(w).alias("n0"), F.lag("node").over(w).alias("n1"), *(F.when(early, F.lag("node", k).over(w)).alias(f"n{k}") for k in range(2, 8))]
-    met = balls.select("node", early.alias("early"), *near).where("n1 IS NOT NULL").select("node", F.explode(F.array(*(f"n{k}" for k in (0, *range(2, 8))), F.when(F.col("early"), F.col("n1")))).alias("other")).where((F.col("other") < F.col("node")) & (F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= 22)).distinct()
+    at = F.row_number().over(w)
+    key, none = F.col("key"), F.lit(None).cast("long")
+
+    def row(key: Column, node: Column, other: Column) -> Column:
+        return F.struct(key.alias("key"), node.alias("node"), other.alias("other"))
+
+    lags = [F.col(f"n{k}") for k in range(1, SMALL + 1)]
+    small = F.array(*(row(none, F.col("node"), n) for n in lags[:-1]))
+    large = F.array(row(key, F.col("node"), none))
+    ninth = F.array(*(row(key, n, none) for n in (F.col("node"), *lags)))
+    met = balls.select("key", "node", at.alias("at"), *(F.lag("node", k).over(w).alias(f"n{k}") for k in range(1, SMALL + 1))).where("n1 IS NOT NULL")
+    met = met.select(F.explode(F.when(F.col("at") <= SMALL, small).when(F.col("at") == SMALL + 1, ninth).otherwise(large)).alias("r")).select("r.*")
+    met = checkpointed(met.where(F.col("key").isNotNull() | (F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= 22)).distinct())
     a, b = nodes.select(F.col("node"), F.col("sig").alias("s1")), nodes.select(F.col("node").alias("other"), F.col("sig").alias("s2"))
-    both = met.join(a, "node").join(b, "other")
+    both = met.where("key IS NULL").select("node", "other").join(a, "node").join(b, "other")
     p, total = differing_share(least), 64 * WORDS
     sd = math.sqrt(p * (1 - p) / total)
     sure, hopeless = math.floor((p - 2 * sd) * total), math.ceil((p + 3 * sd) * total)
@@ -106,8 +139,29 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             s1, s2 = (np.frombuffer(b"".join(t.column(i).to_pylist()), "<u8").reshape(-1, WORDS) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(np.bitwise_count(s1 ^ s2).sum(axis=1, dtype=np.int64))], ["node", "other", "d"])
 
-    pairs = checkpointed(both.select("node", "other", "s1", "s2").mapInArrow(distance, "node long, other long, d long").where(F.col("d") <= hopeless))
-    unsure = pairs.where(F.col("d") > sure)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for k in range(t.num_rows):
+                m1, m2 = t.column(1)[k].values, t.column(2)[k].values
+                sides = (m1,) if t.column(0)[k].as_py() else (m1, m2)
+                names = np.concatenate([m.field("node").to_numpy() for m in sides])
+                found = block_links(names, np.concatenate([np.frombuffer(b"".join(m.field("sig").to_pylist()), "<u8").reshape(len(m), -1) for m in sides]), sure, hopeless, len(m1) if len(sides) == 2 else 0)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "other", "d"])
+
+    groups = met.where("key IS NOT NULL").select("key", "node")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"))
+    sizes = checkpointed(sizes.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    dealt = groups.join(sizes, "key").select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("b"), "node")
+    dealt = checkpointed(dealt.join(nodes.select("node", "sig"), "node").groupBy("key", "b").agg(F.collect_list(F.struct("node", "sig")).alias("m")))
+    turns = sizes.select("key", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b1")).select("key", "b1", F.explode(F.sequence(F.col("b1"), F.col("blocks") - 1)).alias("b2"))
+    one, two = (dealt.withColumnsRenamed({"b": f"b{k}", "m": f"m{k}"}) for k in (1, 2))
+    turns = turns.join(one, ["key", "b1"]).join(two, ["key", "b2"]).select((F.col("b1") == F.col("b2")).alias("same"), "m1", "m2")
+    pairs = both.select("node", "other", "s1", "s2").mapInArrow(distance, "node long, other long, d long").where(F.col("d") <= hopeless)
+    pairs = checkpointed(pairs.union(turns.mapInArrow(compare, "node long, other long, d long")).distinct())
+    # what the bits join needs no proof by sets, so it is joined first
+    joined = checkpointed(components(pairs.where(F.col("d") <= sure).select(F.col("node").alias("a"), F.col("other").alias("b"))))
+    unsure = pairs.where(F.col("d") > sure).join(joined.withColumnRenamed("component", "c1"), "node", "left").join(joined.toDF("other", "c2"), "other", "left")
+    unsure = checkpointed(unsure.where(F.coalesce("c1", "node") != F.coalesce("c2", "other")).select("node", "other"))
     asked = unsure.select("node").union(unsure.select("other")).distinct()
     wanted = checkpointed(asked.join(nodes.select("node", "sig"), "node").join(first, "sig").select("node", F.col("rep").alias("id")))
     known = F.broadcast(wanted) if wanted.count() <= broadcast_docs else wanted
@@ -122,7 +176,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     proven = unsure.join(own.withColumnRenamed("s", "x"), "node").join(own.select(F.col("node").alias("other"), F.col("s").alias("y")), "other")
     common = F.size(F.array_intersect("x", "y"))
     proven = proven.where(common / (F.size("x") + F.size("y") - common) >= least)
-    links = pairs.where(F.col("d") <= sure).select("node", "other").union(proven.select("node", "other"))
+    links = joined.union(proven.select("node", "other"))
     groups = components(links.toDF("a", "b"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
