@@ -1,10 +1,10 @@
 """Near-duplicates of a stated similarity by ball hashing of SimHash tables.
 
 A single 64-bit fingerprint with a radius of 3 finds few texts whose sets of five-word shingles agree by 0.8: their bits differ in some
-15 places of 100. Here a text gets 448 SimHash bits. The first 64 name it; the others are cut into tables of about log2 n + 8 bits, each a
+15 places of 100. Here a text gets 448 SimHash bits or more. The first 64 name it; the others are cut into tables of about log2 n + 8 bits, each a
 fingerprint of its own for which the same half-radius balls meet: two texts whose bits of a table differ in 2 places or fewer share a
-variant. The number of tables follows from the wanted recall at the wanted similarity. What meets is verified: by the distance
-of all 448 bits where that decides, else by the shingle sets themselves.
+variant. The number of tables follows from the wanted recall at the wanted similarity, and the signature's width
+from the tables. What meets is verified: by the distance of all bits where that decides, else by the shingle sets themselves.
 
 Every pair of a variant's group is looked at. In groups up to eight the members meet as rows. Larger groups are dealt into blocks of
 `BLOCK` texts, and pairs of blocks are joined, not pairs of texts: each returns the links that all bits decide as stars, and the pairs
@@ -29,10 +29,8 @@ from .common import checkpointed
 from .graph import components
 from .simhash import shingle_hashes
 
-WORDS = 7
 #: Groups up to this size meet as rows, larger ones in blocks.
 SMALL, BLOCK = 8, 256
-MULTIPLIERS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & (1 << 64) - 1 for k in range(WORDS))
 
 
 def _shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -40,10 +38,11 @@ def _shingles(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """448 SimHash bits of a set of shingles."""
-    out = np.zeros(WORDS, np.int64)
-    for k, mult in enumerate(MULTIPLIERS):
+def signature(shingles: np.ndarray, words: int = 7) -> np.ndarray:
+    """SimHash bits of a set of shingles, 64 a word."""
+    out = np.zeros(words, np.int64)
+    for k in range(words):
+        mult = (0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & (1 << 64) - 1
         votes = np.zeros(64, np.int64)
         for at in range(0, len(shingles), 1 << 14):
             h = shingles[at : at + (1 << 14)] * np.uint64(mult)
@@ -65,7 +64,12 @@ def table_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
     bits = min(max(math.ceil(math.log2(max(n, 2))) + 8, 16), 56)
     p = differing_share(similarity)
     hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
-    return min(math.ceil(math.log(1 - recall) / math.log(1 - hit)), 64 * (WORDS - 1) // bits), bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - hit)), bits
+
+
+def signature_words(tables: int, bits: int) -> int:
+    """Words of a signature: one that names the text, and what the tables need; 7 at least."""
+    return max(7, 1 + -(-tables * bits // 64))
 
 
 def block_links(names: np.ndarray, sigs: np.ndarray, sure: int, hopeless: int, split: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,22 +97,23 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     text = F.col(text_col).cast("string").cast("binary")
     src = docs.select(F.col(id_col).alias("id"), text.alias("_text"))
     schema = src.select("id").schema.add("sig", "binary")
+    n_tables, bits = table_plan(src.count(), least, recall)
+    n_words = signature_words(n_tables, bits)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs = [signature(_shingles(t.as_py(), shingle)).astype("<i8").tobytes() for t in b.column(1)]
+            sigs = [signature(_shingles(t.as_py(), shingle), n_words).astype("<i8").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
 
     signed = checkpointed(src.mapInArrow(sign, schema))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(-1, WORDS)
+            words = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(-1, n_words)
             keys = [_table_keys(w, n_tables, bits) for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(words[:, 0], pa.int64()), b.column(1), pa.array(keys, pa.list_(pa.int64()))], ["node", "sig", "keys"])
 
     first = checkpointed(signed.groupBy("sig").agg(F.min("id").alias("rep")))
-    n_tables, bits = table_plan(first.count(), least, recall)
     tasks = first.count() // 10_000 + 1
     nodes = first.repartition(tasks, "sig").select("rep", "sig").mapInArrow(unpack, "node long, sig binary, keys array<long>")
     nodes = checkpointed(nodes.groupBy("node").agg(F.min(F.struct("sig", "keys")).alias("r")).select("node", "r.sig", "r.keys").repartition(tasks, "node"))
@@ -130,13 +135,13 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     met = checkpointed(met.where(F.col("key").isNotNull() | (F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= 22)).distinct())
     a, b = nodes.select(F.col("node"), F.col("sig").alias("s1")), nodes.select(F.col("node").alias("other"), F.col("sig").alias("s2"))
     both = met.where("key IS NULL").select("node", "other").join(a, "node").join(b, "other")
-    p, total = differing_share(least), 64 * WORDS
+    p, total = differing_share(least), 64 * n_words
     sd = math.sqrt(p * (1 - p) / total)
     sure, hopeless = math.floor((p - 2 * sd) * total), math.ceil((p + 3 * sd) * total)
 
     def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            s1, s2 = (np.frombuffer(b"".join(t.column(i).to_pylist()), "<u8").reshape(-1, WORDS) for i in (2, 3))
+            s1, s2 = (np.frombuffer(b"".join(t.column(i).to_pylist()), "<u8").reshape(-1, n_words) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(np.bitwise_count(s1 ^ s2).sum(axis=1, dtype=np.int64))], ["node", "other", "d"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +186,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            words = np.frombuffer(b"".join(t.column(1).to_pylist()), "<i8").reshape(-1, WORDS)
+            words = np.frombuffer(b"".join(t.column(1).to_pylist()), "<i8").reshape(-1, n_words)
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(words[:, 0], pa.int64())], ["id", "node"])
 
     rows = signed.mapInArrow(name, src.select("id").schema.add("node", "long"))

@@ -316,3 +316,15 @@ def test_every_pair_of_a_block_is_looked_at():
     assert roots((a, b) for a, b, x in rows if x <= 60) == want
     open_pairs = {tuple(sorted((int(names[i]), int(names[j])))) for i, j in pairs if d[i][j] <= 90 and want[int(names[i])] != want[int(names[j])]}
     assert open_pairs and open_pairs <= {tuple(sorted((a, b))) for a, b, x in rows if x > 60}
+
+
+@pytest.mark.parametrize("n", [2, 10**3, 10**4, 10**5, 10**6, 6 * 10**6, 3 * 10**7, 10**8])
+def test_tables_keep_the_recall_as_rows_grow(n):
+    p = neardup.differing_share(0.8)
+    tables, bits = neardup.table_plan(n, 0.8, 0.97)
+    hit = sum(neardup.math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    assert 1 - (1 - hit) ** tables >= 0.97
+    words = neardup.signature_words(tables, bits)
+    assert 64 * (words - 1) >= tables * bits
+    keys = neardup._table_keys(neardup.np.full(words, -1), tables, bits)
+    assert keys == [(1 << bits) - 1 | t << bits for t in range(tables)] and max(keys) < 1 << 63
