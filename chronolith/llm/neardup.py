@@ -72,6 +72,10 @@ def signature_words(tables: int, bits: int) -> int:
     return max(7, 1 + -(-tables * bits // 64))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def block_links(names: np.ndarray, sigs: np.ndarray, sure: int, hopeless: int, split: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, other, distance) of texts whose signatures are rows: stars of the groups that distances up to `sure` link, at distance 0;
     and each pair up to `hopeless` that these groups don't join. With a split, pairs on one side of it are left to other calls."""
@@ -94,8 +98,17 @@ def block_links(names: np.ndarray, sigs: np.ndarray, sure: int, hopeless: int, s
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, recall: float = 0.97, broadcast_docs: int = 200_000) -> DataFrame:
     """(id, component_id): the smallest id of each row's group of near-duplicates."""
+    rows = near_duplicate_rows(docs, id_col=id_col, text_col=text_col, shingle=shingle, least=least, recall=recall, broadcast_docs=broadcast_docs)
+    return rows.select(id_col, "component_id")
+
+
+def near_duplicate_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, recall: float = 0.97, broadcast_docs: int = 200_000) -> DataFrame:
+    """(id, text_hash, component_id, component_hash) of each row: the group's first row by id, null last, then by the text's hash.
+
+    Rows are known by id and text, so null and repeated ids don't mix texts."""
     text = F.col(text_col).cast("string").cast("binary")
-    src = docs.select(F.col(id_col).alias("id"), text.alias("_text"))
+    own = F.struct(F.col(id_col).isNull().alias("nil"), F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"))
+    src = docs.select(own.alias("id"), text.alias("_text"))
     schema = src.select("id").schema.add("sig", "binary")
     n_tables, bits = table_plan(src.count(), least, recall)
     n_words = signature_words(n_tables, bits)
@@ -170,7 +183,8 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     asked = unsure.select("node").union(unsure.select("other")).distinct()
     wanted = checkpointed(asked.join(nodes.select("node", "sig"), "node").join(first, "sig").select("node", F.col("rep").alias("id")))
     known = F.broadcast(wanted) if wanted.count() <= broadcast_docs else wanted
-    texts = src.join(known, "id").dropDuplicates(["node"]).select("node", "_text")
+    known = known.withColumnsRenamed({"id": "rep"})
+    texts = src.join(known, F.col("id.id").eqNullSafe(F.col("rep.id")) & (F.col("id.th") == F.col("rep.th"))).dropDuplicates(["node"]).select("node", "_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -192,8 +206,8 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = signed.mapInArrow(name, src.select("id").schema.add("node", "long"))
     rows = rows.join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
     rows = checkpointed(rows)
-    least_id = rows.groupBy("component").agg(F.min("id").alias("component_id"))
-    return rows.join(least_id, "component").select(F.col("id").alias(id_col), "component_id")
+    least_id = rows.groupBy("component").agg(F.min("id").alias("c"))
+    return rows.join(least_id, "component").select(F.col("id.id").alias(id_col), F.col("id.th").alias("text_hash"), F.col("c.id").alias("component_id"), F.col("c.th").alias("component_hash"))
 
 
 def _table_keys(words: np.ndarray, tables: int, bits: int) -> list[int]:

@@ -10,13 +10,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.llm.common import checkpointed
 from chronolith.llm.decontaminate import decontaminate
 from chronolith.llm.langid import UNKNOWN, fit_languages, score_languages
 from chronolith.llm.mixing import mixed_rows
-from chronolith.llm.neardup import near_duplicate_groups
+from chronolith.llm.neardup import near_duplicate_rows, text_hash
 from chronolith.llm.pii import replace_entities
 
 #: A document whose best language is less likely than this is rejected, as is one without a letter.
@@ -30,9 +31,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates: SimHash balls over sets of five-word shingles, 0.8 alike."""
-    gone = near_duplicate_groups(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    """Keep one row of each group of near-duplicates: SimHash balls over sets of five-word shingles, 0.8 alike.
+
+    Rows are known by id and text. The smallest id stays, null only where the group has no other, then the smallest hash of the text;
+    of rows that agree in both, the one with the smallest hash of all columns."""
+    groups = checkpointed(near_duplicate_rows(docs).withColumnRenamed("doc_id", "_id"))
+    first = F.col("_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
+    gone = groups.where(~first).select("_id", "text_hash").distinct()
+    again = checkpointed(groups.where(first).groupBy("_id", "text_hash").count().where("count > 1").select("_id", "text_hash"))
+
+    def same(other: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(other["_id"]) & (text_hash(docs["text"]) == other["text_hash"])
+
+    settled = gone.union(again)
+    once = docs.join(settled, same(settled), "left_anti")
+    row = F.xxhash64(*(F.col(c) for c in docs.columns))
+    repeated = docs.join(again, same(again), "left_semi").groupBy("doc_id", text_hash(F.col("text")).alias("_th")).agg(F.min_by(F.struct(*docs.columns), row).alias("r"))
+    return once.union(repeated.select("r.*"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,28 @@ def test_stages(spark):
     assert mixed.groupBy("doc_id").agg(F.sum("mix_words").alias("n")).count() == 3
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    near = " ".join(f"n{k}" for k in range(150))
+    nulls, clean, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [
+        (1, near, "a"),
+        (None, near + " end", "a"),  # near-copy of a row with an id: goes
+        (None, clean, "a"),  # clean, with a null id: stays
+        (None, nulls, "a"),
+        (None, nulls, "b"),  # null-id copies of each other: one stays
+        (7, near + " tail", "a"),  # a repeated id whose other text is clean
+        (7, other, "a"),
+        (8, "one two three four five six", "a"),
+        (8, "one two three four five six", "a"),  # a repeated row
+        (9, "one two three four five six", "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = cp.near_duplicates(spark, docs, "")
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == 5
+    assert set(got) == {(1, near), (None, clean), (None, nulls), (7, other), (8, "one two three four five six")}
+
+
 def test_run_on_tables(spark):
     out = cp.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100
