@@ -3,8 +3,8 @@
 A rotation of the principal axes is learned on a bounded sample of the vectors, so that their signs make balanced binary codes
 (iterative quantisation). The code is cut into substrings; each table files every vector under its label and one substring. Two
 vectors meet in a table if their substrings differ in `radius` bits or fewer, so codes that differ in up to
-tables * (radius + 1) - 1 bits always meet. Tables and radius follow the number of vectors: substrings have about log2 of it in bits, and
-that guarantee covers 7 bits at least. What meets is reranked with the original vectors, in double precision: links have no false member.
+tables * (radius + 1) - 1 bits always meet. Tables and radius follow the number of vectors: substrings have about log2 of it in bits, or fewer
+where a table would have more than 2,000 probes, and that guarantee covers 7 bits at least. What meets is reranked with the original vectors, in double precision: links have no false member.
 
 Equal vectors merge first. A table's entry is dealt into blocks of about `block` vectors, and pairs of blocks, not of vectors, are
 joined: each is one small matrix product that returns a vector's count of links and its root inside the pair of blocks. No group is
@@ -55,13 +55,14 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def plan(n: int, bits: int, least: int = 7) -> tuple[int, int]:
-    """Tables and radius for n vectors: tables * (radius + 1) - 1 >= least, as far as a table has 2,000 probes or fewer."""
+    """Tables and radius for n vectors: tables * (radius + 1) - 1 >= least, with tables enough that each has 2,000 probes or fewer."""
     tables = max(1, min(bits, bits // max(1, math.ceil(math.log2(max(n, 2))))))
-    width = -(-bits // tables)
-    radius = min(width, max(0, math.ceil((least + 1) / tables) - 1))
-    while radius and sum(math.comb(width, k) for k in range(radius + 1)) > 2_000:
-        radius -= 1
-    return tables, radius
+    while True:
+        width = -(-bits // tables)
+        radius = min(width, max(0, math.ceil((least + 1) / tables) - 1))
+        if tables >= bits or sum(math.comb(width, k) for k in range(radius + 1)) <= 2_000:
+            return tables, radius
+        tables += 1
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, bits: int = 64, sample: int = 8_000, block: int = 256, seed: int = 1) -> DataFrame:

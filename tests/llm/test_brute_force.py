@@ -328,3 +328,12 @@ def test_tables_keep_the_recall_as_rows_grow(n):
     assert 64 * (words - 1) >= tables * bits
     keys = neardup._table_keys(neardup.np.full(words, -1), tables, bits)
     assert keys == [(1 << bits) - 1 | t << bits for t in range(tables)] and max(keys) < 1 << 63
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 7, 8, 12, 16, 24, 32, 48, 63, 64])
+def test_embedding_tables_keep_seven_bits(bits):
+    for n in [0, 1, 2, 100, 10**4, 65_537, 10**6, 2**21 + 1, 10**7, 10**8]:
+        tables, radius = embeddings.plan(n, bits)
+        width = -(-bits // tables)
+        assert radius >= width or tables * (radius + 1) - 1 >= min(7, bits)
+        assert sum(embeddings.math.comb(width, k) for k in range(radius + 1)) <= 2_000
