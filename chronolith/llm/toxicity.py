@@ -147,9 +147,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8_000, prior: float = 0.02, z_least: float = 3.0, lexicon_most: int = 20_000, seed: int = 5) -> ToxicityModel:
-    """Fit on at most `most` labelled documents, half of them toxic where there are as many. The lexicon has at most
-    `lexicon_most` features, those with the largest |z|; the prior weighs `prior` of all counts."""
+    """Fit on at most `most` labelled documents, half of them toxic where there are as many; the bias is then set back to
+    the labels' shares in all labelled rows. The lexicon has at most `lexicon_most` features, those with the largest |z|; the prior
+    weighs `prior` of all counts."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), (F.col(label_col) > 0).cast("int").alias("_toxic"))
+    shares = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     ids = bounded_ids(known, ["_toxic"], id_col, most // 2, most, seed).distinct()
     sample = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(ids), id_col).select("_toxic", "_text").persist()
     try:
@@ -157,6 +159,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         if not n.get(0) or not n.get(1):
             share = n.get(1, 0) / max(sum(n.values()), 1)
             return ToxicityModel(bias=30.0 if share == 1 else -30.0)
+        back = math.log(shares[1] / shares[0]) - math.log(n[1] / n[0])
         counts = sample.mapInArrow(_count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         na, nb = (float(x or 0) for x in counts.agg(F.sum("a"), F.sum("b")).first())
         tot = F.col("a") + F.col("b")
@@ -168,7 +171,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         words, s, b = lex["word"].to_pylist(), lex["s"].to_numpy().astype(float), lex["b"].to_numpy() / max(nb, 1.0)
         model = ToxicityModel(dict(zip(words, s.tolist())))
         if not (s > 0).any():
-            return ToxicityModel(bias=math.log((n[1] + 0.5) / (n[0] + 0.5)))
+            return ToxicityModel(bias=math.log((n[1] + 0.5) / (n[0] + 0.5)) + back)
         # the drift makes clean text lose twice what its positive tokens win, and a little in any case
         model.drift = -max(0.05, 2 * float((b * np.maximum(s, 0)).sum()))
         rest = max(1 - float(b.sum()), 0.0)
@@ -201,6 +204,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
         ev = sample.mapInArrow(evidence, "toxic int, x double").toArrow()
         model.slope, model.bias = _logistic(ev["x"].to_numpy().astype(float), ev["toxic"].to_numpy().astype(float))
+        model.bias += back
         return model
     finally:
         sample.unpersist()

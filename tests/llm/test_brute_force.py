@@ -337,3 +337,21 @@ def test_embedding_tables_keep_seven_bits(bits):
         width = -(-bits // tables)
         assert radius >= width or tables * (radius + 1) - 1 >= min(7, bits)
         assert sum(embeddings.math.comb(width, k) for k in range(radius + 1)) <= 2_000
+
+
+def test_toxicity_keeps_its_meaning_under_a_bound(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for k in range(6000):
+        toxic = k % 10 == 0
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(20, 80))]
+        for _ in range(rng.randrange(4) if toxic else rng.random() < 0.2):
+            words.insert(rng.randrange(len(words)), f"bad{rng.randrange(5)}")
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    score = [{r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, most=most)).collect()} for most in (20_000, 1_200)]
+    mean = [sum(x.values()) / len(x) for x in score]
+    assert sum((score[0][k] >= 0.5) != (score[1][k] >= 0.5) for k in score[0]) <= 0.02 * len(score[0])
+    assert all(abs(m - 0.1) < 0.03 for m in mean)
