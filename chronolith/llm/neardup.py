@@ -1,17 +1,27 @@
 """Near-duplicates of a stated similarity by ball hashing of SimHash tables.
 
 A single 64-bit fingerprint with a radius of 3 finds few texts whose sets of five-word shingles agree by 0.8: their bits differ in some
-15 places of 100. Here a text gets 448 SimHash bits or more. The first 64 name it; the others are cut into tables of about log2 n + 8 bits, each a
-fingerprint of its own for which the same half-radius balls meet: two texts whose bits of a table differ in 2 places or fewer share a
-variant. The number of tables follows from the wanted recall at the wanted similarity, and the signature's width
-from the tables. What meets is verified: by the distance of all bits where that decides, else by the shingle sets themselves.
+15 places of 100. Here a text gets 448 SimHash bits or more, cut into tables of about log2 n + 8 bits, each a fingerprint of its own for
+which the same half-radius balls meet: two texts whose bits of a table differ in 2 places or fewer share a variant. The number of
+tables follows from the wanted recall at the wanted similarity, and the signature's width from the tables.
 
-Every pair of a variant's group is looked at. In groups up to eight the members meet as rows. Larger groups are dealt into blocks of
-`BLOCK` texts, and pairs of blocks are joined, not pairs of texts: each returns the links that all bits decide as stars, and the pairs
-that the sets must decide only where no such link joins them already. Groups with the same members count once.
+Work is linear in the members of a hot group, and no pair that shares a variant goes unseen:
+
+1. Texts with the same set of shingles are one node; nodes with the same bits in a table are one class.
+2. Each member is compared with its class's hub, and what links is contracted to components.
+3. Classes, not members, emit their variants. A variant that several classes share is a bit mask of the flips that lead to them, so a
+   variant's group is one row of two numbers however hot it is. Hubs of classes that aren't one component yet are compared.
+4. What is left are classes and pairs of classes with members of several components. Their members are dealt into blocks, large
+   components into blocks of their own, and pairs of blocks of different components are compared whole. A hot group that has become
+   one component has no such pair.
+
+A link is a pair whose sets agree by `least`. It is proven by the sets themselves, but for pairs so close in all bits that a pair below
+`least` would come that close once in a million (`SURE` standard deviations). Pairs that are `HOPELESS` standard deviations farther
+than `least` (once in 30,000 at `least` itself), or differ in more than `FIRST_WORD` of their first 64 bits (as rare), aren't looked at.
 
 Defined results: null and empty texts have no shingles and count as copies of each other; texts of fewer than five words have one shingle.
-Rows with a null id never become a group's representative while another id is there. Repeated rows get one row each. Extra columns are ignored.
+Rows with a null id never become a group's representative while another id is there. Repeated rows get one row each. Extra columns are
+ignored. Long texts are read whole; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -21,16 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 from .graph import components
 from .simhash import shingle_hashes
 
-#: Groups up to this size meet as rows, larger ones in blocks.
-SMALL, BLOCK = 8, 256
+SURE, HOPELESS, FIRST_WORD = 4.5, 4.0, 22
+#: Members and bytes of a block, about.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 
 
 def _shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -59,6 +70,13 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def distance_limits(similarity: float, n_bits: int) -> tuple[int, int]:
+    """Distances up to the first prove the similarity, those beyond the second refute it."""
+    p = differing_share(similarity)
+    sd = math.sqrt(p * (1 - p) / n_bits)
+    return max(0, math.floor((p - SURE * sd) * n_bits)), math.ceil((p + HOPELESS * sd) * n_bits)
+
+
 def table_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
     """(tables, bits) for n texts, so that a pair of this similarity shares a variant with the wanted probability."""
     bits = min(max(math.ceil(math.log2(max(n, 2))) + 8, 16), 56)
@@ -68,7 +86,7 @@ def table_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
 
 
 def signature_words(tables: int, bits: int) -> int:
-    """Words of a signature: one that names the text, and what the tables need; 7 at least."""
+    """Words of a signature: one that names no table, and what the tables need; 7 at least."""
     return max(7, 1 + -(-tables * bits // 64))
 
 
@@ -76,141 +94,261 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def block_links(names: np.ndarray, sigs: np.ndarray, sure: int, hopeless: int, split: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, other, distance) of texts whose signatures are rows: stars of the groups that distances up to `sure` link, at distance 0;
-    and each pair up to `hopeless` that these groups don't join. With a split, pairs on one side of it are left to other calls."""
-    d = np.zeros((len(names), len(names)), np.int32)
+def _table_keys(words: np.ndarray, tables: int, bits: int) -> list[int]:
+    """The tables' bits with the table's number above them, from all words but the first."""
+    whole = int.from_bytes(words[1:].tobytes(), "little")
+    return [(whole >> (t * bits)) & (1 << bits) - 1 | t << bits for t in range(tables)]
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets agree by `least`; two empty ones do."""
+    small, large = sorted((len(x), len(y)))
+    if small < least * large:
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= least * (small + large - common)
+
+
+def block_merges(comps: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], split: int, sure: int, hopeless: int, least: float) -> list[tuple[int, int]]:
+    """Pairs of components that links join, as a forest: members before `split` against those from it on (0: all against all).
+
+    Pairs are tried from the closest on, and only while they are in different trees."""
+    n = len(comps)
+    d = np.zeros((n, n), np.int32)
     for word in sigs.T:
         d += np.bitwise_count(word[:, None] ^ word[None, :])
-    linked, root = d <= sure, names
-    while True:
-        new = np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1)
-        if (new == root).all():
-            break
-        root = new
-    i, j = np.nonzero(np.triu((d <= hopeless) & (root[:, None] != root[None, :]), 1))
+    open_pairs = np.triu((d <= hopeless) & (comps[:, None] != comps[None, :]), 1)
     if split:
-        i, j = (x[(i < split) & (j >= split)] for x in (i, j))
-    star = np.nonzero(root != names)[0]
-    high, low = np.maximum(names[i], names[j]), np.minimum(names[i], names[j])
-    return np.concatenate([names[star], high]), np.concatenate([root[star], low]), np.concatenate([np.zeros(len(star), np.int64), d[i, j]])
-
-
-def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, recall: float = 0.97, broadcast_docs: int = 200_000) -> DataFrame:
-    """(id, component_id): the smallest id of each row's group of near-duplicates."""
-    rows = near_duplicate_rows(docs, id_col=id_col, text_col=text_col, shingle=shingle, least=least, recall=recall, broadcast_docs=broadcast_docs)
-    return rows.select(id_col, "component_id")
+        open_pairs[:split, :split] = open_pairs[split:, split:] = False
+    i, j = np.nonzero(open_pairs)
+    order = np.argsort(d[i, j], kind="stable")
+    root = {int(c): int(c) for c in comps}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        x, y = find(int(comps[a])), find(int(comps[b]))
+        if x != y and (d[a, b] <= sure or similar(sets[a], sets[b], least)):
+            root[max(x, y)] = min(x, y)
+            out.append((max(x, y), min(x, y)))
+    return out
 
 
-def near_duplicate_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, recall: float = 0.97, broadcast_docs: int = 200_000) -> DataFrame:
+class _Search:
+    """The steps of the module's text over one table of documents."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, recall: float, planned_rows: int | None, broadcast_docs: int):
+        text = F.col(text_col).cast("string")
+        own = F.struct(F.col(id_col).isNull().alias("nil"), F.col(id_col).alias("id"), text_hash(text).alias("th"))
+        self.src = docs.select(own.alias("id"), text.cast("binary").alias("_text"))
+        self.shingle, self.least, self.broadcast_docs = shingle, least, broadcast_docs
+        self.tables, self.bits = table_plan(planned_rows or self.src.count(), least, recall)
+        self.words = signature_words(self.tables, self.bits)
+        self.sure, self.hopeless = distance_limits(least, 64 * self.words)
+        flips = [0] + [1 << b for b in range(self.bits)]
+        self.flips = F.array(*(F.lit(f).cast("long") for f in flips))
+
+    def sign(self) -> None:
+        """signed: (id, node, sig) of each row; nodes: (node, w0, sig, keys) of each set of shingles."""
+        shingle, words, tables, bits = self.shingle, self.words, self.tables, self.bits
+
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names, sigs = [], []
+                for t in b.column(1):
+                    s = _shingles(t.as_py(), shingle)
+                    names.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+                    sigs.append(signature(s, words).astype("<i8").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sigs, pa.binary())], ["id", "node", "sig"])
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                w = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(-1, words)
+                keys = [_table_keys(x, tables, bits) for x in w]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w[:, 0], pa.int64()), b.column(1), pa.array(keys, pa.list_(pa.int64()))], ["node", "w0", "sig", "keys"])
+
+        schema = self.src.select("id").schema.add("node", "long").add("sig", "binary")
+        self.signed = checkpointed(self.src.mapInArrow(sign, schema))
+        found = checkpointed(self.signed.select("node", "sig").dropDuplicates(["node"]))
+        tasks = found.count() // 10_000 + 1
+        unpacked = found.mapInArrow(unpack, "node long, w0 long, sig binary, keys array<long>")
+        self.nodes = checkpointed(unpacked.repartition(tasks, "node"))
+
+    def classify(self) -> None:
+        """classes: (key, hub, n); crowd: (key, hub, n, node) of the members of classes with several."""
+        self.members = self.nodes.select("node", F.explode("keys").alias("key"))
+        salted = F.col("node").bitwiseXOR(F.xxhash64("key"))  # another smallest member in each table
+        classes = self.members.groupBy("key").agg(F.min(salted).alias("hub"), F.count("*").alias("n"))
+        self.classes = checkpointed(classes.select("key", F.col("hub").bitwiseXOR(F.xxhash64("key")).alias("hub"), "n"))
+        self.crowd = checkpointed(self.members.join(self.classes.where("n > 1"), "key"))
+
+    def state(self, comps: DataFrame) -> DataFrame:
+        """(key, hub, n, comp, mixed) of each class: its hub's component; whether members have others."""
+        of_node = F.coalesce("component", "node")
+        spread = self.crowd.join(comps, "node", "left").groupBy("key").agg(F.min(of_node).alias("lo"), F.max(of_node).alias("hi"))
+        mixed = spread.where("lo < hi").select("key", F.lit(True).alias("mixed"))
+        hubs = self.classes.join(comps.withColumnRenamed("node", "hub"), "hub", "left")
+        return hubs.join(mixed, "key", "left").select("key", "hub", "n", F.coalesce("component", "hub").alias("comp"), F.coalesce("mixed", F.lit(False)).alias("mixed"))
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, d) of those pairs (a, b) of nodes that may be alike."""
+        words = self.words
+
+        def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), "<u8").reshape(-1, words) for i in (2, 3))
+                d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(d)], ["a", "b", "d"])
+
+        narrow, wide = self.nodes.select("node", "w0"), self.nodes.select("node", "sig")
+        near = pairs.join(narrow.toDF("a", "x"), "a").join(narrow.toDF("b", "y"), "b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FIRST_WORD)
+        both = near.select("a", "b").join(wide.toDF("a", "x"), "a").join(wide.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return both.mapInArrow(distance, "a long, b long, d long").where(F.col("d") <= self.hopeless)
+
+    def sets(self, asked: DataFrame) -> DataFrame:
+        """(node, s) of the nodes asked for: their sorted shingles, from their texts."""
+        shingle = self.shingle
+        wanted = checkpointed(self.signed.join(asked, "node").groupBy("node").agg(F.min("id.th").alias("th")))
+        known = F.broadcast(wanted) if wanted.count() <= self.broadcast_docs else wanted
+        texts = self.src.select(F.col("id.th").alias("th"), "_text").join(known, "th").select("node", "_text").dropDuplicates(["node"])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                s = [_shingles(x.as_py(), shingle).view(np.int64) for x in t.column(1)]
+                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(s, pa.list_(pa.int64()))], ["node", "s"])
+
+        return checkpointed(texts.mapInArrow(cut, "node long, s array<long>"))
+
+    def proven(self, links: DataFrame, joined: DataFrame) -> DataFrame:
+        """(a, b) of the unsure links (a, b, d) whose sets agree, but for those that others make needless.
+
+        Each node's closest candidate comes first; after that only pairs that still join two components are looked at."""
+
+        def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+            ends = pairs.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
+            return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "d")
+
+        unsure = checkpointed(across(links.where(F.col("d") > self.sure), joined))
+        if unsure.isEmpty():
+            return unsure.select("a", "b")
+        asked = unsure.select("a").union(unsure.select("b")).distinct().toDF("node")
+        sets = self.sets(asked)
+
+        def agreeing(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+            common = F.size(F.array_intersect("x", "y"))
+            return both.where(common >= F.lit(self.least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+        ends = unsure.select("a", "b", "d").union(unsure.select("b", "a", "d"))
+        closest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b")
+        first = closest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        one = checkpointed(agreeing(first))
+        comps = checkpointed(components(joined.toDF("a", "b").union(one)))
+        rest = across(unsure.join(first, ["a", "b"], "left_anti"), comps)
+        return one.union(checkpointed(agreeing(rest)))
+
+    def leftovers(self, groups: DataFrame, comps: DataFrame) -> DataFrame | None:
+        """(a, b): components that links inside unsettled classes and pairs of classes join; None if all is settled."""
+        state = checkpointed(self.state(comps))
+        within = state.where("n > 2 AND mixed").select(F.col("key").alias("k1"), F.col("key").alias("k2"))
+        met = self.met(groups).join(state, "key").groupBy("variant")
+        met = met.agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("mixed").alias("mixed"), F.sum("n").alias("n"), F.sort_array(F.collect_list("key")).alias("keys"))
+        met = met.where("n > 2 AND (mixed OR lo < hi)").select("keys", F.posexplode("keys").alias("at", "k1"))
+        across = met.select("k1", F.explode(F.expr("slice(keys, at + 2, size(keys))")).alias("k2")).distinct()
+        s1, s2 = (state.select(F.col("key").alias(f"k{k}"), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"c{k}"), F.col("mixed").alias(f"m{k}")) for k in (1, 2))
+        across = across.join(s1, "k1").join(s2, "k2").where("n1 + n2 > 2 AND (m1 OR m2 OR c1 != c2)").select("k1", "k2")
+        turns = checkpointed(within.union(across))
+        if turns.isEmpty():
+            return None
+        keys = turns.select("k1").union(turns.select("k2")).distinct().toDF("key")
+        inside = self.members.join(keys, "key").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        inside = checkpointed(inside)
+        sets = self.sets(inside.select("node").distinct())
+        return self.compared(turns, inside, sets)
+
+    def compared(self, turns: DataFrame, inside: DataFrame, sets: DataFrame) -> DataFrame:
+        """Members of the classes, dealt into blocks; pairs of blocks that may hold a link across components are compared."""
+        sized = inside.join(sets.select("node", (8 * F.size("s") + 64).alias("bytes")), "node")
+        parts = sized.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        large = (F.col("n") >= BLOCK // 2) | (F.col("bytes") >= BLOCK_BYTES // 2)
+        parts = parts.withColumn("own", F.when(large, F.col("comp")))
+        dealt = parts.groupBy("key", "own").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES))
+        dealt = dealt.select(F.col("key").alias("k"), F.col("own").alias("o"), blocks.alias("blocks"))
+        placed = parts.select("key", "comp", "own").join(dealt, F.expr("key = k AND own <=> o")).select("key", "comp", "own", "blocks")
+        block = F.xxhash64("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        rows = inside.join(placed, ["key", "comp"]).select("key", "own", block.alias("block"), "node", "comp")
+        rows = rows.join(self.nodes.select("node", "sig"), "node").join(sets, "node")
+        whole = checkpointed(rows.groupBy("key", "own", "block").agg(F.collect_list(F.struct("comp", "sig", "s")).alias("m")))
+        one, two = (whole.withColumnsRenamed({"key": f"k{k}", "own": f"o{k}", "block": f"b{k}", "m": f"m{k}"}) for k in (1, 2))
+        pairs = turns.join(one.drop("m1"), "k1").join(two.drop("m2"), "k2").where("(k1 < k2 OR b1 <= b2) AND (o1 IS NULL OR o2 IS NULL OR o1 != o2)")
+        pairs = pairs.join(one.drop("o1"), ["k1", "b1"]).join(two.drop("o2"), ["k2", "b2"])
+        pairs = pairs.select(((F.col("k1") == F.col("k2")) & (F.col("b1") == F.col("b2"))).alias("same"), "m1", "m2")
+        sure, hopeless, least, words = self.sure, self.hopeless, self.least, self.words
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                for k in range(t.num_rows):
+                    sides = [t.column(1)[k].values] if t.column(0)[k].as_py() else [t.column(i)[k].values for i in (1, 2)]
+                    comps = np.concatenate([m.field("comp").to_numpy() for m in sides])
+                    sigs = np.concatenate([np.frombuffer(b"".join(m.field("sig").to_pylist()), "<u8").reshape(-1, words) for m in sides])
+                    s = [x.values.to_numpy() for m in sides for x in m.field("s")]
+                    s = [np.sort(x.view(np.uint64)) for x in s]
+                    merges = block_merges(comps, sigs, s, len(sides[0]) if len(sides) == 2 else 0, sure, hopeless, least)
+                    yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in merges], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        return checkpointed(pairs.mapInArrow(compare, "a long, b long").distinct())
+
+    def met(self, groups: DataFrame) -> DataFrame:
+        """(variant, key): the classes of each shared variant, from the mask of their flips."""
+        each = groups.select("variant", "mask", F.posexplode(self.flips).alias("at", "flip"))
+        return each.where("shiftright(mask, at) & 1 = 1").select("variant", F.col("variant").bitwiseXOR(F.col("flip")).alias("key"))
+
+    def run(self) -> DataFrame:
+        """(id, component) of each row."""
+        self.sign()
+        self.classify()
+
+        def pair(x: str, y: str) -> list[Column]:
+            return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+        stars = self.crowd.where("node != hub").select(*pair("node", "hub")).distinct()
+        links = checkpointed(self.measured(stars))
+        near = checkpointed(components(links.where(F.col("d") <= self.sure).select("a", "b")))
+
+        balls = self.classes.select("key", F.posexplode(self.flips).alias("at", "flip"))
+        balls = balls.select(F.col("key").bitwiseXOR(F.col("flip")).alias("variant"), F.expr("shiftleft(1L, at)").alias("mask"))
+        groups = checkpointed(balls.groupBy("variant").agg(F.bit_or("mask").alias("mask")).where(F.bit_count("mask") > 1))
+        met = self.met(groups).join(self.state(near), "key").groupBy("variant")
+        met = met.agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("mixed").alias("mixed"), F.collect_list("hub").alias("hubs"))
+        met = met.where("mixed OR lo < hi").select(F.array_min("hubs").alias("hub"), F.explode("hubs").alias("node"))
+        links = links.union(checkpointed(self.measured(met.where("node != hub").select(*pair("node", "hub")).distinct())))
+
+        joined = checkpointed(components(near.toDF("a", "b").union(links.where(F.col("d") <= self.sure).select("a", "b"))))
+        proven = self.proven(links, joined)
+        comps = checkpointed(components(joined.toDF("a", "b").union(proven)))
+        more = self.leftovers(groups, comps)
+        if more is not None:
+            comps = checkpointed(components(comps.toDF("a", "b").union(more)))
+        return self.signed.select("id", "node").join(comps, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicate_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, recall: float = 0.97, planned_rows: int | None = None, broadcast_docs: int = 200_000) -> DataFrame:
     """(id, text_hash, component_id, component_hash) of each row: the group's first row by id, null last, then by the text's hash.
 
-    Rows are known by id and text, so null and repeated ids don't mix texts."""
-    text = F.col(text_col).cast("string").cast("binary")
-    own = F.struct(F.col(id_col).isNull().alias("nil"), F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"))
-    src = docs.select(own.alias("id"), text.alias("_text"))
-    schema = src.select("id").schema.add("sig", "binary")
-    n_tables, bits = table_plan(src.count(), least, recall)
-    n_words = signature_words(n_tables, bits)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sigs = [signature(_shingles(t.as_py(), shingle), n_words).astype("<i8").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
-
-    signed = checkpointed(src.mapInArrow(sign, schema))
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(-1, n_words)
-            keys = [_table_keys(w, n_tables, bits) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(words[:, 0], pa.int64()), b.column(1), pa.array(keys, pa.list_(pa.int64()))], ["node", "sig", "keys"])
-
-    first = checkpointed(signed.groupBy("sig").agg(F.min("id").alias("rep")))
-    tasks = first.count() // 10_000 + 1
-    nodes = first.repartition(tasks, "sig").select("rep", "sig").mapInArrow(unpack, "node long, sig binary, keys array<long>")
-    nodes = checkpointed(nodes.groupBy("node").agg(F.min(F.struct("sig", "keys")).alias("r")).select("node", "r.sig", "r.keys").repartition(tasks, "node"))
-    flips = F.array(*(F.lit(0 if i < 0 else 1 << i).cast("long") for i in range(-1, bits)))
-    balls = nodes.select("node", F.explode("keys").alias("key")).select("node", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
-    w = W.partitionBy("key").orderBy("node")
-    at = F.row_number().over(w)
-    key, none = F.col("key"), F.lit(None).cast("long")
-
-    def row(key: Column, node: Column, other: Column) -> Column:
-        return F.struct(key.alias("key"), node.alias("node"), other.alias("other"))
-
-    lags = [F.col(f"n{k}") for k in range(1, SMALL + 1)]
-    small = F.array(*(row(none, F.col("node"), n) for n in lags[:-1]))
-    large = F.array(row(key, F.col("node"), none))
-    ninth = F.array(*(row(key, n, none) for n in (F.col("node"), *lags)))
-    met = balls.select("key", "node", at.alias("at"), *(F.lag("node", k).over(w).alias(f"n{k}") for k in range(1, SMALL + 1))).where("n1 IS NOT NULL")
-    met = met.select(F.explode(F.when(F.col("at") <= SMALL, small).when(F.col("at") == SMALL + 1, ninth).otherwise(large)).alias("r")).select("r.*")
-    met = checkpointed(met.where(F.col("key").isNotNull() | (F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= 22)).distinct())
-    a, b = nodes.select(F.col("node"), F.col("sig").alias("s1")), nodes.select(F.col("node").alias("other"), F.col("sig").alias("s2"))
-    both = met.where("key IS NULL").select("node", "other").join(a, "node").join(b, "other")
-    p, total = differing_share(least), 64 * n_words
-    sd = math.sqrt(p * (1 - p) / total)
-    sure, hopeless = math.floor((p - 2 * sd) * total), math.ceil((p + 3 * sd) * total)
-
-    def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            s1, s2 = (np.frombuffer(b"".join(t.column(i).to_pylist()), "<u8").reshape(-1, n_words) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(np.bitwise_count(s1 ^ s2).sum(axis=1, dtype=np.int64))], ["node", "other", "d"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            for k in range(t.num_rows):
-                m1, m2 = t.column(1)[k].values, t.column(2)[k].values
-                sides = (m1,) if t.column(0)[k].as_py() else (m1, m2)
-                names = np.concatenate([m.field("node").to_numpy() for m in sides])
-                found = block_links(names, np.concatenate([np.frombuffer(b"".join(m.field("sig").to_pylist()), "<u8").reshape(len(m), -1) for m in sides]), sure, hopeless, len(m1) if len(sides) == 2 else 0)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "other", "d"])
-
-    groups = met.where("key IS NOT NULL").select("key", "node")
-    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"))
-    sizes = checkpointed(sizes.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    dealt = groups.join(sizes, "key").select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("b"), "node")
-    dealt = checkpointed(dealt.join(nodes.select("node", "sig"), "node").groupBy("key", "b").agg(F.collect_list(F.struct("node", "sig")).alias("m")))
-    turns = sizes.select("key", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b1")).select("key", "b1", F.explode(F.sequence(F.col("b1"), F.col("blocks") - 1)).alias("b2"))
-    one, two = (dealt.withColumnsRenamed({"b": f"b{k}", "m": f"m{k}"}) for k in (1, 2))
-    turns = turns.join(one, ["key", "b1"]).join(two, ["key", "b2"]).select((F.col("b1") == F.col("b2")).alias("same"), "m1", "m2")
-    pairs = both.select("node", "other", "s1", "s2").mapInArrow(distance, "node long, other long, d long").where(F.col("d") <= hopeless)
-    pairs = checkpointed(pairs.union(turns.mapInArrow(compare, "node long, other long, d long")).distinct())
-    # what the bits join needs no proof by sets, so it is joined first
-    joined = checkpointed(components(pairs.where(F.col("d") <= sure).select(F.col("node").alias("a"), F.col("other").alias("b"))))
-    unsure = pairs.where(F.col("d") > sure).join(joined.withColumnRenamed("component", "c1"), "node", "left").join(joined.toDF("other", "c2"), "other", "left")
-    unsure = checkpointed(unsure.where(F.coalesce("c1", "node") != F.coalesce("c2", "other")).select("node", "other"))
-    asked = unsure.select("node").union(unsure.select("other")).distinct()
-    wanted = checkpointed(asked.join(nodes.select("node", "sig"), "node").join(first, "sig").select("node", F.col("rep").alias("id")))
-    known = F.broadcast(wanted) if wanted.count() <= broadcast_docs else wanted
-    known = known.withColumnsRenamed({"id": "rep"})
-    texts = src.join(known, F.col("id.id").eqNullSafe(F.col("rep.id")) & (F.col("id.th") == F.col("rep.th"))).dropDuplicates(["node"]).select("node", "_text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            s = [_shingles(x.as_py(), shingle).view(np.int64) for x in t.column(1)]
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(s, pa.list_(pa.int64()))], ["node", "s"])
-
-    own = checkpointed(texts.mapInArrow(sets, "node long, s array<long>"))
-    proven = unsure.join(own.withColumnRenamed("s", "x"), "node").join(own.select(F.col("node").alias("other"), F.col("s").alias("y")), "other")
-    common = F.size(F.array_intersect("x", "y"))
-    proven = proven.where(common / (F.size("x") + F.size("y") - common) >= least)
-    links = joined.union(proven.select("node", "other"))
-    groups = components(links.toDF("a", "b"))
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            words = np.frombuffer(b"".join(t.column(1).to_pylist()), "<i8").reshape(-1, n_words)
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(words[:, 0], pa.int64())], ["id", "node"])
-
-    rows = signed.mapInArrow(name, src.select("id").schema.add("node", "long"))
-    rows = rows.join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
-    rows = checkpointed(rows)
-    least_id = rows.groupBy("component").agg(F.min("id").alias("c"))
-    return rows.join(least_id, "component").select(F.col("id.id").alias(id_col), F.col("id.th").alias("text_hash"), F.col("c.id").alias("component_id"), F.col("c.th").alias("component_hash"))
+    Rows are known by id and text, so null and repeated ids don't mix texts. planned_rows: rows that the tables are planned for, where
+    not the number of docs' rows."""
+    rows = checkpointed(_Search(docs, id_col, text_col, shingle, least, recall, planned_rows, broadcast_docs).run())
+    first = rows.groupBy("component").agg(F.min("id").alias("c"))
+    named = rows.join(first, "component")
+    return named.select(F.col("id.id").alias(id_col), F.col("id.th").alias("text_hash"), F.col("c.id").alias("component_id"), F.col("c.th").alias("component_hash"))
 
 
-def _table_keys(words: np.ndarray, tables: int, bits: int) -> list[int]:
-    """The tables' bits with the table's number above them, from all words but the first."""
-    whole = int.from_bytes(words[1:].tobytes(), "little")
-    return [(whole >> (t * bits)) & (1 << bits) - 1 | t << bits for t in range(tables)]
+def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, component_id): the smallest id of each row's group of near-duplicates."""
+    return near_duplicate_rows(docs, id_col=id_col, **options).select(id_col, "component_id")

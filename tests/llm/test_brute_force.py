@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import decontaminate, embeddings, graph, langid, licences, mixing, neardup, pii, quality, simhash, substring, toxicity
+from chronolith.llm import decontaminate, embeddings, graph, langid, licences, mixing, pii, quality, simhash, substring, toxicity
 from chronolith.llm.common import checkpointed, pieces
 
 SF = "/root/testdata/sf0.01"
@@ -61,23 +61,6 @@ def test_simhash_pieces_change_nothing(monkeypatch):
     assert simhash.fingerprint(b"") == simhash.fingerprint(None) == 0
 
 
-def test_near_duplicates_of_known_similarity(spark):
-    rng = random.Random(5)
-    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(80, 300))) for _ in range(60)]
-    rows = [(k, t) for k, t in enumerate(base)]
-    for k, t in enumerate(base):
-        w = t.split()
-        for _ in range(max(1, len(w) // (60 if k % 2 else 12))):
-            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
-        rows.append((1000 + k, " ".join(w)))
-    sets = {i: frozenset(" ".join(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows for w in [t.split()]}
-    alike = {i: len(sets[i] & sets[1000 + i]) / len(sets[i] | sets[1000 + i]) for i in range(60)}
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    hit = [got[1000 + i] == i for i in range(60) if alike[i] >= 0.8]
-    assert len(hit) > 20 and sum(hit) >= 0.95 * len(hit)
-    assert not any(got[1000 + i] == i for i in range(60) if alike[i] < 0.75)
-
-
 @pytest.mark.parametrize("run_bytes", [20_000, 200_000, 1 << 30])
 def test_substrings_by_any_number_of_runs(spark, run_bytes):
     rng = random.Random(3)
@@ -254,82 +237,6 @@ def test_held_out_accuracy(spark):
     assert (t.predicted == t.toxic).mean() > 0.9
 
 
-def test_template_cluster_against_all_pairs(spark):
-    rng = random.Random(11)
-    rows = []
-    for c in range(3):
-        base = [f"t{c}x{k}" for k in range(200)]
-        for k in range(150):
-            w = list(base)
-            for _ in range(rng.randrange(1, 7)):
-                w[rng.randrange(200)] = f"y{rng.randrange(10**9)}"
-            rows.append((1000 * c + k, " ".join(w)))
-    rng.shuffle(rows)
-    sets = {i: frozenset(" ".join(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows for w in [t.split()]}
-    ids, root = sorted(sets), {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
-            if find(i) != find(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    links = [i for i in ids if find(i) != i]
-    assert len(links) > 200 and sum(got[i] == i for i in links) <= 0.03 * len(links)
-    assert all(max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in ids if j != i) >= 0.75 for i in ids if got[i] != i)
-
-
-def test_every_pair_of_a_block_is_looked_at():
-    rng = random.Random(2)
-    base = [f"t{k}" for k in range(200)]
-    texts = []
-    for _ in range(300):
-        w = list(base)
-        for _ in range(rng.randrange(4, 12)):
-            w[rng.randrange(200)] = f"y{rng.randrange(10**9)}"
-        texts.append(" ".join(w).encode())
-    sigs = neardup.np.stack([neardup.signature(neardup._shingles(t, 5)).view("<u8") for t in texts])
-    names = sigs[:, 0].view("<i8")
-    d = [[int(neardup.np.bitwise_count(x ^ y).sum()) for y in sigs] for x in sigs]
-
-    def roots(edges):
-        root = {int(n): int(n) for n in names}
-        for a, b in edges:
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            root[max(a, b)] = min(a, b)
-        for n in sorted(root):
-            root[n] = root[root[n]]
-        return root
-
-    pairs = [(i, j) for i in range(300) for j in range(i)]
-    want = roots((int(names[i]), int(names[j])) for i, j in pairs if d[i][j] <= 60)
-    parts = [(names[:130], sigs[:130], 0), (names[130:], sigs[130:], 0), (names, sigs, 130)]
-    rows = [r for n, s, split in parts for r in zip(*(x.tolist() for x in neardup.block_links(n, s, 60, 90, split)))]
-    assert roots((a, b) for a, b, x in rows if x <= 60) == want
-    open_pairs = {tuple(sorted((int(names[i]), int(names[j])))) for i, j in pairs if d[i][j] <= 90 and want[int(names[i])] != want[int(names[j])]}
-    assert open_pairs and open_pairs <= {tuple(sorted((a, b))) for a, b, x in rows if x > 60}
-
-
-@pytest.mark.parametrize("n", [2, 10**3, 10**4, 10**5, 10**6, 6 * 10**6, 3 * 10**7, 10**8])
-def test_tables_keep_the_recall_as_rows_grow(n):
-    p = neardup.differing_share(0.8)
-    tables, bits = neardup.table_plan(n, 0.8, 0.97)
-    hit = sum(neardup.math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
-    assert 1 - (1 - hit) ** tables >= 0.97
-    words = neardup.signature_words(tables, bits)
-    assert 64 * (words - 1) >= tables * bits
-    keys = neardup._table_keys(neardup.np.full(words, -1), tables, bits)
-    assert keys == [(1 << bits) - 1 | t << bits for t in range(tables)] and max(keys) < 1 << 63
-
-
 @pytest.mark.parametrize("bits", [1, 2, 3, 7, 8, 12, 16, 24, 32, 48, 63, 64])
 def test_embedding_tables_keep_seven_bits(bits):
     for n in [0, 1, 2, 100, 10**4, 65_537, 10**6, 2**21 + 1, 10**7, 10**8]:
