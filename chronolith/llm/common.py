@@ -3,28 +3,64 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
+
+    Where it is unset, a local session (tests, a laptop) takes a temporary folder; a cluster session gets an error."""
+    there = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if there:
+        return there
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="chronolith-")
 
-    Where that setting is absent (tests, a laptop) a temporary folder is taken."""
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        there = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(there or tempfile.mkdtemp(prefix="chronolith-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by their place, which clash with no name that an operator uses; new names by the old ones."""
+    names = {c: f"in{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of a table's values, counted in one pass: 8 a number, what texts and arrays hold."""
+
+    def width(field: StructField) -> Column:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            return 16 + F.coalesce(F.octet_length(field.name), F.lit(0))
+        if isinstance(field.dataType, ArrayType):
+            return 16 + 8 * F.greatest(F.size(field.name), F.lit(0))
+        return F.lit(8)
+
+    return int(df.agg(F.coalesce(F.sum(sum((width(f) for f in df.schema.fields), F.lit(0)).cast("long")), F.lit(0)).alias("n")).first()["n"])
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if its values take `most_bytes` at most, else df as it is. df should be checkpointed: it is read twice."""
+    return F.broadcast(df) if size_of(df) <= most_bytes else df
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
@@ -66,16 +102,18 @@ def sigmoid(x: float) -> float:
 def bounded_ids(df: DataFrame, strata: list[str], id_col: str, per_stratum: int, most: int, seed: int) -> DataFrame:
     """Ids of a bounded sample of labelled rows: for each stratum the `per_stratum` smallest by keyed hash, `most` in all.
 
-    Each map task keeps no more than that of a stratum, so a hot label isn't gathered in one task."""
-    from pyspark.sql import Window as W
-
+    Ids are distinct within a stratum. A stratum's count sets the hash below which its ids are looked at, so what meets in one task
+    follows `per_stratum`, not the number of rows, partitions or copies of an id."""
+    known = df.where(F.col(id_col).isNotNull()).select(id_col, *strata).distinct()
+    counts = checkpointed(known.groupBy(*strata).agg(F.count("*").alias("_n")))
+    wanted = per_stratum + 10 * math.sqrt(per_stratum) + 20
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11)
+    near = known.join(broadcast_if_small(counts), strata).withColumn("_h", place).where(F.col("_h") * 2.0**-53 * F.col("_n") <= wanted)
     w = W.partitionBy(*strata).orderBy("_h", id_col)
-    return (
-        df.where(F.col(id_col).isNotNull())
-        .select(id_col, *strata, F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"))
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= per_stratum)
-        .orderBy("_rn", "_h", id_col)
-        .limit(most)
-        .drop("_h", "_rn")
-    )
+    return near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_stratum).orderBy("_rn", "_h", id_col).limit(most).drop("_h", "_rn", "_n")
+
+
+def sampled_rows(docs: DataFrame, ids: DataFrame, id_col: str, text: Column, by: list[str]) -> DataFrame:
+    """(by, text) of the sampled ids, one row for each id and label: of repeated ids the text with the smallest hash."""
+    rows = docs.select(id_col, text.alias("_text")).join(broadcast_if_small(checkpointed(ids)), id_col)
+    return rows.groupBy(id_col, *by).agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))

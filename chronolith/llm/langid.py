@@ -6,7 +6,8 @@ languages alone. Scoring walks whole texts in numpy, in blocks of bounded size,
 
 Defined results: a null text, an empty text and a text without a letter are `und` with score 0. Rows with a null id
 are scored but never learned from. Without any labelled row everything is `und`. Ties between languages go to the
-smaller code. Repeated rows are scored alike. Extra columns are ignored by `score_languages`' output.
+smaller code. Repeated rows are scored alike. Extra columns are ignored, but for those that `score_languages` is asked to keep; of these,
+ones named lang_pred or score are replaced by what it adds.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_ids, crc_mod, table
+from .common import blocks, bounded_ids, broadcast_if_small, checkpointed, crc_mod, table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -115,10 +116,12 @@ class LanguageModel:
 
 
 def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 600, most: int = 20_000, alpha: float = 0.05, seed: int = 11) -> LanguageModel:
-    """Fit on at most `per_language` documents of each language and `most` in all; prior: uniform."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = bounded_ids(known, [lang_col], id_col, per_language, most, seed).select(F.col(id_col).alias("_id")).distinct()
-    sample = known.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    """Fit on at most `per_language` documents of each language and `most` in all; of repeated ids one text; prior: uniform."""
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    known = docs.where(lang.isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), lang.alias("lang"), text.alias("text"))
+    ids = bounded_ids(known, ["lang"], "id", per_language, most, seed)
+    rows = known.join(broadcast_if_small(checkpointed(ids)), ["id", "lang"])
+    sample = rows.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(counted["lang"].to_pylist(), object)
     langs = sorted(set(names.tolist()))
@@ -133,7 +136,8 @@ def score_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc
     """`id_col`, the columns in `keep`, lang_pred and score for each row of docs, in one narrow pass."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.langs, model.weights))
-    src = docs.select(*dict.fromkeys([id_col, *keep]), F.col(text_col).cast("string").alias("_text"))
+    held = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("lang_pred", "score")]
+    src = docs.select(*(F.col(c).alias(f"in{k}") for k, c in enumerate(held)), F.col(text_col).cast("string").alias("_text"))
     schema = src.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +149,7 @@ def score_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc
             cols = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*held, "lang_pred", "score")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
