@@ -1,14 +1,15 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text is cut into overlapping chunks of 512 bytes that cover all of it. Each byte becomes a few channels: its class, and
-how much of its neighbourhood repeats at some short lag. Learned filters of 8 bytes slide over a chunk in steps of 4; their
-rectified outputs are max-pooled and mean-pooled over each chunk, then over all chunks of the text, and one logistic
-layer combines the two into a probability. Training (Adam, on the driver) sees a bounded sample of labelled rows
-and at most `train_chunks` evenly spaced chunks of each; scoring always reads all chunks, in one narrow pass.
-
-Defined results: a null or empty text has no chunk and gets the network's bias as its score. Labels are joined by id; rows
-with a null id or label are never learned from. Without rows of both labels each score is the share of label 1, or 0.5
-without any label. Repeated rows are scored alike; extra columns are ignored.
+A text is cut into overlapping chunks of 512 bytes that cover all of it. Each byte becomes a learned vector of 8 numbers, and one more
+channel says how much of its neighbourhood repeats at some short lag, which no filter of 8 bytes can see by itself. Learned filters of
+8 bytes slide over a chunk in steps of 4; their rectified outputs are max-pooled over each chunk and then over all chunks of the text, and
+a logistic layer combines the maxima into a probability. Training (Adam, on the driver) sees all chunks of a bounded sample of
+labelled rows, in blocks; scoring reads all chunks of all rows, in one narrow pass.
+
+Defined results: a null or empty text has no chunk, so its maxima are 0 and its score is the network's bias alone, which such rows of the
+sample train too. Labels are joined by id; a document with two labels counts with each, and of repeated ids one text is learned from. Rows
+with a null id or label are never learned from. Without rows of both labels each score is the share of label 1, or 0.5 without any label.
+Repeated rows are scored alike; extra columns are ignored. A text's zero bytes count as padding.
 """
 
 from __future__ import annotations
@@ -19,27 +20,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, crc_mod, sigmoid, table
+from .common import bounded_ids, crc_mod, sampled_rows, sigmoid, table
 
 CHUNK, OVERLAP, STEP = 512, 32, 4
 CELL, LAGS = 16, range(2, 17)
-FILTERS = 24
-
-
-def _classes() -> np.ndarray:
-    """Channels of each byte value: lower, upper, digit, space, line end, sentence mark, other mark, not ASCII."""
-    t = np.zeros((256, 8), np.float32)
-    for b in range(1, 256):
-        c = chr(b)
-        k = 7 if b > 127 else 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if c in " \t" else 4 if b < 32 or b == 127 else 5 if c in ".,;:'\"-()?" else 6
-        t[b, k] = 1
-    return t
-
-
-CLASSES = _classes()
-CHANNELS = CLASSES.shape[1] + 1
+FILTERS, EMBED = 32, 8
+CHANNELS = EMBED + 1
+SPAN = 2 * STEP
 
 
 def chunks(text: bytes) -> np.ndarray:
@@ -54,29 +44,31 @@ def chunks(text: bytes) -> np.ndarray:
     return out
 
 
-def channels(x: np.ndarray) -> np.ndarray:
-    """(chunks, CHUNK / STEP, STEP * CHANNELS) inputs of the filters."""
-    n = len(x)
-    out = np.empty((n, CHUNK, CHANNELS), np.float32)
-    out[:, :, :-1] = CLASSES[x]
-    best = np.zeros((n, CHUNK // CELL), np.float32)
+def repetition(x: np.ndarray) -> np.ndarray:
+    """(chunks, CHUNK / CELL): the largest share of a cell's bytes that equal the byte some lag before."""
+    best = np.zeros((len(x), CHUNK // CELL), np.float32)
     filled = x > 0
     for lag in LAGS:
-        same = np.zeros((n, CHUNK), bool)
+        same = np.zeros((len(x), CHUNK), bool)
         same[:, lag:] = (x[:, lag:] == x[:, :-lag]) & filled[:, lag:]
-        np.maximum(best, same.reshape(n, -1, CELL).sum(axis=2, dtype=np.uint8), out=best)
-    out[:, :, -1] = np.repeat(best / CELL, CELL, axis=1)
-    return out.reshape(n, CHUNK // STEP, STEP * CHANNELS)
+        np.maximum(best, same.reshape(len(x), CHUNK // CELL, CELL).sum(axis=2, dtype=np.uint8), out=best)
+    return best / CELL
 
 
 @dataclass
 class QualityModel:
-    filters: np.ndarray  # 2 * STEP * CHANNELS, FILTERS
+    vectors: np.ndarray  # 256, EMBED; those of byte 0 are 0
+    filters: np.ndarray  # SPAN * CHANNELS, FILTERS
     offsets: np.ndarray
-    weights: np.ndarray  # of maxima, then of means
+    weights: np.ndarray
     bias: float
 
-    def responses(self, a: np.ndarray) -> np.ndarray:
+    def responses(self, x: np.ndarray, rep: np.ndarray) -> np.ndarray:
+        """(chunks, places, FILTERS) rectified outputs."""
+        a = np.empty((len(x), CHUNK, CHANNELS), np.float32)
+        a[:, :, :-1] = self.vectors[x]
+        a[:, :, -1] = np.repeat(rep, CELL, axis=1)
+        a = a.reshape(len(x), CHUNK // STEP, STEP * CHANNELS)
         half = STEP * CHANNELS
         r = a[:, :-1] @ self.filters[:half] + a[:, 1:] @ self.filters[half:]
         r += self.offsets
@@ -84,19 +76,17 @@ class QualityModel:
 
     def scores(self, texts: list[bytes | None], at_once: int = 256) -> list[float]:
         """Probability of each text; memory holds `at_once` chunks' channels at a time."""
-        top = np.zeros((len(texts), FILTERS), np.float32)
-        total, count = np.zeros((len(texts), FILTERS)), np.zeros(len(texts))
+        top = np.zeros((len(texts), len(self.weights)), np.float32)
         held: list[np.ndarray] = []
         owner: list[np.ndarray] = []
 
         def flush() -> None:
             x, own = np.concatenate(held), np.concatenate(owner)
             for k in range(0, len(x), at_once):
-                r, o = self.responses(channels(x[k : k + at_once])), own[k : k + at_once]
+                part, o = x[k : k + at_once], own[k : k + at_once]
+                best = self.responses(part, repetition(part)).max(axis=1)
                 first = np.flatnonzero(np.diff(o, prepend=-1))
-                top[o[first]] = np.maximum(top[o[first]], np.maximum.reduceat(r.max(axis=1), first))
-                total[o[first]] += np.add.reduceat(r.mean(axis=1, dtype=np.float32), first)
-                count[o[first]] += np.diff(np.append(first, len(o)))
+                top[o[first]] = np.maximum(top[o[first]], np.maximum.reduceat(best, first))
             held.clear()
             owner.clear()
 
@@ -115,80 +105,86 @@ class QualityModel:
                     size = 0
         if held:
             flush()
-        x = np.hstack([top, total / np.maximum(count, 1)[:, None]]) @ self.weights + self.bias
-        return [sigmoid(float(v)) for v in x]
+        return [sigmoid(float(v)) for v in top @ self.weights + self.bias]
 
 
 def constant_model(share: float) -> QualityModel:
     share = min(max(share, 1e-6), 1 - 1e-6)
-    return QualityModel(np.zeros((2 * STEP * CHANNELS, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), float(np.log(share / (1 - share))))
+    return QualityModel(np.zeros((256, EMBED), np.float32), np.zeros((SPAN * CHANNELS, 1), np.float32), np.zeros(1, np.float32), np.zeros(1), float(np.log(share / (1 - share))))
+
+
+def gradients(p: dict[str, np.ndarray], docs: list[np.ndarray], reps: list[np.ndarray], y: np.ndarray, penalty: float = 1e-4) -> dict[str, np.ndarray]:
+    """Derivatives of the mean logistic loss by each parameter. Max-pooling passes them to one place for each text and filter."""
+    model = QualityModel(p["e"], p["f"], p["o"], p["w"], float(p["b"][0]))
+    n, m = len(docs), len(p["o"])
+    owner = np.repeat(np.arange(n), [len(d) for d in docs])
+    x, rep = np.concatenate(docs), np.concatenate(reps)
+    best, place = np.zeros((len(x), m), np.float32), np.zeros((len(x), m), np.int64)
+    for k in range(0, len(x), 256):
+        r = model.responses(x[k : k + 256], rep[k : k + 256])
+        best[k : k + 256], place[k : k + 256] = r.max(axis=1), r.argmax(axis=1)
+    top, source = np.zeros((n, m), np.float32), np.zeros((n, m), np.int64)
+    np.maximum.at(top, owner, best)
+    c, f = np.nonzero(best == top[owner])
+    source[owner[c[::-1]], f[::-1]] = c[::-1]
+    prob = 1 / (1 + np.exp(-np.clip(top @ p["w"] + p["b"], -30, 30)))
+    d = (prob - y) / n
+    g = {"w": top.T @ d + penalty * p["w"], "b": np.array([d.sum()])}
+    row, f = np.nonzero(top > 0)
+    dx = (d[row] * p["w"][f]).astype(np.float32)
+    chunk = source[row, f]
+    at = place[chunk, f][:, None] * STEP + np.arange(SPAN)
+    seen = x[chunk[:, None], at]
+    window = np.concatenate([p["e"][seen], rep[chunk[:, None], at // CELL][:, :, None]], axis=2)
+    onto = np.zeros((len(row), m), np.float32)
+    onto[np.arange(len(row)), f] = dx
+    g["f"] = window.reshape(len(row), SPAN * CHANNELS).T @ onto
+    g["o"] = onto.sum(axis=0)
+    g["e"] = np.zeros_like(p["e"])
+    back = (p["f"].T[f] * dx[:, None]).reshape(len(row), SPAN, CHANNELS)[:, :, :-1]
+    np.add.at(g["e"], seen, back)
+    g["e"][0] = 0
+    return g
 
 
 def train(docs: list[np.ndarray], y: np.ndarray, *, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 3) -> QualityModel:
-    """Adam on the logistic loss, through both poolings."""
+    """Adam on the logistic loss; a text without chunks counts too."""
     rng = np.random.default_rng(seed)
-    half = STEP * CHANNELS
-    p = {"f": rng.normal(0, 0.25, (2 * half, FILTERS)).astype(np.float32), "o": np.zeros(FILTERS, np.float32), "w": rng.normal(0, 0.1, 2 * FILTERS), "b": np.zeros(1)}
+    p = {"e": rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), "f": rng.normal(0, 0.25, (SPAN * CHANNELS, FILTERS)).astype(np.float32), "o": np.zeros(FILTERS, np.float32), "w": rng.normal(0, 0.1, FILTERS), "b": np.zeros(1)}
+    p["e"][0] = 0
+    reps = [repetition(d) for d in docs]
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     t, steps = 0, epochs * -(-len(docs) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
-            rows = [i for i in order[at : at + batch] if len(docs[i])]
-            if not rows:
-                continue
-            sizes = np.array([len(docs[i]) for i in rows])
-            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            a = channels(np.concatenate([docs[i] for i in rows]))
-            model = QualityModel(p["f"], p["o"], p["w"], float(p["b"][0]))
-            r = model.responses(a)
-            chunk_top, where = r.max(axis=1), r.argmax(axis=1)
-            top = np.maximum.reduceat(chunk_top, first)
-            mean = np.add.reduceat(r.mean(axis=1), first) / sizes[:, None]
-            x = np.hstack([top, mean])
-            prob = 1 / (1 + np.exp(-np.clip(x @ p["w"] + p["b"], -30, 30)))
-            d = (prob - y[rows]) / len(rows)
-            dx = (d[:, None] * p["w"]).astype(np.float32)
-            g = {"w": x.T @ d + 1e-4 * p["w"], "b": np.array([d.sum()])}
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            dr = np.broadcast_to((dx[:, FILTERS:] / (sizes[:, None] * r.shape[1]))[owner][:, None, :], r.shape).copy()
-            is_top = chunk_top == top[owner]
-            c, f = np.nonzero(is_top)
-            dr[c, where[c, f], f] += dx[owner[c], f]
-            dr *= r > 0
-            flat = dr.reshape(-1, FILTERS)
-            g["f"] = np.vstack([a[:, :-1].reshape(-1, half).T @ flat, a[:, 1:].reshape(-1, half).T @ flat])
-            g["o"] = flat.sum(axis=0)
+            rows = order[at : at + batch]
+            g = gradients(p, [docs[i] for i in rows], [reps[i] for i in rows], y[rows])
             t += 1
             lr = rate * (1 - t / (steps + 1))
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 p[k] = (p[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(p[k].dtype)
-    return QualityModel(p["f"], p["o"], p["w"], float(p["b"][0]))
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 3_000, train_chunks: int = 5, seed: int = 17) -> QualityModel:
-    """Fit on at most `most` labelled documents, half of label 0 where there are as many; the bias is then set back to the
-    labels' shares in all labelled rows."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), (F.col(label_col) > 0).cast("int").alias("_y"))
-    shares = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    ids = bounded_ids(known, ["_y"], id_col, most // 2, most, seed).distinct()
-    src = docs.select(id_col, F.col(text_col).cast("string").cast("binary").alias("_text")).join(F.broadcast(ids), id_col).select(F.xxhash64(F.lit(seed), id_col).alias("_h"), "_y", "_text")
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cut = []
-            for t in b.column(2):
-                c = chunks(t.as_py() or b"")
-                cut.append(c[np.unique(np.linspace(0, len(c) - 1, train_chunks).astype(int))].tobytes() if len(c) else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.binary())], ["h", "y", "x"])
-
-    got = src.mapInArrow(some, "h long, y int, x binary").orderBy("h", "y", "x").toArrow()
+    return QualityModel(p["e"], p["f"], p["o"], p["w"], float(p["b"][0]))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 3_000, most_bytes: int = 128 << 20, seed: int = 17) -> QualityModel:
+    """Fit on whole texts of at most `most` labelled documents, half of each label where there are as many, and of those the first in
+    hash order that hold `most_bytes` together; the bias is then set back to the labels' shares in all labelled rows."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
+    shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    ids = bounded_ids(known, ["y"], "id", most // 2, most, seed)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    src = sampled_rows(texts, ids, "id", F.col("t"), ["y"])
+    src = src.withColumn("h", F.xxhash64(F.lit(seed), "id"))
+    order = W.orderBy("h", "id", "y").rowsBetween(W.unboundedPreceding, W.currentRow)  # over the sample, `most` rows
+    upto = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(order)
+    got = src.withColumn("upto", upto).where(F.col("upto") <= most_bytes).orderBy("h", "id", "y").select("y", "_text").toArrow()
     y = np.array(got["y"].to_pylist(), np.float64)
     if len(set(y.tolist())) < 2:
         return constant_model(shares.get(1, 0) / max(sum(shares.values()), 1) if shares else 0.5)
-    model = train([np.frombuffer(x.as_py(), np.uint8).reshape(-1, CHUNK) for x in got["x"]], y)
+    model = train([chunks(t.as_py() or b"") for t in got["_text"]], y)
     model.bias += float(np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return model
 
