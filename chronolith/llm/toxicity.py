@@ -11,8 +11,9 @@ usual equation sum p exp(lambda s) = 1 over clean text and K comes from the clea
 passages of a text are summed up in logarithms, and a logistic curve with two parameters fits that to the labels.
 
 Defined results: a null, empty or word-free text has no passage and gets the score of "nothing found". Labels are joined by
-id; a document with two labels counts with each. Rows with a null id or null label are never learned from. Without
-toxic or without clean labelled rows every score is the share of toxic labels (0 if there is none). Texts are read whole.
+id; a document with two labels counts with each, and of repeated ids one text is learned from. Rows with a null id or null label are
+never learned from. Without toxic or without clean labelled rows every score is 1 or 0, the share of toxic labels (0 if there is no label
+at all). If no word tells the labels apart, every score is the share of toxic labels. Texts are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, crc_mod, sigmoid, table
+from .common import bounded_ids, crc_mod, sampled_rows, sigmoid, table
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIX = (3, 7)
@@ -146,20 +147,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8_000, prior: float = 0.02, z_least: float = 3.0, lexicon_most: int = 20_000, seed: int = 5) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8_000, prior: float = 0.02, z_least: float = 3.0, seed: int = 5) -> ToxicityModel:
     """Fit on at most `most` labelled documents, half of them toxic where there are as many; the bias is then set back to
-    the labels' shares in all labelled rows. The lexicon has at most `lexicon_most` features, those with the largest |z|; the prior
-    weighs `prior` of all counts."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), (F.col(label_col) > 0).cast("int").alias("_toxic"))
-    shares = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    ids = bounded_ids(known, ["_toxic"], id_col, most // 2, most, seed).distinct()
-    sample = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(ids), id_col).select("_toxic", "_text").persist()
+    the labels' shares in all labelled rows. The lexicon holds every feature of the sample with a |z| of `z_least` or more; the
+    prior weighs `prior` of all counts."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic"))
+    shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    ids = bounded_ids(known, ["toxic"], "id", most // 2, most, seed)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    sample = sampled_rows(texts, ids, "id", F.col("t"), ["toxic"]).select("toxic", "_text").persist()
     try:
-        n = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+        n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not n.get(0) or not n.get(1):
             share = n.get(1, 0) / max(sum(n.values()), 1)
             return ToxicityModel(bias=30.0 if share == 1 else -30.0)
-        back = math.log(shares[1] / shares[0]) - math.log(n[1] / n[0])
+        natural = math.log(shares[1] / shares[0])
+        back = natural - math.log(n[1] / n[0])
         counts = sample.mapInArrow(_count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         na, nb = (float(x or 0) for x in counts.agg(F.sum("a"), F.sum("b")).first())
         tot = F.col("a") + F.col("b")
@@ -167,11 +170,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         ya, yb = F.col("a") + own, F.col("b") + own
         odds = F.log(ya / (na + prior - ya)) - F.log(yb / (nb + prior - yb))
         scored = counts.select("word", "a", "b", odds.alias("s"), (odds / F.sqrt(1 / ya + 1 / yb)).alias("z"))
-        lex = scored.where(F.abs("z") >= z_least).orderBy(F.abs("z").desc(), "word").limit(lexicon_most).toArrow()
+        lex = scored.where(F.abs("z") >= z_least).orderBy("word").toArrow()
         words, s, b = lex["word"].to_pylist(), lex["s"].to_numpy().astype(float), lex["b"].to_numpy() / max(nb, 1.0)
         model = ToxicityModel(dict(zip(words, s.tolist())))
         if not (s > 0).any():
-            return ToxicityModel(bias=math.log((n[1] + 0.5) / (n[0] + 0.5)) + back)
+            return ToxicityModel(bias=natural)
         # the drift makes clean text lose twice what its positive tokens win, and a little in any case
         model.drift = -max(0.05, 2 * float((b * np.maximum(s, 0)).sum()))
         rest = max(1 - float(b.sum()), 0.0)
