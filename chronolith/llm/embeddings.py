@@ -1,10 +1,11 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, reranking with the vectors themselves.
 
 A rotation of the principal axes is learned on a bounded sample of the vectors, so that their signs make balanced binary codes
-(iterative quantisation). The code is cut into substrings; each table files every vector under its label and one substring. Two
-vectors meet in a table if their substrings differ in `radius` bits or fewer, so codes that differ in up to
-tables * (radius + 1) - 1 bits always meet. Tables and radius follow the number of vectors: substrings have about log2 of it in bits, or fewer
-where a table would have more than 2,000 probes, and that guarantee covers 7 bits at least. What meets is reranked with the original vectors, in double precision: links have no false member.
+(iterative quantisation); lengths too rare to learn from take a random rotation. The code is cut into substrings; each table files every
+vector under its label and one substring. Two vectors meet in a table if their substrings differ in `radius` bits or fewer, so codes that
+differ in up to tables * (radius + 1) - 1 bits always meet. Substrings have about log2 n bits for n vectors, or fewer where a table
+would have more than 2,000 probes, and that guarantee covers 7 bits whatever n. What meets is reranked with the original vectors, in
+double precision: links have no false member.
 
 Equal vectors merge first. A table's entry is dealt into blocks of about `block` vectors, and pairs of blocks, not of vectors, are
 joined: each is one small matrix product that returns a vector's count of links and its root inside the pair of blocks. No group is
@@ -23,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
@@ -65,60 +66,91 @@ def plan(n: int, bits: int, least: int = 7) -> tuple[int, int]:
         tables += 1
 
 
-def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, bits: int = 64, sample: int = 8_000, block: int = 256, seed: int = 1) -> DataFrame:
-    """(id, n_links, component_id, kept) of each row."""
+def random_projection(dim: int, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection) without learning, for lengths too rare to learn from: a random rotation's first axes."""
+    rng = np.random.default_rng([seed, dim])
+    return np.zeros(dim), np.linalg.qr(rng.normal(size=(dim, min(bits, dim))))[0]
+
+
+def _learned(good: DataFrame, bits: int, sample: int, lengths: int, seed: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Quantisers of the commonest lengths (in bytes of the vectors), each fitted on a bounded sample."""
+    common = good.groupBy(F.octet_length("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(lengths).collect()
+    models = {}
+    for d in (r["d"] for r in common):
+        some = good.where(F.octet_length("v") == d).select("v", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h", "v").limit(sample).toArrow()
+        x = np.stack([np.frombuffer(v.as_py(), np.float64) for v in some["v"]])
+        models[d] = fit_itq(x if len(x) > 1 else np.vstack([x, x]), bits)
+    return models
+
+
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, bits: int = 64, sample: int = 8_000, lengths: int = 8, block: int = 256, planned_rows: int | None = None, seed: int = 1) -> DataFrame:
+    """(id, n_links, component_id, kept) of each row.
+
+    lengths: how many of the commonest lengths get a learned rotation. planned_rows: vectors that the tables are planned for, where not
+    the number of different ones."""
     spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vs = [None if i is None or g is None else v for i, g, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), _vectors(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([None if v is None else v.tobytes() for v in vs], pa.binary())], ["id", "label", "v"])
+            known = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), _vectors(b.column(1)))
+            vs = [None if i is None or g is None or v is None else v.tobytes() for i, g, v in known]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(vs, pa.binary())], ["id", "label", "v"])
 
     rows = checkpointed(src.mapInArrow(normal, "id long, label string, v binary"))
     good = rows.where("v IS NOT NULL")
-    dims = [r["d"] for r in good.groupBy(F.octet_length("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1_000).collect()]
-    if not dims:
+    longest = good.agg(F.max(F.octet_length("v")).alias("d")).first()["d"]
+    if not longest:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    models = {}
-    for d in dims:
-        got = good.where(F.octet_length("v") == d).select("v", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h", "v").limit(sample).toArrow()
-        models[d] = fit_itq(np.stack([np.frombuffer(v.as_py(), np.float64) for v in got["v"]]) if len(got) > 1 else np.vstack([np.frombuffer(got["v"][0].as_py(), np.float64)] * 2), bits)
-    shared = spark.sparkContext.broadcast(models)
-
+    shared = spark.sparkContext.broadcast(_learned(good, bits, sample, lengths, seed))
     merged = good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = dict(shared.value)
         for b in batches:
             codes = []
             for v in b.column(1).to_pylist():
-                mean, axes = shared.value.get(len(v)) or next(iter(shared.value.values()))
+                if len(v) not in models:
+                    models[len(v)] = random_projection(len(v) // 8, bits, seed)
+                mean, axes = models[len(v)]
                 on = (np.frombuffer(v, np.float64) - mean) @ axes >= 0
                 codes.append(int(np.packbits(np.pad(on, (0, 64 - len(on))), bitorder="little").view(np.int64)[0]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.int64())], [*b.schema.names, "code"])
 
     coded = checkpointed(merged.mapInArrow(code, "label string, v binary, rep long, n long, code long"))
-    width = min(bits, 64, max(dims) // 8)
-    n_tables, radius = plan(coded.count(), width)
+    width = min(bits, 64, longest // 8)
+    n_tables, radius = plan(planned_rows or coded.count(), width)
     edges = [round(i * width / n_tables) for i in range(n_tables + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
 
-    def signed(m: int) -> int:
-        return m - (1 << 64) if m >> 63 else m
-
-    filed = coded.select(F.concat(F.octet_length("v"), F.lit(":"), "label").alias("label"), "v", "rep", "n", "code", F.posexplode(F.array(*(F.col("code").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks))).alias("t", "sub"))
+    subs = F.array(*(F.col("code").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks))
+    kind = F.concat(F.octet_length("v"), F.lit(":"), "label").alias("label")  # vectors of different lengths never meet
+    filed = coded.select(kind, "v", "rep", "n", "code", F.posexplode(subs).alias("t", "sub"))
     units = checkpointed(filed.groupBy("label", "t", "sub").agg(F.ceil(F.count("*") / block).alias("blocks")))
-    blocks = filed.join(units, ["label", "t", "sub"]).groupBy("label", "t", "sub", F.pmod(F.xxhash64(F.lit(seed), "rep", "code"), F.col("blocks")).cast("int").alias("b")).agg(F.collect_list(F.struct("rep", "n", "code", "v")).alias("m"))
-    blocks = checkpointed(blocks)
-    flips = [F.array(*(F.lit(signed(sum(1 << b for b in c))).cast("long") for k in range(radius + 1) for c in combinations(range(lo, hi), k))) for lo, hi in zip(edges, edges[1:])]
-    probes = units.select("label", "t", F.col("sub").alias("sub1"), F.col("blocks").alias("blocks1"), F.explode(F.element_at(F.array(*flips), F.col("t") + 1)).alias("flip"))
+    deal = F.pmod(F.xxhash64(F.lit(seed), "rep", "code"), F.col("blocks")).cast("int").alias("b")
+    blocks = filed.join(units, ["label", "t", "sub"]).groupBy("label", "t", "sub", deal)
+    blocks = checkpointed(blocks.agg(F.collect_list(F.struct("rep", "n", "code", "v")).alias("m")))
+
+    def flips(low: int, high: int) -> Column:
+        return F.array(*(F.lit(_signed(sum(1 << b for b in c))).cast("long") for k in range(radius + 1) for c in combinations(range(low, high), k)))
+
+    flip = F.element_at(F.array(*(flips(a, b) for a, b in zip(edges, edges[1:]))), F.col("t") + 1)
+    probes = units.select("label", "t", F.col("sub").alias("sub1"), F.col("blocks").alias("blocks1"), F.explode(flip).alias("flip"))
     probes = probes.withColumn("sub", F.col("sub1").bitwiseXOR(F.col("flip"))).where("sub1 <= sub")
-    met = probes.join(units, ["label", "t", "sub"]).select("label", "t", "sub1", F.col("sub").alias("sub2"), "blocks", F.explode(F.sequence(F.lit(0), (F.col("blocks1") - 1).cast("int"))).alias("b1"))
-    met = met.select("label", "t", "sub1", "sub2", "b1", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("b2")).where("sub1 < sub2 OR b1 <= b2")
+
+    def upto(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))
+
+    met = probes.join(units, ["label", "t", "sub"]).select("label", "t", "sub1", F.col("sub").alias("sub2"), "blocks", upto("blocks1").alias("b1"))
+    met = met.select("label", "t", "sub1", "sub2", "b1", upto("blocks").alias("b2")).where("sub1 < sub2 OR b1 <= b2")
     one = blocks.withColumnsRenamed({"sub": "sub1", "b": "b1", "m": "m1"})
     two = blocks.withColumnsRenamed({"sub": "sub2", "b": "b2", "m": "m2"})
-    pairs = met.join(one, ["label", "t", "sub1", "b1"]).join(two, ["label", "t", "sub2", "b2"]).where((F.size("m1") > 1) | (F.col("sub1") != F.col("sub2")) | (F.col("b1") != F.col("b2")))
-    pairs = pairs.select("t", ((F.col("sub1") == F.col("sub2")) & (F.col("b1") == F.col("b2"))).alias("same"), "m1", "m2")
+    pairs = met.join(one, ["label", "t", "sub1", "b1"]).join(two, ["label", "t", "sub2", "b2"])
+    pairs = pairs.withColumn("same", F.expr("sub1 = sub2 AND b1 = b2")).where("NOT same OR size(m1) > 1").select("t", "same", "m1", "m2")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,7 +167,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
                     np.fill_diagonal(linked, False)
                 x = c1[:, None] ^ c2[None, :]
                 for mask in masks[:t]:
-                    linked &= np.bitwise_count(x & np.int64(signed(mask))) > radius
+                    linked &= np.bitwise_count(x & np.int64(_signed(mask))) > radius
                 if not linked.any():
                     continue
                 root1, root2 = r1.copy(), r2.copy()
@@ -158,10 +190,12 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     found = checkpointed(pairs.mapInArrow(rerank, "rep long, links long, root long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("node", "rep")
-    reps = coded.select("label", "v", "rep", "n").join(counts, "rep", "left").join(comps, "rep", "left").select("label", "v", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
-    all_rows = rows.join(reps, ["label", "v"], "left")
+    reps = coded.select("label", "v", "rep", "n").join(counts, "rep", "left").join(comps, "rep", "left")
+    reps = reps.select("label", "v", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
     component = F.coalesce("component", "id")
-    return all_rows.select(F.col("id").alias(id_col), F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    n_links = F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links")
+    kept = F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+    return rows.join(reps, ["label", "v"], "left").select(F.col("id").alias(id_col), n_links, component.alias("component_id"), kept)
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
