@@ -79,7 +79,7 @@ def test_near_duplicates(odd, none):
 
 
 def test_decontamination(spark, odd, none):
-    bench = spark.createDataFrame([(1, "the cat sat on the mat and the dog ran far from the house"), (2, None), (3, ""), (4, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "the cat sat on the mat and the dog ran far from the house"), (2, None), (3, ""), (4, "too short"), (None, "der die der das")], "item_id long, text string")
     found = decontaminate.contaminated(odd, bench).collect()
     assert {r["doc_id"] for r in found} == {1, 7}
     assert all(r["best_item"] == 1 and 0.8 <= r["best_overlap"] < 1 for r in found)
@@ -87,7 +87,7 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.decontaminate(odd, bench).columns == odd.columns
     assert decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
-    both = decontaminate.contaminated(odd, bench, broadcast_hashes=0, broadcast_docs=0).collect()
+    both = decontaminate.contaminated(odd, bench, small_bytes=0).collect()
     assert {(r["doc_id"], r["best_overlap"]) for r in both} == {(r["doc_id"], r["best_overlap"]) for r in found}
 
 
@@ -116,6 +116,13 @@ def test_licences(odd, none, spark):
     k = licences.known_digests(spark)
     assert licences.scan_licences(odd, k).count() == 0
     assert licences.scan_licences(none, k).count() == 0
+    notice = "Released under the MIT License."
+    rows = [(1, notice), (1, notice), (1, "x\n" + notice + "\n" + notice), (None, notice), (None, notice), (2, "Licensed under CC BY 4.0.\n" + notice), (3, LONG + "\n" + notice), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit(1)).withColumn("digest", F.lit("x"))
+    for most in (100_000, 0):
+        got = [(r["doc_id"], r["licences"], r["whole"]) for r in licences.scan_licences(docs, k, most_lengths=most).collect()]
+        assert sorted(got, key=str) == [(1, ["MIT"], False), (1, ["MIT"], True), (2, ["CC-BY-4.0", "MIT"], False), (3, ["MIT"], False), (None, ["MIT"], True)]
+    assert licences.scan_licences(docs, k.limit(0)).count() == 0
 
 
 def test_classifiers(spark, odd, none):
@@ -125,6 +132,13 @@ def test_classifiers(spark, odd, none):
             got = score(docs, fit(docs, lab)).collect()
             assert len(got) == docs.count()
             assert all(0 <= r["score"] <= 1 for r in got)
+            texts = {r["doc_id"]: r["score"] for r in got if r["doc_id"] in (2, 3)}
+            assert len(set(texts.values())) <= 1  # a null text and an empty one score alike
+    one = spark.createDataFrame([(3, 1, 1), (6, 1, 1)], "doc_id long, quality int, toxic int")
+    for lab, share in ((one, 1.0), (one.limit(0), 0.0), (one.selectExpr("doc_id", "0 AS quality", "0 AS toxic"), 0.0)):
+        assert {round(r["score"], 6) for r in toxicity.score_toxicity(odd, toxicity.fit_toxicity(odd, lab)).collect()} == {share}
+        got = {round(r["score"], 5) for r in quality.score_quality(odd, quality.fit_quality(odd, lab)).collect()}
+        assert got == {share if lab.count() else 0.5}
 
 
 def test_embeddings(spark):
