@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import decontaminate, embeddings, graph, langid, licences, mixing, pii, quality, simhash, substring, toxicity
+from chronolith.llm import decontaminate, embeddings, graph, langid, licences, mixing, quality, simhash, substring, toxicity
 from chronolith.llm.common import checkpointed, pieces
 
 SF = "/root/testdata/sf0.01"
@@ -181,36 +181,6 @@ def test_mix_targets_and_reruns(spark):
     assert d.select("shard").distinct().count() == 32
 
 
-def test_surrogates_keep_shape_and_differ():
-    for size in (2, 10, 37, 1000):
-        assert sorted(pii.permute(k, size, b"k", "t") for k in range(size)) == list(range(size))
-    card = pii.surrogate("card", "4111111111111111")
-    assert pii._luhn(card[:-1]) == int(card[-1]) and card != "4111111111111111"
-    iban = pii.surrogate("iban", "DE89370400440532013000")
-    assert iban[:2] == "DE" and pii._iban_check("DE", iban[4:]) == iban[2:4]
-    text = "Mr. John Smith wrote to Bob.S@mail7.example.com and BOB.S@mail7.example.com from 97.51.17.173, +1 (017) 555-7713 or +1 017 555 7713. Mrs. Jane Roe did not."
-    new, n = pii.rewrite(text)
-    assert n == 7 and pii.rewrite("nothing here 12 34")[1] == 0
-    w = new.split()
-    assert w[5].lower() == w[7].lower() and w[7][:3].isupper()
-    digits = "".join(c for c in new.split("from")[1] if c.isdigit() or c == "+")
-    a, b = digits.split("+")[1][:11], digits.split("+")[2][:11]
-    assert a == b != "10175557713"
-    assert w[1] in pii.GIVEN["m"] and new.split("Mrs. ")[1].split()[0] in pii.GIVEN["f"]
-    for lost in ("Smith", "Jane", "97.51.17.173", "555-7713"):
-        assert lost not in new
-
-
-def test_collisions_draw_again(spark):
-    def _clash(kind, canon, gender="", key=b"", attempt=0):
-        return f"same{attempt}" if attempt < 2 else f"{canon}{attempt}"
-
-    e = spark.createDataFrame([("name", n, "m") for n in ("Ann", "Bob", "Cyd")] + [("phone", "123", "")], "kind string, canon string, gender string")
-    got = {r["canon"]: r["attempt"] for r in pii.collisions(e, make=_clash).collect()}
-    assert got == {"Bob": 1, "Cyd": 2}
-    assert pii.collisions(e.where("canon = 'Ann'"), make=_clash) is None
-
-
 @pytest.mark.parametrize("planned", [None, 2**23, 2**32])
 def test_embedding_recall_against_brute_force(spark, planned):
     rng = np.random.default_rng(8)

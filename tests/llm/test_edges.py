@@ -104,12 +104,17 @@ def test_mixing(odd, none):
 
 
 def test_pii(odd, none):
-    got = pii.replace_entities(odd)
+    key = b"k"
+    odd = odd.withColumns({"_n_entities": F.lit(7), "th": F.lit("x"), "again": F.lit("y"), "kind": F.lit("z")})
+    got = pii.replace_entities(odd, key=key)
+    kept = [c for c in odd.columns if c != "_n_entities"]
     assert got.count() == 11
-    assert got.columns == [*odd.columns, "_n_entities"]
-    assert got.drop("_n_entities").exceptAll(odd).count() == 0
-    assert odd.exceptAll(got.drop("_n_entities")).count() == 0
-    assert pii.replace_entities(none).count() == 0
+    assert got.columns == [*kept, "_n_entities"]
+    assert got.where("_n_entities != 0").count() == 0
+    assert got.select(kept).exceptAll(odd.select(kept)).count() == 0
+    assert odd.select(kept).exceptAll(got.select(kept)).count() == 0
+    assert pii.replace_entities(none, key=key).count() == 0
+    assert pii.replace_entities(odd, key=key, count_col="m").columns == [*odd.columns, "m"]
 
 
 def test_licences(odd, none, spark):
