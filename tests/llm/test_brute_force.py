@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import decontaminate, embeddings, graph, langid, licences, mixing, quality, simhash, substring, toxicity
+from chronolith.llm import decontaminate, embeddings, graph, langid, licences, quality, simhash, substring, toxicity
 from chronolith.llm.common import checkpointed, pieces
 
 SF = "/root/testdata/sf0.01"
@@ -152,35 +152,6 @@ def test_leaks_with_substitutions(spark):
     assert 30 <= len(want) < 60
 
 
-def test_hypergeometric_is_exact(spark):
-    n = 20_000
-    for total, marked, drawn in ((50, 20, 15), (9, 9, 4), (7, 0, 3), (2, 1, 1)):
-        u = (F.col("id") + 0.5) / n
-        got = {r["k"]: r["count"] / n for r in spark.range(n).select(mixing.hypergeometric(F.lit(total), F.lit(marked), F.lit(drawn), u).alias("k")).groupBy("k").count().collect()}
-        for k in range(drawn + 1):
-            p = math.comb(marked, k) * math.comb(total - marked, drawn - k) / math.comb(total, drawn) if k <= marked and drawn - k <= total - marked else 0
-            assert abs(got.get(k, 0) - p) < 2 / n
-
-
-def test_tree_splits_quotas_exactly(spark):
-    q = spark.createDataFrame([("=a", 1000), ("=b", 37), ("", 5)], "skey string, n long")
-    rows = mixing.split_quotas(q, 3, 1).collect()
-    assert {k: sum(r["n"] for r in rows if r["skey"] == k) for k in ("=a", "=b", "")} == {"=a": 1000, "=b": 37, "": 5}
-    shards = [sum(r["n"] for r in rows if r["shard"] == s) for s in range(8)]
-    assert max(shards) - min(shards) <= 1
-
-
-def test_mix_targets_and_reruns(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    m = checkpointed(mixing.mix(docs, mixing.n_words(F.col("text")), shard_words=20_000))
-    assert all(abs(r["t"] - r["g"]) <= 0.5 for r in m.groupBy("source").agg(F.sum("_taken").alias("t"), F.first("_target").alias("g")).collect())
-    assert m.where("_taken > 2 * _size").count() == 0
-    again = mixing.mix(docs, mixing.n_words(F.col("text")), shard_words=20_000)
-    assert m.select("doc_id", "_taken", "_draws").exceptAll(again.select("doc_id", "_taken", "_draws")).count() == 0
-    d = m.select("source", F.explode("_draws").alias("d")).select("source", "d.*")
-    assert d.select("shard").distinct().count() == 32
-
-
 @pytest.mark.parametrize("planned", [None, 2**23, 2**32])
 def test_embedding_recall_against_brute_force(spark, planned):
     rng = np.random.default_rng(8)

@@ -92,15 +92,20 @@ def test_decontamination(spark, odd, none):
 
 
 def test_mixing(odd, none):
-    m = mixing.mix(odd, mixing.n_words(F.col("text")))
+    size, content = mixing.n_words(F.col("text")), F.xxhash64("text")
+    odd = odd.withColumns({"_size": F.lit("x"), "skey": F.lit("y"), "mix_shard": F.lit("z"), "words": F.lit(1), "idx": F.lit(2), "d": F.lit(3)})
+    m = mixing.mix(odd, size, content)
     got = m.collect()
-    assert len(got) == 11
+    assert len(got) == 11 and m.columns == [*(c for c in odd.columns if c != "_size"), *mixing.ADDED]
     assert all(0 <= r["_taken"] <= 2 * r["_size"] for r in got)
     by = {r["source"]: r["_target"] for r in got}
     for s, t in by.items():
         assert abs(sum(r["_taken"] for r in got if r["source"] == s) - t) <= 1
-    assert mixing.mix(none, mixing.n_words(F.col("text"))).count() == 0
-    assert mixing.mixed_rows(odd).agg(F.sum("mix_words")).first()[0] == sum(r["_taken"] for r in got)
+    assert mixing.mix(none, size, content).count() == 0 and mixing.mixed_rows(none).count() == 0
+    mixed = mixing.mixed_rows(odd)
+    assert mixed.agg(F.sum("mix_words")).first()[0] == sum(r["_taken"] for r in got)
+    assert mixed.columns == [*(c for c in odd.columns if c != "mix_shard"), *mixing.MIX_COLUMNS]
+    assert mixing.mix(odd.where("size(split(coalesce(text, ''), ' ')) = 1 AND coalesce(trim(text), '') = ''"), size, content).agg(F.sum("_target")).first()[0] == 0
 
 
 def test_pii(odd, none):
