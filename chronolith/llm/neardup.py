@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, numbered
 from .graph import components
 from .simhash import shingle_hashes
 
@@ -352,3 +352,23 @@ def near_duplicate_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """(id, component_id): the smallest id of each row's group of near-duplicates."""
     return near_duplicate_rows(docs, id_col=id_col, **options).select(id_col, "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates.
+
+    Rows are known by id and text. The smallest id stays, null only where the group has no other, then the smallest hash of the text; of
+    rows that agree in both, the one with the smallest hash of all columns."""
+    plain, names = numbered(docs)
+    own_id, own_text = F.col(names[id_col]), text_hash(F.col(names[text_col]))
+    groups = near_duplicate_rows(plain, id_col=names[id_col], text_col=names[text_col], **options)
+    groups = checkpointed(groups.toDF("id", "th", "first", "first_th"))
+    stays = F.expr("id <=> first AND th = first_th")
+    gone = groups.where(~stays).select("id", "th").distinct()
+    again = checkpointed(groups.where(stays).groupBy("id", "th").count().where("count > 1").select("id", "th"))
+    same = own_id.eqNullSafe(F.col("id")) & (own_text == F.col("th"))
+    once = plain.join(gone.union(again), same, "left_anti")
+    columns = F.struct(*plain.columns)
+    one = F.min_by(columns, F.xxhash64(F.to_json(columns))).alias("r")
+    repeated = plain.join(again, same, "left_semi").groupBy(own_id, own_text).agg(one).select("r.*")
+    return once.union(repeated).toDF(*docs.columns)

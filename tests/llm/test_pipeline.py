@@ -49,6 +49,55 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert set(got) == {(1, near), (None, clean), (None, nulls), (7, other), (8, "one two three four five six")}
 
 
+CLASHING = ["score", "lang_pred", "_id", "_th", "_gone", "id", "th", "first", "n", "node", "component", "_n_entities", "kind", "key", "size", "idx", "block", "a.b"]
+LONG = "der die das und ein langer Text von Haus und Hof " * 20_000
+
+
+def _odd(spark):
+    leak = "the cat sat on the mat and the dog ran far from the house today with friends"
+    rows = [
+        (1, "The quick brown fox jumps over the lazy dog near the river bank in the morning sun", "en", "a"),
+        (1, "The quick brown fox jumps over the lazy dog near the river bank in the morning sun", "en", "a"),  # a repeated row
+        (1, "Another text under the same number that has nothing to do with any fox or dog", "en", "b"),
+        (None, "A text without a number that nobody else in this little table has written", "en", None),
+        (None, "A second text without a number, which is quite unlike the first one here", "en", None),
+        (None, "A second text without a number, which is quite unlike the first one here", "en", None),
+        (2, None, None, None),
+        (3, "", "en", "a"),
+        (4, "12345 !!!", "en", "a"),
+        (5, LONG, "de", "hot"),
+        (6, "Call +1 (017) 555-7713 or write to me.you@mail1.example.com about the house with the garden", "en", "a"),
+        (7, leak, "en", "a"),
+        (None, leak + " again", "en", "a"),
+    ]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({c: F.lit(f"kept {c}") for c in CLASHING}).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path):
+    docs = _odd(spark)
+    bench = "the cat sat on the mat and the dog ran far from the house today with friends"
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    counts = {}
+    for name, stage in cp.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        out = stage(spark, docs, f"file://{tmp_path}")
+        rows = out.collect()
+        counts[name] = len(rows)
+        if name != "mixture":
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            assert all(r[c] == f"kept {c}" for r in rows for c in CLASHING)
+        if name == "near_duplicates":
+            kept = sorted((r["doc_id"] or 0, (r["text"] or "")[:9]) for r in rows)
+            assert kept == [(0, "A second "), (0, "A text wi"), (1, "Another t"), (1, "The quick"), (2, ""), (4, "12345 !!!"), (5, "der die d"), (6, "Call +1 ("), (7, "the cat s")]
+        if name == "personal_data":
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+        if name == "mixture":
+            assert out.columns == [*docs.columns, "mix_shard", "mix_epoch", "mix_words", "mix_key"]
+    assert counts["language"] == 10 and counts["benchmark_leaks"] == 11 and counts["personal_data"] == 13
+
+
 def test_run_on_tables(spark):
     out = cp.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100
@@ -57,3 +106,21 @@ def test_run_on_tables(spark):
     from chronolith.llm.decontaminate import contaminated
 
     assert contaminated(out.select("doc_id", "text"), bench).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from chronolith.llm.common import shared_folder
+
+    def session(master, there):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: there))
+
+    assert shared_folder(session("spark://host:7077", "hdfs:///x")) == "hdfs:///x"
+    assert shared_folder(session("local[4]", None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, None))
