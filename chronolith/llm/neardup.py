@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, numbered
+from .common import broadcast_if_small, checkpointed, numbered
 from .graph import components
 from .simhash import shingle_hashes
 
@@ -142,11 +142,11 @@ def block_merges(comps: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], sp
 class _Search:
     """The steps of the module's text over one table of documents."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, recall: float, planned_rows: int | None, broadcast_docs: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, recall: float, planned_rows: int | None, small_bytes: int):
         text = F.col(text_col).cast("string")
         own = F.struct(F.col(id_col).isNull().alias("nil"), F.col(id_col).alias("id"), text_hash(text).alias("th"))
         self.src = docs.select(own.alias("id"), text.cast("binary").alias("_text"))
-        self.shingle, self.least, self.broadcast_docs = shingle, least, broadcast_docs
+        self.shingle, self.least, self.small_bytes = shingle, least, small_bytes
         self.tables, self.bits = table_plan(planned_rows or self.src.count(), least, recall)
         self.words = signature_words(self.tables, self.bits)
         self.sure, self.hopeless = distance_limits(least, 64 * self.words)
@@ -175,25 +175,49 @@ class _Search:
         schema = self.src.select("id").schema.add("node", "long").add("sig", "binary")
         self.signed = checkpointed(self.src.mapInArrow(sign, schema))
         found = checkpointed(self.signed.select("node", "sig").dropDuplicates(["node"]))
-        tasks = found.count() // 10_000 + 1
+        self.n_nodes = found.count()
+        tasks = self.n_nodes // 10_000 + 1
         unpacked = found.mapInArrow(unpack, "node long, w0 long, sig binary, keys array<long>")
         self.nodes = checkpointed(unpacked.repartition(tasks, "node"))
 
     def classify(self) -> None:
-        """classes: (key, hub, n); crowd: (key, hub, n, node) of the members of classes with several."""
-        self.members = self.nodes.select("node", F.explode("keys").alias("key"))
+        """classes: (key, hub, w0, n), w0 that of the hub; crowd: (key, hub, node) of the members of classes with several."""
+        members = self.nodes.select("node", "w0", F.explode("keys").alias("key"))
+        tasks = self.n_nodes // 5_000 + 1
         salted = F.col("node").bitwiseXOR(F.xxhash64("key"))  # another smallest member in each table
-        classes = self.members.groupBy("key").agg(F.min(salted).alias("hub"), F.count("*").alias("n"))
-        self.classes = checkpointed(classes.select("key", F.col("hub").bitwiseXOR(F.xxhash64("key")).alias("hub"), "n"))
-        self.crowd = checkpointed(self.members.join(self.classes.where("n > 1"), "key"))
+        classes = members.repartition(tasks, "key").groupBy("key").agg(F.min(salted).alias("hub"), F.min_by("w0", salted).alias("w0"), F.count("*").alias("n"))
+        self.classes = checkpointed(classes.select("key", F.col("hub").bitwiseXOR(F.xxhash64("key")).alias("hub"), "w0", "n"))
+        several = checkpointed(self.classes.where("n > 1").select("key", "hub"))
+        self.members = members.select("key", "node")
+        self.crowd = checkpointed(self.members.join(broadcast_if_small(several), "key"))
 
-    def state(self, comps: DataFrame) -> DataFrame:
-        """(key, hub, n, comp, mixed) of each class: its hub's component; whether members have others."""
+    def meet(self) -> None:
+        """met: (k1, k2, hub, node, n, near) of classes that share a variant, node the other's hub, n members in all, near if the hubs
+        may be alike; of variants with more than four classes, the first with each other. wide: (variant, keys) of such variants.
+
+        Pairs of single members that aren't near are settled and left out."""
+        balls = self.classes.select("key", F.posexplode(self.flips).alias("at", "flip"))
+        balls = balls.select(F.col("key").bitwiseXOR(F.col("flip")).alias("variant"), F.expr("shiftleft(1L, at)").alias("mask")).repartition("variant")
+        groups = checkpointed(balls.groupBy("variant").agg(F.bit_or("mask").alias("mask")).where(F.bit_count("mask") > 1))
+        # the flip of a mask's bit is half its value
+        two = groups.where("bit_count(mask) = 2").selectExpr("variant ^ shiftright(mask & -mask, 1) AS k1", "variant ^ shiftright(mask ^ (mask & -mask), 1) AS k2")
+        bit_set = F.filter(F.sequence(F.lit(0), F.lit(self.bits)), lambda i: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+        keys = F.transform(bit_set, lambda i: F.col("variant").bitwiseXOR(F.element_at(self.flips, i + 1)))
+        more = groups.where("bit_count(mask) > 2").select("variant", keys.alias("keys"))
+        firsts = F.posexplode(F.expr("slice(keys, 1, if(size(keys) > 4, 1, size(keys)))")).alias("at", "k1")
+        more_pairs = more.select("keys", firsts).select("k1", F.explode(F.expr("slice(keys, at + 2, size(keys))")).alias("k2"))
+        pairs = two.union(more_pairs).select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct()
+        c1, c2 = (self.classes.toDF(f"k{k}", f"h{k}", f"w{k}", f"n{k}") for k in (1, 2))
+        met = pairs.join(c1, "k1").join(c2, "k2").withColumn("near", F.bit_count(F.col("w1").bitwiseXOR(F.col("w2"))) <= FIRST_WORD)
+        met = met.where("h1 != h2 AND near OR n1 + n2 > 2")
+        self.met = checkpointed(met.select("k1", "k2", F.col("h1").alias("hub"), F.col("h2").alias("node"), (F.col("n1") + F.col("n2")).alias("n"), "near"))
+        self.wide = checkpointed(more.where("size(keys) > 4"))
+
+    def spread(self, comps: DataFrame) -> DataFrame:
+        """(key, lo, hi): the smallest and largest component among the members of each class with several."""
         of_node = F.coalesce("component", "node")
-        spread = self.crowd.join(comps, "node", "left").groupBy("key").agg(F.min(of_node).alias("lo"), F.max(of_node).alias("hi"))
-        mixed = spread.where("lo < hi").select("key", F.lit(True).alias("mixed"))
-        hubs = self.classes.join(comps.withColumnRenamed("node", "hub"), "hub", "left")
-        return hubs.join(mixed, "key", "left").select("key", "hub", "n", F.coalesce("component", "hub").alias("comp"), F.coalesce("mixed", F.lit(False)).alias("mixed"))
+        members = self.crowd.join(comps, "node", "left").groupBy("key")
+        return checkpointed(members.agg(F.min(of_node).alias("lo"), F.max(of_node).alias("hi")))
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """(a, b, d) of those pairs (a, b) of nodes that may be alike."""
@@ -210,11 +234,17 @@ class _Search:
         both = near.select("a", "b").join(wide.toDF("a", "x"), "a").join(wide.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return both.mapInArrow(distance, "a long, b long, d long").where(F.col("d") <= self.hopeless)
 
+    @staticmethod
+    def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        """The pairs (a, b, ...) of nodes of different components."""
+        ends = pairs.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
+        return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
     def sets(self, asked: DataFrame) -> DataFrame:
         """(node, s) of the nodes asked for: their sorted shingles, from their texts."""
         shingle = self.shingle
         wanted = checkpointed(self.signed.join(asked, "node").groupBy("node").agg(F.min("id.th").alias("th")))
-        known = F.broadcast(wanted) if wanted.count() <= self.broadcast_docs else wanted
+        known = broadcast_if_small(wanted, self.small_bytes)
         texts = self.src.select(F.col("id.th").alias("th"), "_text").join(known, "th").select("node", "_text").dropDuplicates(["node"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +258,7 @@ class _Search:
         """(a, b) of the unsure links (a, b, d) whose sets agree, but for those that others make needless.
 
         Each node's closest candidate comes first; after that only pairs that still join two components are looked at."""
-
-        def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-            ends = pairs.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
-            return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "d")
-
-        unsure = checkpointed(across(links.where(F.col("d") > self.sure), joined))
+        unsure = checkpointed(self.across(links.where(F.col("d") > self.sure), joined))
         if unsure.isEmpty():
             return unsure.select("a", "b")
         asked = unsure.select("a").union(unsure.select("b")).distinct().toDF("node")
@@ -249,24 +274,41 @@ class _Search:
         first = closest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         one = checkpointed(agreeing(first))
         comps = checkpointed(components(joined.toDF("a", "b").union(one)))
-        rest = across(unsure.join(first, ["a", "b"], "left_anti"), comps)
+        rest = self.across(unsure.join(first, ["a", "b"], "left_anti"), comps)
         return one.union(checkpointed(agreeing(rest)))
 
-    def leftovers(self, groups: DataFrame, comps: DataFrame) -> DataFrame | None:
+    def leftovers(self, comps: DataFrame) -> DataFrame | None:
         """(a, b): components that links inside unsettled classes and pairs of classes join; None if all is settled."""
-        state = checkpointed(self.state(comps))
-        within = state.where("n > 2 AND mixed").select(F.col("key").alias("k1"), F.col("key").alias("k2"))
-        met = self.met(groups).join(state, "key").groupBy("variant")
-        met = met.agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("mixed").alias("mixed"), F.sum("n").alias("n"), F.sort_array(F.collect_list("key")).alias("keys"))
-        met = met.where("n > 2 AND (mixed OR lo < hi)").select("keys", F.posexplode("keys").alias("at", "k1"))
-        across = met.select("k1", F.explode(F.expr("slice(keys, at + 2, size(keys))")).alias("k2")).distinct()
-        s1, s2 = (state.select(F.col("key").alias(f"k{k}"), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"c{k}"), F.col("mixed").alias(f"m{k}")) for k in (1, 2))
-        across = across.join(s1, "k1").join(s2, "k2").where("n1 + n2 > 2 AND (m1 OR m2 OR c1 != c2)").select("k1", "k2")
-        turns = checkpointed(within.union(across))
+        spread = self.spread(comps)
+        of_class = broadcast_if_small(spread)
+
+        def unsettled(pairs: DataFrame) -> DataFrame:
+            """Those pairs (k1, k2, hub, node) of classes whose members are of several components."""
+            ends = pairs.join(comps.toDF("hub", "c1"), "hub", "left").join(comps.toDF("node", "c2"), "node", "left")
+            for k, own in ((1, "hub"), (2, "node")):
+                ends = ends.join(of_class.toDF(f"k{k}", f"lo{k}", f"hi{k}"), f"k{k}", "left")
+                for side in ("lo", "hi"):
+                    ends = ends.withColumn(f"{side}{k}", F.coalesce(f"{side}{k}", f"c{k}", own))
+            return ends.where("least(lo1, lo2) < greatest(hi1, hi2)").select("k1", "k2")
+
+        turns = spread.where("lo < hi").select(F.col("key").alias("k1"), F.col("key").alias("k2"))
+        turns = turns.join(self.classes.where("n > 2").select(F.col("key").alias("k1")), "k1", "left_semi")
+        turns = turns.union(unsettled(self.met.where("n > 2")))
+        if not self.wide.isEmpty():
+            each = self.wide.select("variant", F.explode("keys").alias("key")).join(self.classes.select("key", "hub"), "key")
+            each = each.join(comps.withColumnRenamed("node", "hub"), "hub", "left").join(of_class, "key", "left")
+            own = F.coalesce("component", "hub")
+            groups = checkpointed(each.select("variant", "key", "hub", F.coalesce("lo", own).alias("lo"), F.coalesce("hi", own).alias("hi")))
+            split = groups.groupBy("variant").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("key", "hub"))).alias("m"))
+            split = split.where("lo < hi").select("m", F.posexplode("m").alias("at", "x"))
+            split = split.select("x", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("y"))
+            pairs = split.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2"), F.col("x.hub").alias("hub"), F.col("y.hub").alias("node"))
+            turns = turns.union(unsettled(pairs.distinct()))
+        turns = checkpointed(turns.distinct())
         if turns.isEmpty():
             return None
-        keys = turns.select("k1").union(turns.select("k2")).distinct().toDF("key")
-        inside = self.members.join(keys, "key").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        keys = checkpointed(turns.select("k1").union(turns.select("k2")).distinct().toDF("key"))
+        inside = self.members.join(broadcast_if_small(keys), "key").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
         inside = checkpointed(inside)
         sets = self.sets(inside.select("node").distinct())
         return self.compared(turns, inside, sets)
@@ -304,46 +346,37 @@ class _Search:
 
         return checkpointed(pairs.mapInArrow(compare, "a long, b long").distinct())
 
-    def met(self, groups: DataFrame) -> DataFrame:
-        """(variant, key): the classes of each shared variant, from the mask of their flips."""
-        each = groups.select("variant", "mask", F.posexplode(self.flips).alias("at", "flip"))
-        return each.where("shiftright(mask, at) & 1 = 1").select("variant", F.col("variant").bitwiseXOR(F.col("flip")).alias("key"))
-
     def run(self) -> DataFrame:
         """(id, component) of each row."""
         self.sign()
         self.classify()
+        self.meet()
 
-        def pair(x: str, y: str) -> list[Column]:
-            return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-
-        stars = self.crowd.where("node != hub").select(*pair("node", "hub")).distinct()
-        links = checkpointed(self.measured(stars))
-        near = checkpointed(components(links.where(F.col("d") <= self.sure).select("a", "b")))
+        def pairs(rows: DataFrame) -> DataFrame:
+            return rows.where("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
-        balls = self.classes.select("key", F.posexplode(self.flips).alias("at", "flip"))
-        balls = balls.select(F.col("key").bitwiseXOR(F.col("flip")).alias("variant"), F.expr("shiftleft(1L, at)").alias("mask"))
-        groups = checkpointed(balls.groupBy("variant").agg(F.bit_or("mask").alias("mask")).where(F.bit_count("mask") > 1))
-        met = self.met(groups).join(self.state(near), "key").groupBy("variant")
-        met = met.agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("mixed").alias("mixed"), F.collect_list("hub").alias("hubs"))
-        met = met.where("mixed OR lo < hi").select(F.array_min("hubs").alias("hub"), F.explode("hubs").alias("node"))
-        links = links.union(checkpointed(self.measured(met.where("node != hub").select(*pair("node", "hub")).distinct())))
+        def sure(links: DataFrame) -> DataFrame:
+            return links.where(F.col("d") <= self.sure).select("a", "b")
 
-        joined = checkpointed(components(near.toDF("a", "b").union(links.where(F.col("d") <= self.sure).select("a", "b"))))
+        stars = checkpointed(self.measured(pairs(self.crowd)))
+        near = checkpointed(components(sure(stars)))
+        apart = self.across(pairs(self.met.where("near")), near)
+        links = stars.union(checkpointed(self.measured(apart)))
+        joined = checkpointed(components(near.toDF("a", "b").union(sure(links))))
         proven = self.proven(links, joined)
         comps = checkpointed(components(joined.toDF("a", "b").union(proven)))
-        more = self.leftovers(groups, comps)
+        more = self.leftovers(comps)
         if more is not None:
             comps = checkpointed(components(comps.toDF("a", "b").union(more)))
         return self.signed.select("id", "node").join(comps, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
 
 
-def near_duplicate_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, recall: float = 0.97, planned_rows: int | None = None, broadcast_docs: int = 200_000) -> DataFrame:
+def near_duplicate_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, recall: float = 0.97, planned_rows: int | None = None, small_bytes: int = 32 << 20) -> DataFrame:
     """(id, text_hash, component_id, component_hash) of each row: the group's first row by id, null last, then by the text's hash.
 
     Rows are known by id and text, so null and repeated ids don't mix texts. planned_rows: rows that the tables are planned for, where
     not the number of docs' rows."""
-    rows = checkpointed(_Search(docs, id_col, text_col, shingle, least, recall, planned_rows, broadcast_docs).run())
+    rows = checkpointed(_Search(docs, id_col, text_col, shingle, least, recall, planned_rows, small_bytes).run())
     first = rows.groupBy("component").agg(F.min("id").alias("c"))
     named = rows.join(first, "component")
     return named.select(F.col("id.id").alias(id_col), F.col("id.th").alias("text_hash"), F.col("c.id").alias("component_id"), F.col("c.th").alias("component_hash"))
@@ -365,10 +398,12 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     groups = checkpointed(groups.toDF("id", "th", "first", "first_th"))
     stays = F.expr("id <=> first AND th = first_th")
     gone = groups.where(~stays).select("id", "th").distinct()
-    again = checkpointed(groups.where(stays).groupBy("id", "th").count().where("count > 1").select("id", "th"))
-    same = own_id.eqNullSafe(F.col("id")) & (own_text == F.col("th"))
-    once = plain.join(gone.union(again), same, "left_anti")
+    again = groups.where(stays).groupBy("id", "th").count().where("count > 1").select("id", "th")
+    settled = gone.withColumn("gone", F.lit(True)).union(again.withColumn("gone", F.lit(False)))
+    settled = broadcast_if_small(checkpointed(settled), options.get("small_bytes", 32 << 20))
+    marked = plain.join(settled, own_id.eqNullSafe(F.col("id")) & (own_text == F.col("th")), "left")
+    once = marked.where("gone IS NULL").select(*plain.columns)
     columns = F.struct(*plain.columns)
     one = F.min_by(columns, F.xxhash64(F.to_json(columns))).alias("r")
-    repeated = plain.join(again, same, "left_semi").groupBy(own_id, own_text).agg(one).select("r.*")
+    repeated = marked.where("NOT gone").groupBy(own_id, own_text).agg(one).select("r.*")
     return once.union(repeated).toDF(*docs.columns)

@@ -88,7 +88,7 @@ def test_blocks_and_split_groups_change_nothing(spark, monkeypatch):
     want = _components(_sets(rows))
     monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(neardup, "BLOCK_BYTES", 8_000)
-    got = _found(spark, rows, broadcast_docs=0)
+    got = _found(spark, rows, small_bytes=0)
     assert all(want[got[i]] == want[i] for i in got)
     assert sum(got[i] == want[i] for i in got) >= 0.95 * len(got)
 
