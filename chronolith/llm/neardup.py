@@ -5,19 +5,21 @@ A single 64-bit fingerprint with a radius of 3 finds few texts whose sets of fiv
 which the same half-radius balls meet: two texts whose bits of a table differ in 2 places or fewer share a variant. The number of
 tables follows from the wanted recall at the wanted similarity, and the signature's width from the tables.
 
-Work is linear in the members of a hot group, and no pair that shares a variant goes unseen:
+Hot groups make no quadratic tables of pairs, and no pair that shares a variant goes unseen:
 
 1. Texts with the same set of shingles are one node; nodes with the same bits in a table are one class.
-2. Each member is compared with its class's hub, and what links is contracted to components.
+2. Each member is compared with its class's hub by all bits. What is close enough to be alike makes a family.
 3. Classes, not members, emit their variants. A variant that several classes share is a bit mask of the flips that lead to them, so a
-   variant's group is one row of two numbers however hot it is. Hubs of classes that aren't one component yet are compared.
-4. What is left are classes and pairs of classes with members of several components. Their members are dealt into blocks, large
-   components into blocks of their own, and pairs of blocks of different components are compared whole. A hot group that has become
-   one component has no such pair.
+   variant's group is one row of two numbers however hot it is. Hubs of classes that aren't of one family yet are compared, too.
+4. What is left are classes and pairs of classes with members of several families. Their members are compared by blocks of signatures, and
+   what is close joins families as stars.
+5. Inside a family, links that the bits prove are contracted to components. Families with several components left are dealt into
+   blocks, large components into blocks of their own, and pairs of blocks of different components are compared whole, by the sets.
 
 A link is a pair whose sets agree by `least`. It is proven by the sets themselves, but for pairs so close in all bits that a pair below
 `least` would come that close once in a million (`SURE` standard deviations). Pairs that are `HOPELESS` standard deviations farther
-than `least` (once in 30,000 at `least` itself), or differ in more than `FIRST_WORD` of their first 64 bits (as rare), aren't looked at.
+than `least` (once in 30,000 at `least` itself), or hubs that differ in more than `FIRST_WORD` of their first 64 bits (as rare), aren't
+looked at.
 
 Defined results: null and empty texts have no shingles and count as copies of each other; texts of fewer than five words have one shingle.
 Rows with a null id never become a group's representative while another id is there. Repeated rows get one row each. Extra columns are
@@ -79,7 +81,7 @@ def distance_limits(similarity: float, n_bits: int) -> tuple[int, int]:
 
 def table_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
     """(tables, bits) for n texts, so that a pair of this similarity shares a variant with the wanted probability."""
-    bits = min(max(math.ceil(math.log2(max(n, 2))) + 8, 16), 56)
+    bits = min(max(math.ceil(math.log2(max(n, 2))) + 8, 16), 48)
     p = differing_share(similarity)
     hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     return math.ceil(math.log(1 - recall) / math.log(1 - hit)), bits
@@ -109,33 +111,52 @@ def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return common >= least * (small + large - common)
 
 
-def block_merges(comps: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], split: int, sure: int, hopeless: int, least: float) -> list[tuple[int, int]]:
-    """Pairs of components that links join, as a forest: members before `split` against those from it on (0: all against all).
+class _Forest(dict):
+    """Which trees names are in."""
+
+    def find(self, c: int) -> int:
+        while self.setdefault(c, c) != c:
+            self[c] = self[self[c]]
+            c = self[c]
+        return c
+
+    def join(self, a: int, b: int) -> bool:
+        x, y = self.find(a), self.find(b)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
 
-    Pairs are tried from the closest on, and only while they are in different trees."""
-    n = len(comps)
+def _close(groups: np.ndarray, sigs: np.ndarray, split: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the rows of different groups that differ in `most` bits or fewer: those before `split` with those from it on
+    (0: all with all)."""
+    n = len(groups)
     d = np.zeros((n, n), np.int32)
     for word in sigs.T:
         d += np.bitwise_count(word[:, None] ^ word[None, :])
-    open_pairs = np.triu((d <= hopeless) & (comps[:, None] != comps[None, :]), 1)
+    found = np.triu((d <= most) & (groups[:, None] != groups[None, :]), 1)
     if split:
-        open_pairs[:split, :split] = open_pairs[split:, split:] = False
-    i, j = np.nonzero(open_pairs)
-    order = np.argsort(d[i, j], kind="stable")
-    root = {int(c): int(c) for c in comps}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
+        found[:split, :split] = found[split:, split:] = False
+    i, j = np.nonzero(found)
+    return i, j, d[i, j]
+
+
+def block_families(nodes: np.ndarray, families: np.ndarray, sigs: np.ndarray, split: int, most: int) -> list[tuple[int, int]]:
+    """Pairs of nodes that join the families of close rows, as a forest."""
+    forest = _Forest()
+    i, j, _ = _close(families, sigs, split, most)
+    return [(int(nodes[a]), int(nodes[b])) for a, b in zip(i.tolist(), j.tolist()) if forest.join(int(families[a]), int(families[b]))]
 
-    out = []
-    for a, b in zip(i[order].tolist(), j[order].tolist()):
-        x, y = find(int(comps[a])), find(int(comps[b]))
-        if x != y and (d[a, b] <= sure or similar(sets[a], sets[b], least)):
-            root[max(x, y)] = min(x, y)
-            out.append((max(x, y), min(x, y)))
+
+def block_merges(comps: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], split: int, sure: int, hopeless: int, least: float) -> list[tuple[int, int]]:
+    """Pairs of components that links join, as a forest. Pairs are tried from the closest on, and only between different trees."""
+    i, j, d = _close(comps, sigs, split, hopeless)
+    order = np.argsort(d, kind="stable")
+    forest, out = _Forest(), []
+    for a, b, x in zip(i[order].tolist(), j[order].tolist(), d[order].tolist()):
+        p, q = forest.find(int(comps[a])), forest.find(int(comps[b]))
+        if p != q and (x <= sure or similar(sets[a], sets[b], least)):
+            forest.join(p, q)
+            out.append((max(p, q), min(p, q)))
     return out
 
 
@@ -191,14 +212,29 @@ class _Search:
         self.members = members.select("key", "node")
         self.crowd = checkpointed(self.members.join(broadcast_if_small(several), "key"))
 
-    def meet(self) -> None:
-        """met: (k1, k2, hub, node, n, near) of classes that share a variant, node the other's hub, n members in all, near if the hubs
-        may be alike; of variants with more than four classes, the first with each other. wide: (variant, keys) of such variants.
-
-        Pairs of single members that aren't near are settled and left out."""
+    def small(self, df: DataFrame) -> DataFrame:
+        return broadcast_if_small(df, self.small_bytes)
+
+    def spread(self, families: DataFrame) -> DataFrame:
+        """(key, lo, hi): the smallest and largest family among the members of each class with several."""
+        family = F.coalesce("component", "node")
+        members = self.crowd.join(self.small(families), "node", "left").groupBy("key")
+        return checkpointed(members.agg(F.min(family).alias("lo"), F.max(family).alias("hi")))
+
+    def state(self, classes: DataFrame, families: DataFrame) -> DataFrame:
+        """classes with lo and hi: the smallest and largest family of each."""
+        own = classes.join(self.small(families.withColumnRenamed("node", "hub")), "hub", "left").join(self.small(self.spread(families)), "key", "left")
+        family = F.coalesce("component", "hub")
+        return own.withColumns({"lo": F.coalesce("lo", family), "hi": F.coalesce("hi", family)}).drop("component")
+
+    def meet(self, families: DataFrame) -> None:
+        """met: (k1, k2, hub, node, n, near) of classes that share a variant and aren't of one family: their hubs, members in all, and
+        whether the hubs may be alike. Pairs of single members that may not are settled and left out. Of variants with more than four
+        classes, the first meets the others, and wide holds them all: (variant, keys)."""
         balls = self.classes.select("key", F.posexplode(self.flips).alias("at", "flip"))
-        balls = balls.select(F.col("key").bitwiseXOR(F.col("flip")).alias("variant"), F.expr("shiftleft(1L, at)").alias("mask")).repartition("variant")
-        groups = checkpointed(balls.groupBy("variant").agg(F.bit_or("mask").alias("mask")).where(F.bit_count("mask") > 1))
+        balls = balls.select(F.expr("shiftleft(key ^ flip, 6) | at").alias("ball")).repartition(F.shiftright("ball", 6))  # one number a row
+        groups = balls.groupBy(F.shiftright("ball", 6).alias("variant")).agg(F.bit_or(F.expr("shiftleft(1L, cast(ball & 63 as int))")).alias("mask"))
+        groups = checkpointed(groups.where(F.bit_count("mask") > 1))
         # the flip of a mask's bit is half its value
         two = groups.where("bit_count(mask) = 2").selectExpr("variant ^ shiftright(mask & -mask, 1) AS k1", "variant ^ shiftright(mask ^ (mask & -mask), 1) AS k2")
         bit_set = F.filter(F.sequence(F.lit(0), F.lit(self.bits)), lambda i: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
@@ -207,18 +243,15 @@ class _Search:
         firsts = F.posexplode(F.expr("slice(keys, 1, if(size(keys) > 4, 1, size(keys)))")).alias("at", "k1")
         more_pairs = more.select("keys", firsts).select("k1", F.explode(F.expr("slice(keys, at + 2, size(keys))")).alias("k2"))
         pairs = two.union(more_pairs).select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct()
-        c1, c2 = (self.classes.toDF(f"k{k}", f"h{k}", f"w{k}", f"n{k}") for k in (1, 2))
-        met = pairs.join(c1, "k1").join(c2, "k2").withColumn("near", F.bit_count(F.col("w1").bitwiseXOR(F.col("w2"))) <= FIRST_WORD)
-        met = met.where("h1 != h2 AND near OR n1 + n2 > 2")
-        self.met = checkpointed(met.select("k1", "k2", F.col("h1").alias("hub"), F.col("h2").alias("node"), (F.col("n1") + F.col("n2")).alias("n"), "near"))
+        state = self.state(self.classes, families).select("key", "hub", "w0", "n", "lo", "hi")
+        c1, c2 = (state.toDF(f"k{k}", f"h{k}", f"w{k}", f"n{k}", f"lo{k}", f"hi{k}") for k in (1, 2))
+        near = F.bit_count(F.col("w1").bitwiseXOR(F.col("w2"))) <= FIRST_WORD
+        open_pair = (F.col("k2") == F.col("c2")) & F.expr("least(lo1, lo2) < greatest(hi1, hi2)") & (near | (F.col("n1") + F.col("n2") > 2))
+        met = pairs.join(c1, "k1").join(c2.withColumnRenamed("k2", "c2"), open_pair)
+        met = met.select("k1", "k2", F.col("h1").alias("hub"), F.col("h2").alias("node"), (F.col("n1") + F.col("n2")).alias("n"), near.alias("near"))
+        self.met = checkpointed(met)
         self.wide = checkpointed(more.where("size(keys) > 4"))
 
-    def spread(self, comps: DataFrame) -> DataFrame:
-        """(key, lo, hi): the smallest and largest component among the members of each class with several."""
-        of_node = F.coalesce("component", "node")
-        members = self.crowd.join(comps, "node", "left").groupBy("key")
-        return checkpointed(members.agg(F.min(of_node).alias("lo"), F.max(of_node).alias("hi")))
-
     def measured(self, pairs: DataFrame) -> DataFrame:
         """(a, b, d) of those pairs (a, b) of nodes that may be alike."""
         words = self.words
@@ -234,115 +267,89 @@ class _Search:
         both = near.select("a", "b").join(wide.toDF("a", "x"), "a").join(wide.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return both.mapInArrow(distance, "a long, b long, d long").where(F.col("d") <= self.hopeless)
 
-    @staticmethod
-    def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        """The pairs (a, b, ...) of nodes of different components."""
-        ends = pairs.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
-        return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
-
     def sets(self, asked: DataFrame) -> DataFrame:
         """(node, s) of the nodes asked for: their sorted shingles, from their texts."""
         shingle = self.shingle
-        wanted = checkpointed(self.signed.join(asked, "node").groupBy("node").agg(F.min("id.th").alias("th")))
-        known = broadcast_if_small(wanted, self.small_bytes)
-        texts = self.src.select(F.col("id.th").alias("th"), "_text").join(known, "th").select("node", "_text").dropDuplicates(["node"])
+        wanted = checkpointed(self.signed.join(self.small(asked), "node").groupBy("node").agg(F.min("id.th").alias("th")))
+        texts = self.src.select(F.col("id.th").alias("th"), "_text").join(self.small(wanted), "th").select("node", "_text").dropDuplicates(["node"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
                 s = [_shingles(x.as_py(), shingle).view(np.int64) for x in t.column(1)]
                 yield pa.RecordBatch.from_arrays([t.column(0), pa.array(s, pa.list_(pa.int64()))], ["node", "s"])
 
-        return checkpointed(texts.mapInArrow(cut, "node long, s array<long>"))
-
-    def proven(self, links: DataFrame, joined: DataFrame) -> DataFrame:
-        """(a, b) of the unsure links (a, b, d) whose sets agree, but for those that others make needless.
-
-        Each node's closest candidate comes first; after that only pairs that still join two components are looked at."""
-        unsure = checkpointed(self.across(links.where(F.col("d") > self.sure), joined))
-        if unsure.isEmpty():
-            return unsure.select("a", "b")
-        asked = unsure.select("a").union(unsure.select("b")).distinct().toDF("node")
-        sets = self.sets(asked)
+        return texts.mapInArrow(cut, "node long, s array<long>")
 
-        def agreeing(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-            common = F.size(F.array_intersect("x", "y"))
-            return both.where(common >= F.lit(self.least) * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-        ends = unsure.select("a", "b", "d").union(unsure.select("b", "a", "d"))
-        closest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b")
-        first = closest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        one = checkpointed(agreeing(first))
-        comps = checkpointed(components(joined.toDF("a", "b").union(one)))
-        rest = self.across(unsure.join(first, ["a", "b"], "left_anti"), comps)
-        return one.union(checkpointed(agreeing(rest)))
-
-    def leftovers(self, comps: DataFrame) -> DataFrame | None:
-        """(a, b): components that links inside unsettled classes and pairs of classes join; None if all is settled."""
-        spread = self.spread(comps)
-        of_class = broadcast_if_small(spread)
+    def leftovers(self, families: DataFrame) -> DataFrame | None:
+        """(a, b): nodes that join families inside classes and pairs of classes with members of several; None if there are none."""
+        spread = self.spread(families)
+        of_class, of_node = self.small(spread), self.small(families)
 
         def unsettled(pairs: DataFrame) -> DataFrame:
-            """Those pairs (k1, k2, hub, node) of classes whose members are of several components."""
-            ends = pairs.join(comps.toDF("hub", "c1"), "hub", "left").join(comps.toDF("node", "c2"), "node", "left")
+            """Those pairs (k1, k2, hub, node) of classes whose members are of several families."""
+            ends = pairs.join(of_node.toDF("hub", "c1"), "hub", "left").join(of_node.toDF("node", "c2"), "node", "left")
             for k, own in ((1, "hub"), (2, "node")):
                 ends = ends.join(of_class.toDF(f"k{k}", f"lo{k}", f"hi{k}"), f"k{k}", "left")
                 for side in ("lo", "hi"):
                     ends = ends.withColumn(f"{side}{k}", F.coalesce(f"{side}{k}", f"c{k}", own))
             return ends.where("least(lo1, lo2) < greatest(hi1, hi2)").select("k1", "k2")
 
-        turns = spread.where("lo < hi").select(F.col("key").alias("k1"), F.col("key").alias("k2"))
-        turns = turns.join(self.classes.where("n > 2").select(F.col("key").alias("k1")), "k1", "left_semi")
-        turns = turns.union(unsettled(self.met.where("n > 2")))
+        split = spread.where("lo < hi").join(self.classes.where("n > 2").select("key"), "key", "left_semi")
+        turns = split.select(F.col("key").alias("k1"), F.col("key").alias("k2")).union(unsettled(self.met.where("n > 2")))
         if not self.wide.isEmpty():
-            each = self.wide.select("variant", F.explode("keys").alias("key")).join(self.classes.select("key", "hub"), "key")
-            each = each.join(comps.withColumnRenamed("node", "hub"), "hub", "left").join(of_class, "key", "left")
-            own = F.coalesce("component", "hub")
-            groups = checkpointed(each.select("variant", "key", "hub", F.coalesce("lo", own).alias("lo"), F.coalesce("hi", own).alias("hi")))
-            split = groups.groupBy("variant").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("key", "hub"))).alias("m"))
-            split = split.where("lo < hi").select("m", F.posexplode("m").alias("at", "x"))
-            split = split.select("x", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("y"))
-            pairs = split.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2"), F.col("x.hub").alias("hub"), F.col("y.hub").alias("node"))
+            each = self.wide.select("variant", F.explode("keys").alias("key")).join(self.classes, "key")
+            each = self.state(each, families)
+            groups = each.groupBy("variant").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("key", "hub"))).alias("m"))
+            groups = groups.where("lo < hi").select("m", F.posexplode("m").alias("at", "x"))
+            groups = groups.select("x", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("y"))
+            pairs = groups.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2"), F.col("x.hub").alias("hub"), F.col("y.hub").alias("node"))
             turns = turns.union(unsettled(pairs.distinct()))
         turns = checkpointed(turns.distinct())
         if turns.isEmpty():
             return None
         keys = checkpointed(turns.select("k1").union(turns.select("k2")).distinct().toDF("key"))
-        inside = self.members.join(broadcast_if_small(keys), "key").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        inside = checkpointed(inside)
-        sets = self.sets(inside.select("node").distinct())
-        return self.compared(turns, inside, sets)
-
-    def compared(self, turns: DataFrame, inside: DataFrame, sets: DataFrame) -> DataFrame:
-        """Members of the classes, dealt into blocks; pairs of blocks that may hold a link across components are compared."""
-        sized = inside.join(sets.select("node", (8 * F.size("s") + 64).alias("bytes")), "node")
-        parts = sized.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        inside = self.members.join(self.small(keys), "key").join(of_node, "node", "left")
+        rows = inside.select("key", "node", F.coalesce("component", "node").alias("group"), F.lit(64).alias("bytes"))
+        return self.compared(turns, checkpointed(rows), None)
+
+    def compared(self, turns: DataFrame, inside: DataFrame, sets: DataFrame | None) -> DataFrame:
+        """(a, b) of what joins groups among (key, node, group, bytes), for each turn (k1, k2) of keys: nodes that are close, or, with
+        sets (node, s), groups with a link that the sets prove.
+
+        Members are dealt into blocks, those of a large group into blocks of its own, which aren't compared with one another."""
+        parts = inside.groupBy("key", "group").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
         large = (F.col("n") >= BLOCK // 2) | (F.col("bytes") >= BLOCK_BYTES // 2)
-        parts = parts.withColumn("own", F.when(large, F.col("comp")))
+        parts = parts.withColumn("own", F.when(large, F.col("group")))
         dealt = parts.groupBy("key", "own").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
         blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES))
         dealt = dealt.select(F.col("key").alias("k"), F.col("own").alias("o"), blocks.alias("blocks"))
-        placed = parts.select("key", "comp", "own").join(dealt, F.expr("key = k AND own <=> o")).select("key", "comp", "own", "blocks")
+        placed = parts.select("key", "group", "own").join(dealt, F.expr("key = k AND own <=> o")).select("key", "group", "own", "blocks")
         block = F.xxhash64("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        rows = inside.join(placed, ["key", "comp"]).select("key", "own", block.alias("block"), "node", "comp")
-        rows = rows.join(self.nodes.select("node", "sig"), "node").join(sets, "node")
-        whole = checkpointed(rows.groupBy("key", "own", "block").agg(F.collect_list(F.struct("comp", "sig", "s")).alias("m")))
+        rows = inside.join(placed, ["key", "group"]).select("key", "own", block.alias("block"), "node", "group")
+        rows = rows.join(self.nodes.select("node", "sig"), "node")
+        rows = rows.join(sets, "node") if sets is not None else rows.withColumn("s", F.lit(None).cast("array<long>"))
+        whole = checkpointed(rows.groupBy("key", "own", "block").agg(F.collect_list(F.struct("node", "group", "sig", "s")).alias("m")))
         one, two = (whole.withColumnsRenamed({"key": f"k{k}", "own": f"o{k}", "block": f"b{k}", "m": f"m{k}"}) for k in (1, 2))
-        pairs = turns.join(one.drop("m1"), "k1").join(two.drop("m2"), "k2").where("(k1 < k2 OR b1 <= b2) AND (o1 IS NULL OR o2 IS NULL OR o1 != o2)")
-        pairs = pairs.join(one.drop("o1"), ["k1", "b1"]).join(two.drop("o2"), ["k2", "b2"])
-        pairs = pairs.select(((F.col("k1") == F.col("k2")) & (F.col("b1") == F.col("b2"))).alias("same"), "m1", "m2")
-        sure, hopeless, least, words = self.sure, self.hopeless, self.least, self.words
+        own = whole.where("own IS NULL").join(self.small(checkpointed(turns.where("k1 = k2").select(F.col("k1").alias("key")))), "key", "left_semi")
+        names = turns.join(one.drop("m1"), "k1").join(two.drop("m2"), "k2")
+        names = names.where("(k1 < k2 OR b1 < b2) AND (o1 IS NULL OR o2 IS NULL OR o1 != o2)")
+        pairs = names.join(one.drop("o1"), ["k1", "b1"]).join(two.drop("o2"), ["k2", "b2"]).select("m1", "m2")
+        pairs = pairs.union(own.where("size(m) > 1").select(F.col("m").alias("m1"), F.lit(None).cast(whole.schema["m"].dataType).alias("m2")))
+        sure, hopeless, least, words, by_sets = self.sure, self.hopeless, self.least, self.words, sets is not None
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
                 for k in range(t.num_rows):
-                    sides = [t.column(1)[k].values] if t.column(0)[k].as_py() else [t.column(i)[k].values for i in (1, 2)]
-                    comps = np.concatenate([m.field("comp").to_numpy() for m in sides])
+                    sides = [c[k].values for c in t.columns if c[k].is_valid]
+                    nodes, groups = (np.concatenate([m.field(c).to_numpy() for m in sides]) for c in ("node", "group"))
                     sigs = np.concatenate([np.frombuffer(b"".join(m.field("sig").to_pylist()), "<u8").reshape(-1, words) for m in sides])
-                    s = [x.values.to_numpy() for m in sides for x in m.field("s")]
-                    s = [np.sort(x.view(np.uint64)) for x in s]
-                    merges = block_merges(comps, sigs, s, len(sides[0]) if len(sides) == 2 else 0, sure, hopeless, least)
-                    yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in merges], pa.int64()) for i in (0, 1)], ["a", "b"])
+                    split = len(sides[0]) if len(sides) == 2 else 0
+                    if by_sets:
+                        s = [np.sort(x.values.to_numpy().view(np.uint64)) for m in sides for x in m.field("s")]
+                        found = block_merges(groups, sigs, s, split, sure, hopeless, least)
+                    else:
+                        found = block_families(nodes, groups, sigs, split, hopeless)
+                    yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         return checkpointed(pairs.mapInArrow(compare, "a long, b long").distinct())
 
@@ -350,24 +357,34 @@ class _Search:
         """(id, component) of each row."""
         self.sign()
         self.classify()
-        self.meet()
 
         def pairs(rows: DataFrame) -> DataFrame:
             return rows.where("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
-        def sure(links: DataFrame) -> DataFrame:
-            return links.where(F.col("d") <= self.sure).select("a", "b")
+        def joined(*edges: DataFrame) -> DataFrame:
+            whole = edges[0].toDF("a", "b")
+            for e in edges[1:]:
+                whole = whole.union(e.toDF("a", "b"))
+            return checkpointed(components(whole))
 
         stars = checkpointed(self.measured(pairs(self.crowd)))
-        near = checkpointed(components(sure(stars)))
-        apart = self.across(pairs(self.met.where("near")), near)
-        links = stars.union(checkpointed(self.measured(apart)))
-        joined = checkpointed(components(near.toDF("a", "b").union(sure(links))))
-        proven = self.proven(links, joined)
-        comps = checkpointed(components(joined.toDF("a", "b").union(proven)))
-        more = self.leftovers(comps)
+        families = joined(stars.select("a", "b"))
+        self.meet(families)
+        links = stars.union(checkpointed(self.measured(pairs(self.met.where("near")))))
+        families = joined(families, links.select("a", "b"))
+        more = self.leftovers(families)
         if more is not None:
-            comps = checkpointed(components(comps.toDF("a", "b").union(more)))
+            families = joined(families, more)
+
+        comps = joined(links.where(F.col("d") <= self.sure).select("a", "b"))
+        members = families.withColumnRenamed("component", "key").join(self.small(comps), "node", "left").withColumn("group", F.coalesce("component", "node"))
+        several = members.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
+        members = checkpointed(members.join(several, "key").select("key", "node", "group"))
+        if not members.isEmpty():
+            sets = checkpointed(self.sets(members.select("node")))
+            inside = checkpointed(members.join(sets.select("node", (8 * F.size("s") + 64).alias("bytes")), "node").select("key", "node", "group", "bytes"))
+            turns = inside.select(F.col("key").alias("k1"), F.col("key").alias("k2")).distinct()
+            comps = joined(comps, self.compared(checkpointed(turns), inside, sets))
         return self.signed.select("id", "node").join(comps, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
 
 
