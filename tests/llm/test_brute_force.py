@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import decontaminate, embeddings, graph, langid, licences, quality, simhash, substring, toxicity
+from chronolith.llm import decontaminate, embeddings, graph, langid, licences, quality, simhash, toxicity
 from chronolith.llm.common import checkpointed, pieces
 
 SF = "/root/testdata/sf0.01"
@@ -61,39 +61,6 @@ def test_simhash_pieces_change_nothing(monkeypatch):
     assert simhash.fingerprint(b"") == simhash.fingerprint(None) == 0
 
 
-@pytest.mark.parametrize("run_bytes", [20_000, 200_000, 1 << 30])
-def test_substrings_by_any_number_of_runs(spark, run_bytes):
-    rng = random.Random(3)
-    shared = " ".join(f"s{k}" for k in range(60))
-    docs = [(k, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(300))) + (f" {shared} " if k % 3 == 0 else "") + (f"tail{k} " + shared[:40])) for k in range(120)]
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), run_bytes=run_bytes, shard_windows=500).collect()}
-    first, want = {}, {}
-    for i, t in docs:
-        w = t.split()
-        for k in range(len(w) - 12):
-            first.setdefault(tuple(w[k : k + 13]), i)
-    for i, t in docs:
-        w = t.split()
-        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)}
-        want[i] = (len(w), len(gone))
-    assert got == want
-
-
-def test_index_levels_and_packing():
-    rng = np.random.default_rng(1)
-    index, held = substring.Index(), {}
-    for _ in range(12):
-        h = np.unique(rng.integers(0, 4000, 300, dtype=np.uint64) << np.uint64(40))
-        c = (h >> np.uint64(41)).astype(np.uint16)
-        assert [a.tolist() for a in substring.unpack(substring.pack(h, c))] == [h.tolist(), c.tolist()]
-        known = index.known(h, c)
-        assert known.tolist() == [x in held for x in h.tolist()]
-        index.add(h[~known], c[~known])
-        held |= dict.fromkeys(h.tolist())
-    sizes = [len(h) for h, _ in index.levels]
-    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-
-
 @pytest.mark.parametrize("n", range(1, 16))
 def test_masks_hit_every_pattern_that_is_let_pass(n):
     masks = decontaminate.masks_for(min(n, 13))
