@@ -8,13 +8,14 @@ tables follows from the wanted recall at the wanted similarity, and the signatur
 Hot groups make no quadratic tables of pairs, and no pair that shares a variant goes unseen:
 
 1. Texts with the same set of shingles are one node; nodes with the same bits in a table are one class.
-2. Each member is compared with its class's hub by all bits. What is close enough to be alike makes a family.
+2. Each member is compared with its class's hub by all bits. Those that share far more bits than strangers do, be it by a template, make
+   a region.
 3. Classes, not members, emit their variants. A variant that several classes share is a bit mask of the flips that lead to them, so a
-   variant's group is one row of two numbers however hot it is. Hubs of classes that aren't of one family yet are compared, too.
-4. What is left are classes and pairs of classes with members of several families. Their members are compared by blocks of signatures, and
-   what is close joins families as stars.
-5. Inside a family, links that the bits prove are contracted to components. Families with several components left are dealt into
-   blocks, large components into blocks of their own, and pairs of blocks of different components are compared whole, by the sets.
+   variant's group is one row of two numbers however hot it is. Hubs of classes that aren't of one region yet are compared, too.
+4. The members of a region are compared whole, by blocks of signatures, but for those that links which the bits prove have made one
+   component: large components take blocks of their own. So are the members of classes and pairs of classes that aren't of one region.
+   What comes close returns as trees, at most one edge for each member of a block.
+5. Trees with several components left are dealt into blocks again, and these are compared by the sets.
 
 A link is a pair whose sets agree by `least`. It is proven by the sets themselves, but for pairs so close in all bits that a pair below
 `least` would come that close once in a million (`SURE` standard deviations). Pairs that are `HOPELESS` standard deviations farther
@@ -42,6 +43,10 @@ from .graph import components
 from .simhash import shingle_hashes
 
 SURE, HOPELESS, FIRST_WORD = 4.5, 4.0, 22
+#: Hubs and members that differ in fewer bits than this share make a region; strangers differ in half of them.
+REGION = 0.33
+#: Bits of the first word that may differ in it.
+REGION_WORD = 26
 #: Members and bytes of a block, about.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
 
@@ -140,11 +145,11 @@ def _close(groups: np.ndarray, sigs: np.ndarray, split: int, most: int) -> tuple
     return i, j, d[i, j]
 
 
-def block_families(nodes: np.ndarray, families: np.ndarray, sigs: np.ndarray, split: int, most: int) -> list[tuple[int, int]]:
-    """Pairs of nodes that join the families of close rows, as a forest."""
+def block_trees(nodes: np.ndarray, groups: np.ndarray, sigs: np.ndarray, split: int, most: int) -> list[tuple[int, int]]:
+    """Pairs of nodes that are close and of different groups, as a forest over nodes."""
     forest = _Forest()
-    i, j, _ = _close(families, sigs, split, most)
-    return [(int(nodes[a]), int(nodes[b])) for a, b in zip(i.tolist(), j.tolist()) if forest.join(int(families[a]), int(families[b]))]
+    i, j, _ = _close(groups, sigs, split, most)
+    return [(a, b) for a, b in zip(nodes[i].tolist(), nodes[j].tolist()) if forest.join(a, b)]
 
 
 def block_merges(comps: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], split: int, sure: int, hopeless: int, least: float) -> list[tuple[int, int]]:
@@ -171,6 +176,7 @@ class _Search:
         self.tables, self.bits = table_plan(planned_rows or self.src.count(), least, recall)
         self.words = signature_words(self.tables, self.bits)
         self.sure, self.hopeless = distance_limits(least, 64 * self.words)
+        self.loose = max(self.hopeless, math.floor(REGION * 64 * self.words))
         flips = [0] + [1 << b for b in range(self.bits)]
         self.flips = F.array(*(F.lit(f).cast("long") for f in flips))
 
@@ -196,21 +202,22 @@ class _Search:
         schema = self.src.select("id").schema.add("node", "long").add("sig", "binary")
         self.signed = checkpointed(self.src.mapInArrow(sign, schema))
         found = checkpointed(self.signed.select("node", "sig").dropDuplicates(["node"]))
-        self.n_nodes = found.count()
-        tasks = self.n_nodes // 10_000 + 1
+        self.tasks = found.count() // 10_000 + 1  # all that follows is some rows for each node, or a table's share of them
         unpacked = found.mapInArrow(unpack, "node long, w0 long, sig binary, keys array<long>")
-        self.nodes = checkpointed(unpacked.repartition(tasks, "node"))
+        self.nodes = self.kept(unpacked.repartition(self.tasks, "node"))
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        return checkpointed(df.coalesce(self.tasks))
 
     def classify(self) -> None:
         """classes: (key, hub, w0, n), w0 that of the hub; crowd: (key, hub, node) of the members of classes with several."""
         members = self.nodes.select("node", "w0", F.explode("keys").alias("key"))
-        tasks = self.n_nodes // 5_000 + 1
         salted = F.col("node").bitwiseXOR(F.xxhash64("key"))  # another smallest member in each table
-        classes = members.repartition(tasks, "key").groupBy("key").agg(F.min(salted).alias("hub"), F.min_by("w0", salted).alias("w0"), F.count("*").alias("n"))
-        self.classes = checkpointed(classes.select("key", F.col("hub").bitwiseXOR(F.xxhash64("key")).alias("hub"), "w0", "n"))
-        several = checkpointed(self.classes.where("n > 1").select("key", "hub"))
+        classes = members.repartition(self.tasks, "key").groupBy("key").agg(F.min(salted).alias("hub"), F.min_by("w0", salted).alias("w0"), F.count("*").alias("n"))
+        self.classes = self.kept(classes.select("key", F.col("hub").bitwiseXOR(F.xxhash64("key")).alias("hub"), "w0", "n"))
+        several = self.kept(self.classes.where("n > 1").select("key", "hub"))
         self.members = members.select("key", "node")
-        self.crowd = checkpointed(self.members.join(broadcast_if_small(several), "key"))
+        self.crowd = self.kept(self.members.join(self.small(several), "key"))
 
     def small(self, df: DataFrame) -> DataFrame:
         return broadcast_if_small(df, self.small_bytes)
@@ -219,7 +226,7 @@ class _Search:
         """(key, lo, hi): the smallest and largest family among the members of each class with several."""
         family = F.coalesce("component", "node")
         members = self.crowd.join(self.small(families), "node", "left").groupBy("key")
-        return checkpointed(members.agg(F.min(family).alias("lo"), F.max(family).alias("hi")))
+        return self.kept(members.agg(F.min(family).alias("lo"), F.max(family).alias("hi")))
 
     def state(self, classes: DataFrame, families: DataFrame) -> DataFrame:
         """classes with lo and hi: the smallest and largest family of each."""
@@ -234,7 +241,7 @@ class _Search:
         balls = self.classes.select("key", F.posexplode(self.flips).alias("at", "flip"))
         balls = balls.select(F.expr("shiftleft(key ^ flip, 6) | at").alias("ball")).repartition(F.shiftright("ball", 6))  # one number a row
         groups = balls.groupBy(F.shiftright("ball", 6).alias("variant")).agg(F.bit_or(F.expr("shiftleft(1L, cast(ball & 63 as int))")).alias("mask"))
-        groups = checkpointed(groups.where(F.bit_count("mask") > 1))
+        groups = self.kept(groups.where(F.bit_count("mask") > 1))
         # the flip of a mask's bit is half its value
         two = groups.where("bit_count(mask) = 2").selectExpr("variant ^ shiftright(mask & -mask, 1) AS k1", "variant ^ shiftright(mask ^ (mask & -mask), 1) AS k2")
         bit_set = F.filter(F.sequence(F.lit(0), F.lit(self.bits)), lambda i: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
@@ -249,11 +256,11 @@ class _Search:
         open_pair = (F.col("k2") == F.col("c2")) & F.expr("least(lo1, lo2) < greatest(hi1, hi2)") & (near | (F.col("n1") + F.col("n2") > 2))
         met = pairs.join(c1, "k1").join(c2.withColumnRenamed("k2", "c2"), open_pair)
         met = met.select("k1", "k2", F.col("h1").alias("hub"), F.col("h2").alias("node"), (F.col("n1") + F.col("n2")).alias("n"), near.alias("near"))
-        self.met = checkpointed(met)
-        self.wide = checkpointed(more.where("size(keys) > 4"))
+        self.met = self.kept(met)
+        self.wide = self.kept(more.where("size(keys) > 4"))
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, d) of those pairs (a, b) of nodes that may be alike."""
+        """(a, b, d) of those pairs (a, b) of nodes that are of one region."""
         words = self.words
 
         def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,14 +270,15 @@ class _Search:
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(d)], ["a", "b", "d"])
 
         narrow, wide = self.nodes.select("node", "w0"), self.nodes.select("node", "sig")
-        near = pairs.join(narrow.toDF("a", "x"), "a").join(narrow.toDF("b", "y"), "b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FIRST_WORD)
+        far = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) > REGION_WORD
+        near = pairs.join(narrow.toDF("a", "x"), "a").join(narrow.toDF("b", "y"), "b").where(~far)
         both = near.select("a", "b").join(wide.toDF("a", "x"), "a").join(wide.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(distance, "a long, b long, d long").where(F.col("d") <= self.hopeless)
+        return self.kept(both.mapInArrow(distance, "a long, b long, d long").where(F.col("d") <= self.loose))
 
     def sets(self, asked: DataFrame) -> DataFrame:
         """(node, s) of the nodes asked for: their sorted shingles, from their texts."""
         shingle = self.shingle
-        wanted = checkpointed(self.signed.join(self.small(asked), "node").groupBy("node").agg(F.min("id.th").alias("th")))
+        wanted = self.kept(self.signed.join(self.small(asked), "node").groupBy("node").agg(F.min("id.th").alias("th")))
         texts = self.src.select(F.col("id.th").alias("th"), "_text").join(self.small(wanted), "th").select("node", "_text").dropDuplicates(["node"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +289,7 @@ class _Search:
         return texts.mapInArrow(cut, "node long, s array<long>")
 
     def leftovers(self, families: DataFrame) -> DataFrame | None:
-        """(a, b): nodes that join families inside classes and pairs of classes with members of several; None if there are none."""
+        """(a, b): close nodes of different regions, inside classes and pairs of classes that aren't of one; None if all are."""
         spread = self.spread(families)
         of_class, of_node = self.small(spread), self.small(families)
 
@@ -304,17 +312,17 @@ class _Search:
             groups = groups.select("x", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("y"))
             pairs = groups.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2"), F.col("x.hub").alias("hub"), F.col("y.hub").alias("node"))
             turns = turns.union(unsettled(pairs.distinct()))
-        turns = checkpointed(turns.distinct())
+        turns = self.kept(turns.distinct())
         if turns.isEmpty():
             return None
-        keys = checkpointed(turns.select("k1").union(turns.select("k2")).distinct().toDF("key"))
+        keys = self.kept(turns.select("k1").union(turns.select("k2")).distinct().toDF("key"))
         inside = self.members.join(self.small(keys), "key").join(of_node, "node", "left")
         rows = inside.select("key", "node", F.coalesce("component", "node").alias("group"), F.lit(64).alias("bytes"))
-        return self.compared(turns, checkpointed(rows), None)
+        return self.compared(turns, self.kept(rows), None)
 
     def compared(self, turns: DataFrame, inside: DataFrame, sets: DataFrame | None) -> DataFrame:
-        """(a, b) of what joins groups among (key, node, group, bytes), for each turn (k1, k2) of keys: nodes that are close, or, with
-        sets (node, s), groups with a link that the sets prove.
+        """(a, b) of what joins groups among (key, node, group, bytes), for each turn (k1, k2) of keys: close nodes of different groups,
+        or, with sets (node, s), groups with a link that the sets prove.
 
         Members are dealt into blocks, those of a large group into blocks of its own, which aren't compared with one another."""
         parts = inside.groupBy("key", "group").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
@@ -328,9 +336,9 @@ class _Search:
         rows = inside.join(placed, ["key", "group"]).select("key", "own", block.alias("block"), "node", "group")
         rows = rows.join(self.nodes.select("node", "sig"), "node")
         rows = rows.join(sets, "node") if sets is not None else rows.withColumn("s", F.lit(None).cast("array<long>"))
-        whole = checkpointed(rows.groupBy("key", "own", "block").agg(F.collect_list(F.struct("node", "group", "sig", "s")).alias("m")))
+        whole = self.kept(rows.groupBy("key", "own", "block").agg(F.collect_list(F.struct("node", "group", "sig", "s")).alias("m")))
         one, two = (whole.withColumnsRenamed({"key": f"k{k}", "own": f"o{k}", "block": f"b{k}", "m": f"m{k}"}) for k in (1, 2))
-        own = whole.where("own IS NULL").join(self.small(checkpointed(turns.where("k1 = k2").select(F.col("k1").alias("key")))), "key", "left_semi")
+        own = whole.where("own IS NULL").join(self.small(self.kept(turns.where("k1 = k2").select(F.col("k1").alias("key")))), "key", "left_semi")
         names = turns.join(one.drop("m1"), "k1").join(two.drop("m2"), "k2")
         names = names.where("(k1 < k2 OR b1 < b2) AND (o1 IS NULL OR o2 IS NULL OR o1 != o2)")
         pairs = names.join(one.drop("o1"), ["k1", "b1"]).join(two.drop("o2"), ["k2", "b2"]).select("m1", "m2")
@@ -348,10 +356,10 @@ class _Search:
                         s = [np.sort(x.values.to_numpy().view(np.uint64)) for m in sides for x in m.field("s")]
                         found = block_merges(groups, sigs, s, split, sure, hopeless, least)
                     else:
-                        found = block_families(nodes, groups, sigs, split, hopeless)
+                        found = block_trees(nodes, groups, sigs, split, hopeless)
                     yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        return checkpointed(pairs.mapInArrow(compare, "a long, b long").distinct())
+        return self.kept(pairs.mapInArrow(compare, "a long, b long").distinct())
 
     def run(self) -> DataFrame:
         """(id, component) of each row."""
@@ -365,26 +373,35 @@ class _Search:
             whole = edges[0].toDF("a", "b")
             for e in edges[1:]:
                 whole = whole.union(e.toDF("a", "b"))
-            return checkpointed(components(whole))
-
-        stars = checkpointed(self.measured(pairs(self.crowd)))
-        families = joined(stars.select("a", "b"))
-        self.meet(families)
-        links = stars.union(checkpointed(self.measured(pairs(self.met.where("near")))))
-        families = joined(families, links.select("a", "b"))
-        more = self.leftovers(families)
-        if more is not None:
-            families = joined(families, more)
-
+            return self.kept(components(whole))
+
+        def grouped(keys: DataFrame, comps: DataFrame) -> DataFrame | None:
+            """(key, node, group) of the nodes of keys (node, component) with members of several components; None if there are none."""
+            group = F.coalesce("component", "node").alias("group")
+            members = keys.toDF("node", "key").join(self.small(comps), "node", "left").select("key", "node", group)
+            several = members.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
+            members = self.kept(members.join(several, "key"))
+            return None if members.isEmpty() else members
+
+        def inside(members: DataFrame) -> DataFrame:
+            return self.kept(members.select(F.col("key").alias("k1"), F.col("key").alias("k2")).distinct())
+
+        stars = self.measured(pairs(self.crowd))
+        regions = joined(stars.select("a", "b"))
+        self.meet(regions)
+        links = stars.union(self.measured(pairs(self.met.where("near"))))
+        regions = joined(regions, links.select("a", "b"))
         comps = joined(links.where(F.col("d") <= self.sure).select("a", "b"))
-        members = families.withColumnRenamed("component", "key").join(self.small(comps), "node", "left").withColumn("group", F.coalesce("component", "node"))
-        several = members.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-        members = checkpointed(members.join(several, "key").select("key", "node", "group"))
-        if not members.isEmpty():
+
+        trees = [e for e in [self.leftovers(regions)] if e is not None]
+        members = grouped(regions, comps)
+        if members is not None:
+            trees.append(self.compared(inside(members), self.kept(members.withColumn("bytes", F.lit(64))), None))
+        members = grouped(joined(*trees), comps) if trees else None
+        if members is not None:
             sets = checkpointed(self.sets(members.select("node")))
-            inside = checkpointed(members.join(sets.select("node", (8 * F.size("s") + 64).alias("bytes")), "node").select("key", "node", "group", "bytes"))
-            turns = inside.select(F.col("key").alias("k1"), F.col("key").alias("k2")).distinct()
-            comps = joined(comps, self.compared(checkpointed(turns), inside, sets))
+            sized = members.join(sets.select("node", (8 * F.size("s") + 64).alias("bytes")), "node").select("key", "node", "group", "bytes")
+            comps = joined(comps, self.compared(inside(members), self.kept(sized), sets))
         return self.signed.select("id", "node").join(comps, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
 
 

@@ -122,7 +122,7 @@ def test_block_merges_join_what_all_pairs_join():
     assert neardup.block_merges(names * 0, sigs, sets, 0, sure, hopeless, 0.8) == []
     d = np.bitwise_count(sigs[:, None] ^ sigs[None]).sum(axis=2)
     close = [(i, j) for i, j in itertools.combinations(range(120), 2) if d[i, j] <= 60]
-    stars = [neardup.block_families(names[a:b], names[a:b], sigs[a:b], s, 60) for a, b, s in ((0, 50, 0), (50, 120, 0), (0, 120, 50))]
+    stars = [neardup.block_trees(names[a:b], names[a:b], sigs[a:b], s, 60) for a, b, s in ((0, 50, 0), (50, 120, 0), (0, 120, 50))]
     assert joined(x for p in stars for x in p) == joined(close) and len(stars[0]) < 50
 
 
