@@ -11,9 +11,11 @@ from .common import checkpointed
 EDGES_A_TASK = 100_000
 
 
-def _size(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
-    return row["n"], row["h"] or 0
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (a, b) are stars: each a has one b, and no b is an a. As a > b, each star's centre is its smallest node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return ends.where("out > 1 OR (out = 1 AND in = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,13 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Node ids are longs, null ends and loops are ignored, and edges may be repeated and in either direction. The edges
     end as stars around each component's smallest node; every round is one checkpointed table of edges, so nothing
-    but two figures a round reaches the driver. A hub's rows are aggregated before the shuffle and joined with one
+    but one answer a round reaches the driver. A hub's rows are aggregated before the shuffle and joined with one
     row, which Spark may split. The tasks of a round follow the number of edges."""
     e = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
-    before = _size(e)
-    tasks = before[0] // EDGES_A_TASK + 1
+    tasks = e.count() // EDGES_A_TASK + 1
     e = e.coalesce(tasks)
-    while before[0]:
+    while not _settled(e):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -35,10 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         star = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.join(down, "a").select(F.explode(star).alias("s")).select("s.*").where("a != b")
-        e2 = checkpointed(small.coalesce(tasks).distinct().coalesce(tasks))
-        after = _size(e2)
-        e = e2
-        if after == before:
-            break
-        before = after
+        e = checkpointed(small.coalesce(tasks).distinct().coalesce(tasks))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct().toDF("node", "component"))

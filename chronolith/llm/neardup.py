@@ -225,12 +225,12 @@ class _Search:
     def spread(self, families: DataFrame) -> DataFrame:
         """(key, lo, hi): the smallest and largest family among the members of each class with several."""
         family = F.coalesce("component", "node")
-        members = self.crowd.join(self.small(families), "node", "left").groupBy("key")
+        members = self.crowd.join(families, "node", "left").groupBy("key")
         return self.kept(members.agg(F.min(family).alias("lo"), F.max(family).alias("hi")))
 
     def state(self, classes: DataFrame, families: DataFrame) -> DataFrame:
         """classes with lo and hi: the smallest and largest family of each."""
-        own = classes.join(self.small(families.withColumnRenamed("node", "hub")), "hub", "left").join(self.small(self.spread(families)), "key", "left")
+        own = classes.join(families.withColumnRenamed("node", "hub"), "hub", "left").join(self.small(self.spread(families)), "key", "left")
         family = F.coalesce("component", "hub")
         return own.withColumns({"lo": F.coalesce("lo", family), "hi": F.coalesce("hi", family)}).drop("component")
 
@@ -278,7 +278,7 @@ class _Search:
     def sets(self, asked: DataFrame) -> DataFrame:
         """(node, s) of the nodes asked for: their sorted shingles, from their texts."""
         shingle = self.shingle
-        wanted = self.kept(self.signed.join(self.small(asked), "node").groupBy("node").agg(F.min("id.th").alias("th")))
+        wanted = self.kept(self.signed.join(asked, "node").groupBy("node").agg(F.min("id.th").alias("th")))
         texts = self.src.select(F.col("id.th").alias("th"), "_text").join(self.small(wanted), "th").select("node", "_text").dropDuplicates(["node"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ class _Search:
     def leftovers(self, families: DataFrame) -> DataFrame | None:
         """(a, b): close nodes of different regions, inside classes and pairs of classes that aren't of one; None if all are."""
         spread = self.spread(families)
-        of_class, of_node = self.small(spread), self.small(families)
+        of_class, of_node = spread, families
 
         def unsettled(pairs: DataFrame) -> DataFrame:
             """Those pairs (k1, k2, hub, node) of classes whose members are of several families."""
@@ -338,7 +338,7 @@ class _Search:
         rows = rows.join(sets, "node") if sets is not None else rows.withColumn("s", F.lit(None).cast("array<long>"))
         whole = self.kept(rows.groupBy("key", "own", "block").agg(F.collect_list(F.struct("node", "group", "sig", "s")).alias("m")))
         one, two = (whole.withColumnsRenamed({"key": f"k{k}", "own": f"o{k}", "block": f"b{k}", "m": f"m{k}"}) for k in (1, 2))
-        own = whole.where("own IS NULL").join(self.small(self.kept(turns.where("k1 = k2").select(F.col("k1").alias("key")))), "key", "left_semi")
+        own = whole.where("own IS NULL").join(turns.where("k1 = k2").select(F.col("k1").alias("key")), "key", "left_semi")
         names = turns.join(one.drop("m1"), "k1").join(two.drop("m2"), "k2")
         names = names.where("(k1 < k2 OR b1 < b2) AND (o1 IS NULL OR o2 IS NULL OR o1 != o2)")
         pairs = names.join(one.drop("o1"), ["k1", "b1"]).join(two.drop("o2"), ["k2", "b2"]).select("m1", "m2")
@@ -373,12 +373,12 @@ class _Search:
             whole = edges[0].toDF("a", "b")
             for e in edges[1:]:
                 whole = whole.union(e.toDF("a", "b"))
-            return self.kept(components(whole))
+            return components(whole)
 
         def grouped(keys: DataFrame, comps: DataFrame) -> DataFrame | None:
             """(key, node, group) of the nodes of keys (node, component) with members of several components; None if there are none."""
             group = F.coalesce("component", "node").alias("group")
-            members = keys.toDF("node", "key").join(self.small(comps), "node", "left").select("key", "node", group)
+            members = keys.toDF("node", "key").join(comps, "node", "left").select("key", "node", group)
             several = members.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
             members = self.kept(members.join(several, "key"))
             return None if members.isEmpty() else members
@@ -388,9 +388,9 @@ class _Search:
 
         stars = self.measured(pairs(self.crowd))
         regions = joined(stars.select("a", "b"))
-        self.meet(regions)
+        self.meet(self.small(regions))
         links = stars.union(self.measured(pairs(self.met.where("near"))))
-        regions = joined(regions, links.select("a", "b"))
+        regions = self.small(joined(regions, links.select("a", "b")))
         comps = joined(links.where(F.col("d") <= self.sure).select("a", "b"))
 
         trees = [e for e in [self.leftovers(regions)] if e is not None]
