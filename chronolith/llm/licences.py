@@ -116,7 +116,12 @@ def base_lines(text: Column) -> Column:
     """The lines of a text that aren't empty or copyright notices: lower case, without punctuation, not folded yet."""
     t = F.replace(F.concat(F.lit("\n"), F.lower(F.coalesce(text.cast("string"), F.lit("")))), F.lit("&"), F.lit(" and "))
     t = F.translate(t, "\t\u00a0\r\x0b\x0c", "  \n\n\n")
-    t = F.when(F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©")), F.regexp_replace(t, COPYRIGHT, "\n")).otherwise(t)
+
+    def noticed(t: Column) -> Column:
+        may = F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©"))
+        return F.when(may, F.regexp_replace(t, COPYRIGHT, "\n")).otherwise(t)
+
+    t = F.get(F.transform(F.array(t), noticed), F.lit(0))  # so that the text is made once
     t = F.regexp_replace(F.translate(t, PUNCTUATION, " " * len(PUNCTUATION)), " {2,}", " ")
     t = F.replace(F.replace(t, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n"))
     return F.filter(F.split(F.rtrim(t), "\n"), lambda x: (x != "") & (x != RESERVED))
@@ -157,14 +162,15 @@ def scan_licences(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id",
         return F.lit(True) if fits is None else F.length(x).isin(fits)
 
     text = F.col(text_col).cast("string")
-    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), base_lines(text).alias("l")).where(F.size("l") > 0)
+    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), base_lines(text).alias("l"))
 
     def entry(scope: str, x: Column) -> Column:
         return F.struct(F.lit(scope).alias("scope"), F.sha2(folded(x), 256).alias("digest"))
 
     some = F.transform(F.array_distinct(F.filter("l", may)), lambda x: entry("line", x))
     whole = F.transform(F.filter(F.array(F.array_join("l", " ")), may), lambda x: entry("document", x))
-    each = lines.select("_id", "_th", F.explode(F.concat(whole, some)).alias("d")).select("_id", "_th", "d.scope", "d.digest")
+    # the outer kind: for the other, Spark would make the lines a second time to see whether there are any
+    each = lines.select("_id", "_th", F.explode_outer(F.concat(whole, some)).alias("d")).select("_id", "_th", "d.scope", "d.digest")
     found = each.join(broadcast_if_small(known.select("digest", "licence")), "digest").groupBy("_id", "_th")
     found = found.agg(F.array_sort(F.collect_set("licence")).alias("licences"), F.max(F.col("scope") == "document").alias("whole"))
     return found.withColumnsRenamed({"_id": id_col, "_th": "text_hash"})
