@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values
-UUID7 = "^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+# Patterns end in \z: Java's $ also matches before a last line end. Fixed values:
+UUID7 = "^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\\z"
 U128_MAX = "340282366920938463463374607431768211455"
 FLAGS = ("stale", "invalid", "substituted", "overridden", "out_of_service", "communication_failure")
 FAMILIES = ("real", "signed", "unsigned", "boolean", "state", "text", "artifact")
@@ -29,20 +29,20 @@ def uuid_text(raw: Column) -> Column:
 
 def canonical_decimal(text: Column) -> Column:
     """An unsigned 128-bit number as its shortest decimal text."""
-    digits = text.rlike("^(0|[1-9][0-9]{0,38})$")
+    digits = text.rlike("^(0|[1-9][0-9]{0,38})\\z")
     return F.coalesce(digits & (F.lpad(text, 39, "0") <= F.lit(U128_MAX)), F.lit(False))
 
 
 def portable_token(text: Column) -> Column:
-    return F.coalesce(text.rlike("^[ -~]{1,256}$"), F.lit(False))
+    return F.coalesce(text.rlike("^[ -~]{1,256}\\z"), F.lit(False))
 
 
 def content_format(text: Column) -> Column:
-    return F.coalesce(text.rlike("^[!-@\\[-~]{1,64}$"), F.lit(False))
+    return F.coalesce(text.rlike("^[!-@\\[-~]{1,64}\\z"), F.lit(False))
 
 
 def retry_key(text: Column) -> Column:
-    return F.coalesce(text.rlike("^[ -~]{1,128}$"), F.lit(False))
+    return F.coalesce(text.rlike("^[ -~]{1,128}\\z"), F.lit(False))
 
 
 def exact_text(text: Column) -> Column:
@@ -90,3 +90,8 @@ def admits(family: Column, kind: Column) -> Column:
 def real_order(bits: Column) -> Column:
     """Orders bit patterns of doubles as unsigned numbers."""
     return bits.bitwiseXOR(F.lit(-(2**63)))
+
+
+def nonzero(n: Column) -> Column:
+    """A schema version or revision: null where it is zero."""
+    return F.when(n != 0, n)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .model import HEADER_BYTES
 
 
-def ordered_fold(rows: DataFrame, key: str, order: str, inputs: list[str], column: str, start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, int]]) -> DataFrame:
+def ordered_fold(rows: DataFrame, key: str, order: str, inputs: list[str], column: str, start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, int | None]]) -> DataFrame:
     """rows with a long `column`: step(state, inputs) -> (state, value), along `order` inside each `key`.
 
     One shuffle by key and one sort; batches stream through, so a long key needs no memory."""
@@ -43,11 +43,15 @@ def rotate_by_count(frames: DataFrame, records: int) -> DataFrame:
 
 
 def rotate_by_bytes(frames: DataFrame, most_bytes: int, most_records: int) -> DataFrame:
-    """A frame joins while header, bytes so far and its own fit and there is room for a record."""
+    """A frame joins while header, bytes so far and its own fit and there is room for a record.
+
+    A frame that not even an empty generation holds is refused: its generation is null, and nothing rotates for it."""
 
     def step(s, args):
         (n,) = args
         gen, size, count = s
+        if HEADER_BYTES + n > most_bytes:
+            return s, None
         if count and (size + n > most_bytes or count >= most_records):
             gen, size, count = gen + 1, HEADER_BYTES, 0
         return (gen, size + n, count + 1), gen
@@ -99,7 +103,7 @@ def file_name(generation: Column) -> Column:
 
 def parse_name(name: Column) -> Column:
     """The generation of a file's name; null unless the name is exact."""
-    return F.when(name.rlike("^generation-[0-9]{20}\\.journal$"), F.substring(name, 12, 20).cast("long"))
+    return F.when(name.rlike("^generation-[0-9]{20}\\.journal\\z"), F.substring(name, 12, 20).cast("long"))
 
 
 def progress(references: DataFrame, key: str) -> DataFrame:

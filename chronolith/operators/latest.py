@@ -14,5 +14,5 @@ def latest(obs: DataFrame, position: list[str]) -> DataFrame:
 
 def conflicts(obs: DataFrame, position: list[str], content: list[str]) -> DataFrame:
     """Positions of a series that carry more than one content."""
-    c = F.xxhash64(*content)
+    c = F.struct(*content)
     return obs.where(F.col(position[0]).isNotNull()).groupBy("series", *position).agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("series", *position, "n")

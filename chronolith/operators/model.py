@@ -29,9 +29,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select((F.col("o_orderkey") + 1).alias("seq"), F.col("o_custkey").alias("series"), F.col("o_orderdate").alias("effective"), F.col("o_orderpriority").alias("priority"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, ordinal, receive, value, tag; ordinals count from 0 inside a frame."""
+def observations(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """seq, ordinal, receive, value, tag; ordinals count from 0 inside a frame. of: the frames (seq) that are wanted, all if None.
+
+    Only the wanted frames' rows are numbered, and few keys reach the scan."""
     li = table(spark, sf_dir, "lineitem")
+    if of is not None:
+        li = li.join(of.select((F.col("seq") - 1).alias("l_orderkey")).distinct(), "l_orderkey", "left_semi").select(*li.columns)
     inside = W.partitionBy("l_orderkey").orderBy(*li.columns)
     return li.select((F.col("l_orderkey") + 1).alias("seq"), (F.row_number().over(inside) - 1).cast("long").alias("ordinal"), F.col("l_shipdate").alias("receive"), F.col("l_quantity").alias("value"), F.col("l_returnflag").alias("tag"))
 

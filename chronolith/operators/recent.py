@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,13 +17,15 @@ def check_limit(limit: int, most: int = MOST_RESULTS) -> int:
     return limit
 
 
-def within(t: Column, start: Column | None, end: Column | None) -> Column:
-    """Half-open interval; None is no bound."""
+def within(t: Column, start: datetime | None, end: datetime | None) -> Column:
+    """Half-open interval; None is no bound. An interval must hold some time."""
+    if start is not None and end is not None and start >= end:
+        raise ValueError("the interval is empty")
     out = F.lit(True)
     if start is not None:
-        out = out & (t >= start)
+        out = out & (t >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
-        out = out & (t < end)
+        out = out & (t < F.lit(end).cast("timestamp_ntz"))
     return out
 
 
@@ -30,16 +34,14 @@ def recency(obs: DataFrame) -> list[Column]:
     return [F.col(c).desc() for c in ("effective", "receive", "id", "seq") if c in obs.columns] + [F.col(c) for c in ("ordinal",) if c in obs.columns]
 
 
-def recent(obs: DataFrame, series, limit: int, start: Column | None = None, end: Column | None = None) -> DataFrame:
+def recent(obs: DataFrame, series, limit: int, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """The newest `limit` observations of a series; an unknown series has none."""
     check_limit(limit)
-    if start is not None and end is not None and not obs.sparkSession.range(1).select(start < end).first()[0]:
-        raise ValueError("the interval is empty")
     found = obs.where((F.col("series") == F.lit(series)) & within(F.col("effective"), start, end))
     return found.orderBy(*recency(obs)).limit(limit)
 
 
-def recent_with_evidence(obs: DataFrame, series, limit: int, start: Column | None = None, end: Column | None = None) -> DataFrame:
+def recent_with_evidence(obs: DataFrame, series, limit: int, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """One row: series, returned, is_truncated. Only limit + 1 matches leave the scan's tasks."""
     found = obs.where((F.col("series") == F.lit(series)) & within(F.col("effective"), start, end)).select("series").limit(check_limit(limit) + 1)
     return found.agg(F.count("*").alias("n")).select(F.lit(series).cast("long").alias("series"), F.least(F.col("n"), F.lit(limit)).alias("returned"), (F.col("n") > limit).alias("is_truncated"))

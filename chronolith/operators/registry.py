@@ -1,7 +1,6 @@
 """The registry of series: register, revise, retire as a fold over each series' requests; binding checks; read views.
 
-A request changes one series only, so series are folded apart and in parallel. Capacity is the one law across series: it counts
-accepted registrations in request order, and is a separate step over accepted rows.
+A request changes one series only, so series are folded apart and in parallel. Capacity, the one law across series, isn't checked here.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -97,3 +97,15 @@ def counts(declarations: DataFrame) -> DataFrame:
 
 def latest_declarations(declarations: DataFrame) -> DataFrame:
     return declarations.groupBy("series").agg(F.max("revision").alias("revision"), F.max_by("payload", "revision").alias("payload"))
+
+
+def chain(claimed: DataFrame) -> DataFrame:
+    """(series, n, revision) with violation: a series begins with revision 1, and each revision is the one before plus 1, in order of n."""
+    before = F.lag("revision").over(W.partitionBy("series").orderBy("n"))
+    violation = F.when(before.isNull() & (F.col("revision") != 1), "BadFirst").when(F.col("revision") != before + 1, "RevisionGap")
+    return claimed.withColumn("violation", violation)
+
+
+def history(declarations: DataFrame) -> DataFrame:
+    """(series, history): all revisions of a series with their payloads, in order; a series has few."""
+    return declarations.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("revision", "payload"))).alias("history"))

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def classify(a: str, b: str) -> Column:
-    """distinct, equivalent or conflict, of struct columns with scope, key and content."""
-    same = (F.col(f"{a}.scope") == F.col(f"{b}.scope")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
-    return F.when(~same, "distinct").when(F.col(f"{a}.content") == F.col(f"{b}.content"), "equivalent").otherwise("conflict")
+    """distinct, equivalent or conflict, of struct columns with scope, key and content; nulls equal each other and nothing else."""
+
+    def same(field: str) -> Column:
+        return F.col(f"{a}.{field}").eqNullSafe(F.col(f"{b}.{field}"))
+
+    return F.when(~(same("scope") & same("key")), "distinct").when(same("content"), "equivalent").otherwise("conflict")
 
 
 def byte_ceiling(priority: Column, total: int, protected: int, normal: int) -> Column:

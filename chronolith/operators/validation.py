@@ -62,3 +62,8 @@ def unique_ids(*ids: Column) -> Column:
     """Whether all ids of the given arrays and scalars differ."""
     every = F.concat(*ids)
     return F.size(F.array_distinct(every)) == F.size(every)
+
+
+def gap_refusal(start: Column, end: Column) -> Column:
+    """A gap is half-open and holds something."""
+    return F.when(start >= end, "EmptyGap")

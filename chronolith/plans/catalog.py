@@ -8,13 +8,14 @@ independent programs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronolith.functions import scalars as S
-from chronolith.operators import blocks, directories, generations, latest, lookups, model, recent, recovery, registry, retry, validation
+from chronolith.operators import admission, blocks, directories, generations, latest, lookups, model, recent, recovery, registry, retry, validation
 from chronolith.sources import journal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,8 +40,7 @@ SERIES = 7
 
 
 def _span(t: str) -> tuple:
-    a, b = t.split()
-    return F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz")
+    return tuple(map(datetime.fromisoformat, t.split()))
 
 
 # ---- recent-first reads
@@ -72,7 +72,7 @@ def recent_ties(spark, d):
 @query(f"SELECT f.seq, ordinal, value FROM {FRAMES} f JOIN {OBS} o USING (seq) WHERE series = 7 ORDER BY f.effective DESC, receive DESC, f.seq DESC, ordinal LIMIT 16")
 def recent_frame_observations(spark, d):
     mine = model.frames(spark, d).where(F.col("series") == SERIES).select("seq", "series", "effective")
-    return recent.recent(mine.join(model.observations(spark, d), "seq"), SERIES, 16).select("seq", "ordinal", "value")
+    return recent.recent(mine.join(model.observations(spark, d, mine), "seq"), SERIES, 16).select("seq", "ordinal", "value")
 
 
 @query(f"SELECT seq, effective FROM {FRAMES} WHERE series = 7 AND (seq - 1) // 500 + 1 = 2 ORDER BY effective DESC, seq DESC LIMIT 16")
@@ -86,6 +86,101 @@ def late_decode(spark, d):
     payloads = model.table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), "props")
     return recent.late_decoded(model.event_observations(spark, d).select("seq", "series", "effective", "receive"), payloads, SERIES, 4).select("seq", "effective", "props")
 
+# ---- admissions
+
+CHECKS = ("AdmissionRetryScopeMismatch", "SourceIntervalMismatch", "SourceProjectionRequired", "SourceLifecycleBindingMismatch", "TooManySourceObservationContexts", "SourceObservationCountMismatch", "SourceGapCountMismatch", "DuplicateSourceEvidenceId")
+CONTEXT_CHECKS = ("SourceObservationAssociationMismatch", "MisorderedSourceRecordOrdinals", "SourceInterpretationMismatch", "DuplicateSourceEvidenceId", "SourceRawSnapshotMismatch", "SourceNormalizedRawMismatch", "SourceNormalizedObservationMismatch", "SourceRawIdempotencyMismatch")
+_of_row = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(CHECKS))
+_of_context = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(CONTEXT_CHECKS))
+
+
+# Admissions from orders: the key's remainders decide on faults, often several in one row
+@query(f"""WITH a AS (SELECT seq, n_obs AS n FROM {FRAMES}),
+r AS (SELECT seq, unnest([seq % 29 = 0, seq % 31 = 0, seq % 37 = 0, seq % 23 = 0, n + CAST(seq % 19 = 0 AS INT) > 6, seq % 19 = 0, seq % 17 = 0, seq % 13 = 0]) AS bad, unnest(range(8)) AS c FROM a),
+k AS (SELECT seq, n, unnest(range(n)) AS k FROM a),
+x AS (SELECT seq, k, unnest([(seq + k) % 11 = 0, k > 0 AND 10 * k - CASE WHEN (seq + 2 * k) % 7 = 0 THEN 10 ELSE 0 END <= 10 * (k - 1) - CASE WHEN (seq + 2 * (k - 1)) % 7 = 0 THEN 10 ELSE 0 END, (seq + 3 * k) % 41 = 0, (seq + 5 * k) % 43 = 0, (seq + k) % 47 = 0, (seq + 2 * k) % 53 = 0, (seq + k) % 59 = 0, (seq + k) % 61 = 0]) AS bad, unnest(range(8)) AS c FROM k),
+f AS (SELECT seq, c AS place, CASE c {_of_row} END AS violation FROM r WHERE bad UNION ALL SELECT seq, 100 + 10 * k + c, CASE c {_of_context} END FROM x WHERE bad UNION ALL SELECT seq, 100000, 'SourceGapMismatch' FROM a WHERE seq % 5 = 0)
+SELECT a.seq, min_by(violation, place) AS violation FROM a LEFT JOIN f USING (seq) GROUP BY a.seq""")
+def admission_violation(spark, d):
+    seq, n = F.col("seq"), F.col("n")
+
+    def hit(x, by):
+        return x % by == 0
+
+    def context(k):
+        s = seq + k
+        ids = F.array(F.when(hit(seq + 5 * k, 43), F.lit(1).cast("long")).otherwise(100 + 3 * k), 101 + 3 * k, 102 + 3 * k)
+        return F.struct(
+            F.when(hit(s, 11), F.lit(-1).cast("long")).otherwise(k).alias("id"),
+            (10 * k - F.when(hit(seq + 2 * k, 7), 10).otherwise(0)).alias("ordinal"),
+            F.lit("source").alias("source"), F.lit(None).cast("string").alias("application"), F.lit("power").alias("quantity"),
+            F.when(hit(seq + 3 * k, 41), "kW").otherwise("W").alias("unit"),
+            ids.alias("ids"), F.when(hit(s, 47), 9).otherwise(4).alias("snapshot"),
+            F.when(hit(seq + 2 * k, 53), F.lit(0).cast("long")).otherwise(ids[1]).alias("normalized_raw"),
+            F.when(hit(s, 59), F.lit(0).cast("long")).otherwise(ids[0]).alias("normalized_observation"),
+            F.when(hit(s, 61), "other").when(hit(s, 2), "same").alias("retry_content"), F.lit("same").alias("content"),
+        )
+
+    def numbers(upto):
+        return F.when(upto > 0, F.sequence(F.lit(0).cast("long"), upto - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    projection = F.when(hit(seq, 37), F.lit(None).cast("string")).otherwise("view")
+    gap = F.struct(F.lit(1).alias("epoch"), F.when(hit(seq, 5), 3).otherwise(2).alias("start"), F.lit(9).alias("end"))
+    rows = model.sized_frames(spark, d).select("seq", F.col("n_obs").cast("long").alias("n")).select(
+        "seq", F.lit("observed").alias("kind"), F.lit("sampled").alias("mode"), F.when(hit(seq, 31), "no_change").otherwise("observed").alias("interval"),
+        seq.alias("series"), F.lit(7).alias("producer"), F.struct(seq.alias("series"), F.when(hit(seq, 29), 8).otherwise(7).alias("producer")).alias("retry"),
+        F.struct(F.lit("p").alias("provider"), projection.alias("projection"), F.lit("l").alias("locator"), F.lit("source").alias("source"), F.lit(None).cast("string").alias("application"), F.lit("power").alias("quantity"), F.lit("W").alias("unit")).alias("declared"),
+        F.struct(F.lit("p").alias("provider"), projection.alias("projection"), F.when(hit(seq, 23), "x").otherwise("l").alias("locator"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.lit(3).cast("long"), F.when(hit(seq, 13), F.lit(3).cast("long")).otherwise(4)).alias("ids"), F.lit(4).alias("snapshot")).alias("lifecycle"),
+        numbers(n).alias("observations"), F.array(F.struct(F.lit(1).alias("epoch"), F.lit(2).alias("start"), F.lit(9).alias("end"))).alias("gaps"),
+        F.transform(numbers(n + hit(seq, 19).cast("long")), context).alias("contexts"), F.when(hit(seq, 17), F.array(gap, gap)).otherwise(F.array(gap)).alias("source_gaps"),
+    )
+    return rows.select("seq", admission.observed_violation(6, 64).alias("violation"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'InvalidNoChangeMode' WHEN event_id % 5 = 0 THEN 'AdmissionRetryScopeMismatch' WHEN event_id % 3 = 0 THEN 'SourceIntervalMismatch'
+WHEN event_id % 11 = 0 THEN 'SourceProjectionRequired' WHEN event_id % 13 = 0 THEN 'SourceLifecycleBindingMismatch' WHEN event_id % 2 = 0 THEN 'DuplicateSourceEvidenceId' END AS violation FROM events""")
+def no_change_violation(spark, d):
+    i = F.col("event_id")
+    projection = F.when(i % 11 == 0, F.lit(None).cast("string")).otherwise("view")
+    rows = model.table(spark, d, "events").select(
+        "event_id", F.lit("no_change").alias("kind"), F.when(i % 7 == 0, "sampled").otherwise("change_only").alias("mode"), F.when(i % 3 == 0, "observed").otherwise("no_change").alias("interval"),
+        i.alias("series"), F.lit(1).alias("producer"), F.struct(F.when(i % 5 == 0, -1).otherwise(i).alias("series"), F.lit(1).alias("producer")).alias("retry"),
+        F.struct(F.lit("p").alias("provider"), projection.alias("projection"), F.lit("l").alias("locator")).alias("declared"),
+        F.struct(F.when(i % 13 == 0, "q").otherwise("p").alias("provider"), projection.alias("projection"), F.lit("l").alias("locator"), F.array(i, i + 1, i + 2, F.when(i % 2 == 0, i).otherwise(i + 3)).alias("ids")).alias("lifecycle"),
+    )
+    return rows.select("event_id", admission.no_change_violation().alias("violation"))
+
+
+LINE_END = "SELECT event_id, CASE event_id % 6 WHEN 0 THEN '5' WHEN 1 THEN 'tok' WHEN 2 THEN '018f0000-0000-7abc-8def-000000000001' WHEN 3 THEN 'TOK' WHEN 4 THEN '018F0000-0000-7ABC-8DEF-000000000001' END || CASE WHEN event_id % 4 < 2 THEN chr(10) ELSE '' END AS t FROM events"
+
+
+@query(f"""SELECT event_id, coalesce(regexp_full_match(t, '(0|[1-9][0-9]{{0,38}})'), false) AS number, coalesce(regexp_full_match(t, '[ -~]{{1,256}}'), false) AS token, coalesce(regexp_full_match(t, '[ -~]{{1,128}}'), false) AS retry_key,
+coalesce(regexp_full_match(t, '[!-@\\[-~]{{1,64}}'), false) AS format, coalesce(regexp_full_match(t, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-7[0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}'), false) AS uuid FROM ({LINE_END})""")
+def line_ends_refused(spark, d):
+    i = F.col("event_id")
+    word = F.when(i % 6 == 0, "5").when(i % 6 == 1, "tok").when(i % 6 == 2, "018f0000-0000-7abc-8def-000000000001").when(i % 6 == 3, "TOK").when(i % 6 == 4, "018F0000-0000-7ABC-8DEF-000000000001")
+    t = model.table(spark, d, "events").select("event_id", F.concat(word, F.when(i % 4 < 2, "\n").otherwise("")).alias("t"))
+    c = F.col("t")
+    return t.select("event_id", S.canonical_decimal(c).alias("number"), S.portable_token(c).alias("token"), S.retry_key(c).alias("retry_key"), S.content_format(c).alias("format"), S.uuid_valid(c).alias("uuid"))
+
+
+@query("""SELECT a.event_id, CASE WHEN a.s IS DISTINCT FROM b.s OR a.k IS DISTINCT FROM b.k THEN 'distinct' WHEN a.c IS NOT DISTINCT FROM b.c THEN 'equivalent' ELSE 'conflict' END AS class
+FROM (SELECT event_id, nullif(event_id % 3, 0) AS s, nullif(event_id % 2, 0) AS k, event_id % 5 AS c FROM events) a JOIN (SELECT event_id, nullif(event_id % 3, 0) AS s, nullif(event_id % 4, 0) AS k, event_id % 7 AS c FROM events) b USING (event_id)""")
+def retry_classify_nulls(spark, d):
+    i = F.col("event_id")
+
+    def side(k, c):
+        return F.struct(F.nullif(i % 3, F.lit(0)).alias("scope"), F.nullif(i % k, F.lit(0)).alias("key"), (i % c).alias("content"))
+
+    return model.table(spark, d, "events").select("event_id", side(2, 5).alias("a"), side(4, 7).alias("b")).select("event_id", retry.classify("a", "b").alias("class"))
+
+
+@query(f"SELECT store, store_seq, 28 + len <= 500 AS held FROM {STORE}")
+def oversize_frames(spark, d):
+    """Frames that no generation of 500 bytes holds are refused, whatever came before."""
+    f = generations.rotate_by_bytes(model.store_frames(spark, d).select("store", "store_seq", "len"), 500, 1000)
+    return f.select("store", "store_seq", F.col("generation").isNotNull().alias("held"))
+
 
 # ---- directories
 
@@ -374,6 +469,40 @@ def _claims(spark, d):
 def declaration_resolve(spark, d):
     return lookups.resolve(_claims(spark, d).drop("payload"), _declarations(spark, d)).select("seq", "series", "revision", "payload")
 
+@query(f"SELECT CASE WHEN n_obs > 0 THEN 'observed' ELSE 'no_change' END AS kind, count(*) AS frames, CAST(sum(n_obs) AS BIGINT) AS observations FROM {FRAMES} GROUP BY 1")
+def evidence_kinds(spark, d):
+    return admission.by_kind(model.sized_frames(spark, d)).select("kind", "frames", "observations")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 9 - 3 >= event_id % 4 THEN 'EmptyGap' END AS refusal, CASE WHEN event_id % 6 > 0 THEN event_id % 6 END AS revision, event_id * 700 % 1500000000 < 1000000000 AS time_valid FROM events")
+def constructed_values(spark, d):
+    i = F.col("event_id")
+    return model.table(spark, d, "events").select("event_id", validation.gap_refusal(i % 9 - 3, i % 4).alias("refusal"), S.nonzero(i % 6).alias("revision"), S.time_valid(i * 700 % 1_500_000_000).alias("time_valid"))
+
+
+# Registered events as claimed revisions of their series: which of them follow the one before
+@query("""WITH r AS (SELECT user_id AS series, event_id AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS revision FROM events)
+SELECT series, n, revision, CASE WHEN lag(revision) OVER w IS NULL AND revision <> 1 THEN 'BadFirst' WHEN revision <> lag(revision) OVER w + 1 THEN 'RevisionGap' END AS violation FROM r WINDOW w AS (PARTITION BY series ORDER BY n)""")
+def declaration_chain(spark, d):
+    e = model.table(spark, d, "events")
+    at = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    claimed = e.select(F.col("user_id").alias("series"), F.col("event_id").alias("n"), (at + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).cast("long").alias("revision"))
+    return registry.chain(claimed).select("series", "n", "revision", "violation")
+
+
+@query(f"SELECT series, count(*) AS revisions, string_agg(payload, ',' ORDER BY revision) AS history FROM {DECLARATIONS} GROUP BY series")
+def declaration_history(spark, d):
+    return registry.history(_declarations(spark, d)).select("series", F.size("history").cast("long").alias("revisions"), F.array_join(F.col("history.payload"), ",").alias("history"))
+
+
+@query("SELECT series, true AS placed, false AS seen FROM (SELECT o_custkey AS series FROM orders EXCEPT SELECT user_id FROM events) UNION ALL SELECT series, true, true FROM (SELECT o_custkey AS series FROM orders INTERSECT SELECT user_id FROM events) UNION ALL SELECT series, false, true FROM (SELECT user_id AS series FROM events EXCEPT SELECT o_custkey FROM orders)")
+def series_by_table(spark, d):
+    """UNION, INTERSECT and EXCEPT of the series of both tables of frames."""
+    f, e = model.frames(spark, d).select("series"), model.event_observations(spark, d).select("series")
+    parts = ((f.subtract(e), True, False), (f.intersect(e), True, True), (e.subtract(f), False, True))
+    one, two, three = (p.select("series", F.lit(a).alias("placed"), F.lit(b).alias("seen")) for p, a, b in parts)
+    return one.union(two).union(three)
+
 
 @query(f"SELECT seq FROM {CLAIMS} c WHERE EXISTS (SELECT 1 FROM {DECLARATIONS} d WHERE c.series = d.series AND c.revision = d.revision AND c.payload IS NOT DISTINCT FROM d.payload)")
 def declared_frames(spark, d):
