@@ -51,6 +51,14 @@ def contiguous(frames: DataFrame, floor: int, cutoff: int) -> DataFrame:
     return a.select("present", (F.lit(cutoff - floor) - F.col("present")).cast("long").alias("missing"), F.col("repeated").cast("long").alias("repeated"))
 
 
+def recheck(entries: DataFrame, appends: DataFrame, fields: list[str]) -> DataFrame:
+    """entries with `problem`: no append entry of their sequence, or one that differs in a field; null where all agree."""
+    known = appends.select("seq", F.struct(*fields).alias("_append"))
+    same = F.struct(*fields).eqNullSafe(F.col("_append"))
+    problem = F.when(F.col("_append").isNull(), "MissingAppend").when(~same, "InconsistentSegment")
+    return entries.join(known, "seq", "left").withColumn("problem", problem).drop("_append")
+
+
 def audit(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Rows that only one of two directories has, counted; none if the index is sound."""
     a = stored.exceptAll(recomputed).withColumn("problem", F.lit("not in frames"))

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .model import HEADER_BYTES
 
@@ -21,7 +22,7 @@ def ordered_fold(rows: DataFrame, key: str, order: str, inputs: list[str], colum
     """rows with a long `column`: step(state, inputs) -> (state, value), along `order` inside each `key`.
 
     One shuffle by key and one sort; batches stream through, so a long key needs no memory."""
-    schema = rows.schema.add(column, "long")
+    schema = StructType([*rows.schema]).add(column, "long")
     at = [rows.columns.index(c) for c in (key, *inputs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,6 +60,23 @@ def rotate_by_bytes(frames: DataFrame, most_bytes: int, most_records: int) -> Da
     return ordered_fold(frames, "store", "store_seq", ["len"], "generation", lambda: (1, HEADER_BYTES, 0), step)
 
 
+def rotate_by_age(frames: DataFrame, most_age: int) -> DataFrame:
+    """A generation opens with its first frame and takes no frame whose clock `at` is most_age or more later; an empty one never rotates.
+
+    A frame without a clock goes where its store stands."""
+
+    def step(s, args):
+        (at,) = args
+        gen, opened = s
+        if at is None:
+            return s, gen
+        if opened is not None and at - opened >= most_age:
+            gen, opened = gen + 1, at
+        return (gen, at if opened is None else opened), gen
+
+    return ordered_fold(frames, "store", "store_seq", ["at"], "generation", lambda: (1, None), step)
+
+
 def group_commits(frames: DataFrame, most_records: int, most_bytes: int, urgent: str = "1-URGENT") -> DataFrame:
     """A batch closes after the frame that fills it by count or bytes, or that is urgent."""
 
@@ -91,6 +109,13 @@ def chain_violations(cat: DataFrame, keys: list[str]) -> DataFrame:
     return cat.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
+def strict_prefix(older: Column, newer: Column) -> Column:
+    """Whether a catalog (array of generations) continues an older one that isn't empty: the same beginning, more entries, a later end."""
+    n = F.size(older)
+    same = F.slice(newer, F.lit(1), n) == older
+    return F.coalesce((n > 0) & (n < F.size(newer)) & same & (F.element_at(older, -1) < F.element_at(newer, -1)), F.lit(False))
+
+
 def covers(commits: DataFrame, cat: DataFrame) -> DataFrame:
     """Commits with the sealed generation that holds them: inside its range of sequences, and of offsets."""
     hit = (F.col("seq") > F.col("floor")) & (F.col("seq") <= F.col("cutoff")) & (F.col("end_offset") > HEADER_BYTES) & (F.col("end_offset") <= F.col("bytes"))

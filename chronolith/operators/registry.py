@@ -1,6 +1,7 @@
 """The registry of series: register, revise, retire as a fold over each series' requests; binding checks; read views.
 
-A request changes one series only, so series are folded apart and in parallel. Capacity, the one law across series, isn't checked here.
+A request changes one series only, so series are folded apart and in parallel. Capacity is the one law across series; as neither
+series nor revisions are ever given back, it is two points in the order of requests, which `run_within` finds first.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class History:
@@ -21,8 +23,8 @@ class History:
         self.revisions: list[tuple[str, str]] = []
         self.retired: tuple[int, str] | None = None
 
-    def apply(self, op: str, binding: str, expected: int, payload: str, evidence: str) -> tuple[str, int]:
-        """(outcome, revision)."""
+    def apply(self, op: str, binding: str, expected: int, payload: str, evidence: str, full: bool = False, frozen: bool = False) -> tuple[str, int]:
+        """(outcome, revision). full: the registry takes no more series; frozen: no more revisions."""
         n = len(self.revisions)
         if op == "register":
             if self.retired:
@@ -30,6 +32,10 @@ class History:
             if n:
                 same = n == 1 and self.binding == binding and self.revisions[0] == (payload, evidence)
                 return ("replayed", 1) if same else ("SeriesAlreadyRegistered", 0)
+            if full:
+                return "RegistrySeriesCapacityExceeded", 0
+            if frozen:
+                return "RegistryRevisionCapacityExceeded", 0
             self.binding = binding
             self.revisions.append((payload, evidence))
             return "registered", 1
@@ -44,6 +50,8 @@ class History:
                 return "StaleDeclarationRevision", 0
             if self.revisions[-1][0] == payload:
                 return "DeclarationUnchanged", 0
+            if frozen:
+                return "RegistryRevisionCapacityExceeded", 0
             self.revisions.append((payload, evidence))
             return "revised", n + 1
         if self.retired:
@@ -54,24 +62,50 @@ class History:
         return "retired", n
 
 
-def run_requests(requests: DataFrame) -> DataFrame:
-    """Outcome and revision of each request (series, n, op, binding, expected, payload, evidence)."""
-    schema = requests.schema.add("outcome", "string").add("revision", "long")
+def run_requests(requests: DataFrame, full_after: int | None = None, frozen_after: int | None = None) -> DataFrame:
+    """Outcome and revision of each request (series, n, op, binding, expected, payload, evidence).
+
+    After request full_after no series is added, after frozen_after no revision; None: never."""
+    schema = StructType([*requests.schema]).add("outcome", "string").add("revision", "long")
     names = requests.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         series, state = object(), None
         for b in batches:
             out = []
-            for s, *args in zip(*(b.column(names.index(c)).to_pylist() for c in ("series", "op", "binding", "expected", "payload", "evidence"))):
+            for s, n, *args in zip(*(b.column(names.index(c)).to_pylist() for c in ("series", "n", "op", "binding", "expected", "payload", "evidence"))):
                 if s != series:
                     series, state = s, History()
-                out.append(state.apply(*args))
+                full = full_after is not None and n > full_after
+                frozen = frozen_after is not None and n > frozen_after
+                out.append(state.apply(*args, full=full, frozen=frozen))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], schema.names)
 
     return requests.repartition("series").sortWithinPartitions("series", "n").mapInArrow(run, schema)
 
 
+def _nth(rows: DataFrame, k: int) -> int | None:
+    """The k-th smallest n, None if there are fewer rows; for k = 0 what is before all."""
+    if k == 0:
+        return -(2**63)
+    row = rows.select("n").orderBy("n").offset(k - 1).first()
+    return row["n"] if row else None
+
+
+def run_within(requests: DataFrame, most_series: int, most_revisions: int) -> DataFrame:
+    """run_requests in a registry that holds most_series series and most_revisions revisions over all of them.
+
+    A series' first request to register succeeds while there is room, so the registry is full after the most_series-th of these; it is
+    frozen after the most_revisions-th declaration that is accepted without that limit. Two numbers reach the driver."""
+    firsts = requests.where("op = 'register'").groupBy("series").agg(F.min("n").alias("n"))
+    full = _nth(firsts, most_series)
+    declared = F.col("outcome").isin("registered", "revised")
+    frozen = _nth(run_requests(requests, full).where(declared), most_revisions)
+    if full is not None and frozen is not None and full > frozen:
+        full = None
+    return run_requests(requests, full, frozen)
+
+
 def snapshot(outcomes: DataFrame) -> DataFrame:
     """series, revisions, latest payload, retired: from accepted requests."""
     done = outcomes.where(F.col("outcome").isin("registered", "revised", "retired"))

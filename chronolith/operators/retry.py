@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def classify(a: str, b: str) -> Column:
@@ -32,6 +34,17 @@ def tiers(accepted: DataFrame, totals: DataFrame, replay: int, guard: int) -> Da
     return accepted.join(totals, "store").withColumn("tier", F.when(age < replay, "replay").when(age < replay + guard, "guard").otherwise("fresh"))
 
 
+def coalesce(submissions: DataFrame, outstanding: list[str]) -> DataFrame:
+    """Disposition of submissions (n, scope, key, content) that are outstanding together, which the given columns say.
+
+    The first of a scope and key is queued; a later one of the same content shares its receipt, of another content it conflicts and has
+    none. What is outstanding together is bounded by the queue, and so is the window."""
+    w = W.partitionBy(*outstanding, "scope", "key").orderBy("n")
+    first, content = F.first("n").over(w), F.first("content").over(w)
+    d = F.when(F.col("n") == first, "queued").when(F.col("content").eqNullSafe(content), "coalesced").otherwise("conflict")
+    return submissions.withColumns({"disposition": d, "receipt": F.when(d != "conflict", first)})
+
+
 class RetryTiers:
     """Replay and guard tiers of one store; hits never refresh an entry."""
 
@@ -60,7 +73,7 @@ class RetryTiers:
 
 def run_submissions(submissions: DataFrame, replay: int, guard: int) -> DataFrame:
     """Outcome of each submission (store, n, scope, key, content) in the order n of its store; state is bounded by the tiers."""
-    schema = submissions.schema.add("outcome", "string").add("seq", "long")
+    schema = StructType([*submissions.schema]).add("outcome", "string").add("seq", "long")
     names = submissions.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -224,6 +224,17 @@ def directory_audit(spark, d):
     return directories.audit(damaged, real)
 
 
+@query(f"SELECT CASE WHEN seq % 43 = 0 THEN -seq ELSE seq END AS seq, ordinal, CASE WHEN seq % 43 = 0 THEN 'MissingAppend' ELSE 'InconsistentSegment' END AS problem FROM {FRAMES} f JOIN {OBS} o USING (seq) WHERE seq % 43 = 0 OR seq % 31 = 0 OR seq % 37 = 0 OR seq % 41 = 0 OR seq % 47 = 0")
+def entry_recheck(spark, d):
+    f = model.sized_frames(spark, d)
+    fields = ["series", "frame_offset", "frame_length", "frame_ordinal"]
+    appends = directories.append_directory(f).join(f.select("seq", F.col("len").alias("frame_length")), "seq")
+    wrong = {name: (F.col(name) + (F.col("seq") % by == 0).cast("int")).alias(name) for name, by in zip(fields, (31, 37, 41, 47))}
+    entries = appends.join(model.observations(spark, d).select("seq", "ordinal"), "seq").withColumns(wrong)
+    entries = entries.withColumn("seq", F.when(F.col("seq") % 43 == 0, -F.col("seq")).otherwise(F.col("seq")))
+    return directories.recheck(entries, appends, fields).where("problem IS NOT NULL").select("seq", "ordinal", "problem")
+
+
 # ---- generations
 
 
@@ -243,6 +254,27 @@ def rotation_by_bytes(spark, d):
     return generations.rotate_by_bytes(model.store_frames(spark, d), 20_000, 40).select("store", "seq", "generation")
 
 
+@query(f"""WITH RECURSIVE f AS MATERIALIZED (SELECT store, seq, store_seq, CAST(date_diff('day', DATE '1970-01-01', CAST(effective AS DATE)) AS BIGINT) AS clock FROM {STORE}),
+r AS (SELECT store, seq, store_seq, CAST(1 AS BIGINT) AS generation, clock AS opened FROM f WHERE store_seq = 1
+UNION ALL SELECT f.store, f.seq, f.store_seq, r.generation + CASE WHEN f.clock - r.opened >= 300 THEN 1 ELSE 0 END, CASE WHEN f.clock - r.opened >= 300 THEN f.clock ELSE r.opened END
+FROM r JOIN f ON f.store = r.store AND f.store_seq = r.store_seq + 1) SELECT store, seq, generation FROM r""")
+def rotation_by_age(spark, d):
+    at = F.datediff(F.col("effective"), F.lit("1970-01-01").cast("date")).cast("long")
+    f = model.store_frames(spark, d).select("store", "seq", "store_seq", at.alias("at"))
+    return generations.rotate_by_age(f, 300).select("store", "seq", "generation")
+
+
+@query("""WITH c AS (SELECT o_custkey AS series, list(o_orderkey + 1 ORDER BY o_orderkey) AS newer FROM orders GROUP BY 1),
+p AS (SELECT *, CASE series % 4 WHEN 0 THEN newer WHEN 1 THEN newer[1:len(newer) - 1] WHEN 2 THEN list_transform(newer[1:len(newer) - 1], lambda x: x + 1) ELSE [] END AS older FROM c)
+SELECT series, len(older) > 0 AND len(older) < len(newer) AND newer[1:len(older)] = older AS continues FROM p""")
+def catalog_prefix(spark, d):
+    newer, size = F.col("newer"), F.size("newer")
+    c = model.frames(spark, d).groupBy("series").agg(F.sort_array(F.collect_list("seq")).alias("newer"))
+    less = F.slice(newer, F.lit(1), size - 1)
+    older = F.when(F.col("series") % 4 == 0, newer).when(F.col("series") % 4 == 1, less).when(F.col("series") % 4 == 2, F.transform(less, lambda x: x + 1)).otherwise(F.slice(newer, 1, 0))
+    return c.select("series", generations.strict_prefix(older, newer).alias("continues"))
+
+
 @query(f"""WITH RECURSIVE f AS MATERIALIZED (SELECT *, len AS l FROM {STORE}),
 r AS (SELECT store, seq, store_seq, CAST(1 AS BIGINT) AS batch, l AS size, 1 AS n, priority FROM f WHERE store_seq = 1
 UNION ALL SELECT f.store, f.seq, f.store_seq, r.batch + CASE WHEN r.n >= 32 OR r.size >= 8000 OR r.priority = '1-URGENT' THEN 1 ELSE 0 END, f.l + CASE WHEN r.n >= 32 OR r.size >= 8000 OR r.priority = '1-URGENT' THEN 0 ELSE r.size END, 1 + CASE WHEN r.n >= 32 OR r.size >= 8000 OR r.priority = '1-URGENT' THEN 0 ELSE r.n END, f.priority
@@ -401,11 +433,11 @@ def unique_evidence(spark, d):
     return o.select("seq", validation.unique_ids(F.col("ids")).alias("unique_ids"))
 
 
-@query("SELECT bits, value_class FROM (SELECT DISTINCT (event_id % 1000 - 500) * 18000000000000000 AS bits, CASE WHEN event_id % 1000 < 500 THEN 'negative' ELSE 'positive' END AS value_class FROM events) ORDER BY xor(bits, CAST(-9223372036854775808 AS BIGINT)) LIMIT 16")
+@query("SELECT bits, value_class FROM (SELECT DISTINCT (event_id % 1000 - 500) * 18000000000000000 AS bits, CASE WHEN event_id % 1000 < 500 THEN 'negative' ELSE 'positive' END AS value_class FROM events) ORDER BY xor(bits, CAST(-9223372036854775808 AS BIGINT))")
 def real_bits_order(spark, d):
     i = F.col("event_id") % 1000
     t = model.table(spark, d, "events").select(((i - 500) * 18_000_000_000_000_000).alias("bits"), F.when(i < 500, "negative").otherwise("positive").alias("value_class")).distinct()
-    return t.orderBy(S.real_order(F.col("bits"))).limit(16)
+    return t.orderBy(S.real_order(F.col("bits")))
 
 
 @query("SELECT event_id, name, CASE WHEN regexp_full_match(name, 'generation-[0-9]{20}\\.journal') THEN CAST(substr(name, 12, 20) AS BIGINT) END AS generation FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'generation-' || event_id || '.journal' ELSE 'generation-' || lpad(CAST(event_id AS VARCHAR), 20, '0') || '.journal' END AS name FROM events)")
@@ -565,6 +597,13 @@ def submissions(spark: SparkSession, d: str) -> DataFrame:
     return model.table(spark, d, "events").select((F.col("user_id") % 8).alias("store"), i.alias("n"), F.col("user_id").alias("scope"), F.concat(F.lit("k"), F.floor(F.col("value") % 9).cast("string")).alias("key"), F.when(i % 11 == 0, "other").otherwise("same").alias("content"))
 
 
+@query("""SELECT event_id AS n, CASE WHEN event_id = f THEN 'queued' WHEN c = fc THEN 'coalesced' ELSE 'conflict' END AS disposition, CASE WHEN event_id = f OR c = fc THEN f END AS receipt
+FROM (SELECT event_id, c, first_value(event_id) OVER w AS f, first_value(c) OVER w AS fc FROM (SELECT event_id, user_id, 'k' || CAST(CAST(floor(value % 9) AS BIGINT) AS VARCHAR) AS k, CASE WHEN event_id % 11 = 0 THEN 'other' ELSE 'same' END AS c FROM events) WINDOW w AS (PARTITION BY event_id // 5000, user_id, k ORDER BY event_id))""")
+def coalesced_submissions(spark, d):
+    s = submissions(spark, d).withColumn("batch", F.floor(F.col("n") / 5000))
+    return retry.coalesce(s, ["store", "batch"]).select("n", "disposition", "receipt")
+
+
 @query()
 def retry_script(spark, d):
     return retry.run_submissions(submissions(spark, d), 12, 12)
@@ -584,7 +623,7 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     """Orders as requests on their customers: the key decides operation, expectation and payload."""
     k = F.col("seq") - 1
     op = F.when(k % 9 == 0, "retire").when(k % 3 == 0, "register").otherwise("revise")
-    return model.frames(spark, d).select("series", F.col("seq").alias("n"), op.alias("op"), F.lit("b").alias("binding"), (1 + k % 3).alias("expected"), F.concat(F.lit("p"), (k % 4).cast("string")).alias("payload"), F.concat(F.lit("e"), (k % 2).cast("string")).alias("evidence"))
+    return model.frames(spark, d).select("series", F.col("seq").alias("n"), op.alias("op"), F.lit("b").alias("binding"), (1 + F.floor(k / 5) % 3).alias("expected"), F.concat(F.lit("p"), (k % 4).cast("string")).alias("payload"), F.concat(F.lit("e"), (k % 2).cast("string")).alias("evidence"))
 
 
 @query()
@@ -597,6 +636,12 @@ def registry_snapshot(spark, d):
     return registry.snapshot(registry_lifecycle(spark, d))
 
 
+@query()
+def registry_capacity(spark, d):
+    """A registry of 90 series and 110 revisions."""
+    return registry.run_within(requests(spark, d), 90, 110)
+
+
 @query(f"SELECT count(DISTINCT series) AS series_count, count(*) AS revision_count FROM {DECLARATIONS}")
 def registry_counts(spark, d):
     return registry.counts(_declarations(spark, d))

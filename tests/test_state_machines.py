@@ -58,6 +58,77 @@ def test_registry_snapshot_counts(spark):
     assert dict(zip(snap.series, snap.revisions)) == done.to_dict()
 
 
+def registry_program(rows, most_series=10**9, most_revisions=10**9):
+    """All requests one after another, in one registry."""
+    known, out, total = {}, {}, 0
+    for r in sorted(rows, key=lambda r: r["n"]):
+        s, said = known.get(r["series"]), (r["payload"], r["evidence"])
+        now = len(s["said"]) if s else 0
+        if r["op"] == "register" and not s:
+            if len(known) >= most_series:
+                got = ("RegistrySeriesCapacityExceeded", 0)
+            elif total >= most_revisions:
+                got = ("RegistryRevisionCapacityExceeded", 0)
+            else:
+                known[r["series"]] = {"binding": r["binding"], "said": [said], "end": None}
+                total, got = total + 1, ("registered", 1)
+        elif not s:
+            got = ("SeriesNotFound", 0)
+        elif s["end"]:
+            again = r["op"] == "retire" and s["end"] == (r["expected"], r["evidence"])
+            got = ("replayed", now) if again else ("SeriesRetired", 0)
+        elif r["op"] == "register":
+            got = ("replayed", 1) if s["said"] == [said] and s["binding"] == r["binding"] else ("SeriesAlreadyRegistered", 0)
+        elif r["op"] == "revise" and now > 1 and r["expected"] == now - 1 and s["said"][-1] == said:
+            got = ("replayed", now)
+        elif r["expected"] != now:
+            got = ("StaleDeclarationRevision", 0)
+        elif r["op"] == "retire":
+            s["end"] = (r["expected"], r["evidence"])
+            got = ("retired", now)
+        elif s["said"][-1][0] == r["payload"]:
+            got = ("DeclarationUnchanged", 0)
+        elif total >= most_revisions:
+            got = ("RegistryRevisionCapacityExceeded", 0)
+        else:
+            s["said"].append(said)
+            total, got = total + 1, ("revised", now + 1)
+        out[r["n"]] = got
+    return out, known
+
+
+def _outcomes(df):
+    return {r["n"]: (r["outcome"], r["revision"]) for r in df.collect()}
+
+
+def test_registry_equals_one_program(spark):
+    asked = catalog.requests(spark, SF).collect()
+    want, known = registry_program(asked)
+    assert _outcomes(catalog.QUERIES["registry_lifecycle"](spark, SF)) == want
+    assert {"registered", "revised", "retired", "replayed", "SeriesNotFound", "SeriesRetired", "SeriesAlreadyRegistered", "StaleDeclarationRevision", "DeclarationUnchanged"} <= {o for o, _ in want.values()}
+    snap = {r["series"]: (r["revisions"], r["payload"], r["retired"]) for r in catalog.QUERIES["registry_snapshot"](spark, SF).collect()}
+    assert snap == {k: (len(s["said"]), s["said"][-1][0], s["end"] is not None) for k, s in known.items()}
+
+
+@pytest.mark.parametrize("series, revisions", [(90, 110), (20, 40), (40, 20), (30, 30), (0, 5), (5, 0), (10**6, 10**6)])
+def test_registry_capacity(spark, series, revisions):
+    requests = catalog.requests(spark, SF)
+    want, _ = registry_program(requests.collect(), series, revisions)
+    assert _outcomes(registry.run_within(requests, series, revisions)) == want
+
+
+def test_real_bits_come_in_order(spark):
+    bits = [r["bits"] for r in catalog.QUERIES["real_bits_order"](spark, SF).collect()]
+    assert bits == sorted(bits, key=lambda b: b % 2**64) and len(bits) == len(set(bits)) > 16
+
+
+def test_coalescing_of_nulls_and_ties(spark):
+    rows = [(1, 1, None, None, "a"), (1, 2, None, None, "a"), (1, 3, None, None, "b"), (1, 4, None, "k", None), (1, 5, None, "k", None), (2, 6, None, None, "b")]
+    s = spark.createDataFrame(rows, "store int, n int, scope string, key string, content string")
+    got = {r["n"]: (r["disposition"], r["receipt"]) for r in retry.coalesce(s, ["store"]).collect()}
+    assert got == {1: ("queued", 1), 2: ("coalesced", 1), 3: ("conflict", None), 4: ("queued", 4), 5: ("coalesced", 4), 6: ("queued", 6)}
+
+
 @pytest.mark.parametrize("limit", [0, 17, -1, True, 1.5])
 def test_limits_refused(spark, limit):
     with pytest.raises(ValueError):
