@@ -87,6 +87,12 @@ def admits(family: Column, kind: Column) -> Column:
     return (kind == family) | (kind == "unavailable")
 
 
+def real_bits(value: Column) -> Column:
+    """The bit pattern of a double as a long, NaN payloads kept; null stays null."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.coalesce(value, F.lit(0.0)))
+    return F.when(value.isNotNull(), bits.cast("long"))
+
+
 def real_order(bits: Column) -> Column:
     """Orders bit patterns of doubles as unsigned numbers."""
     return bits.bitwiseXOR(F.lit(-(2**63)))

@@ -116,6 +116,32 @@ def strict_prefix(older: Column, newer: Column) -> Column:
     return F.coalesce((n > 0) & (n < F.size(newer)) & same & (F.element_at(older, -1) < F.element_at(newer, -1)), F.lit(False))
 
 
+def audit_sealed(frames: DataFrame, cat: DataFrame) -> DataFrame:
+    """(generation, problem): the first thing wrong with each generation, null if it is sound.
+
+    frames: generation, seq, len, declared (boolean); cat: generation, floor, cutoff, bytes. Repeats are counted by sequence first, so no
+    task sees a whole generation."""
+    by_seq = frames.groupBy("generation", "seq").agg(F.count("*").alias("times"), F.sum("len").alias("len"), F.min("declared").alias("declared"))
+    found = by_seq.groupBy("generation").agg(
+        F.min("seq").alias("low"),
+        F.max("seq").alias("high"),
+        F.count("*").alias("present"),
+        F.max("times").alias("times"),
+        (F.sum("len") + HEADER_BYTES).alias("found_bytes"),
+        F.min("declared").alias("declared"),
+    )
+    problem = F.coalesce(
+        F.when(F.col("cutoff").isNull(), "Uncatalogued"),
+        F.when(F.col("low").isNull(), "NoFrames"),
+        F.when((F.col("low") <= F.col("floor")) | (F.col("high") > F.col("cutoff")), "OutsideRange"),
+        F.when(F.col("times") > 1, "RepeatedSequence"),
+        F.when(F.col("present") != F.col("cutoff") - F.col("floor"), "MissingSequence"),
+        F.when(F.col("found_bytes") != F.col("bytes"), "ByteMismatch"),
+        F.when(~F.col("declared"), "UndeclaredFrame"),
+    )
+    return cat.join(found, "generation", "full").select("generation", problem.alias("problem"))
+
+
 def covers(commits: DataFrame, cat: DataFrame) -> DataFrame:
     """Commits with the sealed generation that holds them: inside its range of sequences, and of offsets."""
     hit = (F.col("seq") > F.col("floor")) & (F.col("seq") <= F.col("cutoff")) & (F.col("end_offset") > HEADER_BYTES) & (F.col("end_offset") <= F.col("bytes"))

@@ -87,3 +87,10 @@ def run_submissions(submissions: DataFrame, replay: int, guard: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], schema.names)
 
     return submissions.repartition("store").sortWithinPartitions("store", "n").mapInArrow(run, schema)
+
+
+def transition_faults(submissions: DataFrame, claimed: DataFrame, replay: int, guard: int) -> DataFrame:
+    """(store, n): submissions whose claimed outcome (store, n, outcome, seq) isn't the one that the laws give, or is absent."""
+    c = claimed.select("store", "n", F.struct("outcome", "seq").alias("_claimed"))
+    real = run_submissions(submissions, replay, guard).withColumn("_real", F.struct("outcome", "seq"))
+    return real.join(c, ["store", "n"], "left").where(~F.col("_real").eqNullSafe(F.col("_claimed"))).select("store", "n")

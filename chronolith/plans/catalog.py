@@ -433,6 +433,11 @@ def unique_evidence(spark, d):
     return o.select("seq", validation.unique_ids(F.col("ids")).alias("unique_ids"))
 
 
+@query("SELECT event_id, CAST(CAST(value AS BIT) AS BIGINT) AS bits FROM events")
+def value_bits(spark, d):
+    return model.table(spark, d, "events").select("event_id", S.real_bits(F.col("value")).alias("bits"))
+
+
 @query("SELECT bits, value_class FROM (SELECT DISTINCT (event_id % 1000 - 500) * 18000000000000000 AS bits, CASE WHEN event_id % 1000 < 500 THEN 'negative' ELSE 'positive' END AS value_class FROM events) ORDER BY xor(bits, CAST(-9223372036854775808 AS BIGINT))")
 def real_bits_order(spark, d):
     i = F.col("event_id") % 1000
@@ -501,6 +506,23 @@ def _claims(spark, d):
 def declaration_resolve(spark, d):
     return lookups.resolve(_claims(spark, d).drop("payload"), _declarations(spark, d)).select("seq", "series", "revision", "payload")
 
+@query(f"""WITH f AS (SELECT seq, series, len, (seq - 1) // 50 + 1 AS g, CASE WHEN seq % 160 = 1 THEN 2 ELSE 1 END AS revision FROM {FRAMES}),
+c AS (SELECT g, min(seq) - 1 AS lo, max(seq) - CASE WHEN g % 7 = 1 THEN 1 ELSE 0 END AS hi, 28 + sum(len) + CASE WHEN g % 7 = 2 THEN 1 ELSE 0 END AS bytes FROM f GROUP BY g HAVING g % 7 <> 5),
+p AS (SELECT * FROM f WHERE NOT (g % 7 = 3 AND seq % 50 = 10) UNION ALL SELECT * FROM f WHERE g % 7 = 4 AND seq % 50 = 20),
+a AS (SELECT g, min(seq) AS low, max(seq) AS high, count(*) AS n, count(DISTINCT seq) AS nd, 28 + sum(len) AS bytes, bool_or(d.series IS NULL) AS undeclared FROM p LEFT JOIN {DECLARATIONS} d USING (series, revision) GROUP BY g)
+SELECT coalesce(c.g, a.g) AS generation, CASE WHEN c.g IS NULL THEN 'Uncatalogued' WHEN low <= lo OR high > hi THEN 'OutsideRange' WHEN n > nd THEN 'RepeatedSequence' WHEN nd <> hi - lo THEN 'MissingSequence' WHEN a.bytes <> c.bytes THEN 'ByteMismatch' WHEN undeclared THEN 'UndeclaredFrame' END AS problem FROM c FULL JOIN a ON a.g = c.g""")
+def sealed_audit(spark, d):
+    g, seq = F.col("generation"), F.col("seq")
+    f = generations.rotate_by_count(model.sized_frames(spark, d), 50)
+    claimed = generations.catalog(f, []).where(g % 7 != 5)
+    claimed = claimed.withColumns({"cutoff": F.col("cutoff") - (g % 7 == 1).cast("int"), "bytes": F.col("bytes") + (g % 7 == 2).cast("int")})
+    stored = f.where(~((g % 7 == 3) & (seq % 50 == 10))).unionByName(f.where((g % 7 == 4) & (seq % 50 == 20)))
+    stored = stored.withColumn("revision", F.when(seq % 160 == 1, 2).otherwise(1))
+    known = _declarations(spark, d).select("series", "revision", F.lit(True).alias("declared"))
+    stored = stored.join(known, ["series", "revision"], "left").withColumn("declared", F.coalesce("declared", F.lit(False)))
+    return generations.audit_sealed(stored.select("generation", "seq", "len", "declared"), claimed)
+
+
 @query(f"SELECT CASE WHEN n_obs > 0 THEN 'observed' ELSE 'no_change' END AS kind, count(*) AS frames, CAST(sum(n_obs) AS BIGINT) AS observations FROM {FRAMES} GROUP BY 1")
 def evidence_kinds(spark, d):
     return admission.by_kind(model.sized_frames(spark, d)).select("kind", "frames", "observations")
@@ -604,6 +626,14 @@ def coalesced_submissions(spark, d):
     return retry.coalesce(s, ["store", "batch"]).select("n", "disposition", "receipt")
 
 
+@query()
+def transition_check(spark, d):
+    """Claimed outcomes of which some are wrong and some absent."""
+    s = submissions(spark, d)
+    claimed = retry.run_submissions(s, 12, 12).where("n % 103 <> 0").withColumn("seq", F.col("seq") + (F.col("n") % 101 == 0).cast("int"))
+    return retry.transition_faults(s, claimed, 12, 12)
+
+
 @query()
 def retry_script(spark, d):
     return retry.run_submissions(submissions(spark, d), 12, 12)

@@ -122,6 +122,23 @@ def test_real_bits_come_in_order(spark):
     assert bits == sorted(bits, key=lambda b: b % 2**64) and len(bits) == len(set(bits)) > 16
 
 
+def test_real_bits(spark):
+    import struct
+
+    from chronolith.functions import scalars
+
+    values = [0.0, -0.0, 1.5, -2.25, float("inf"), float("-inf"), float("nan"), 5e-324, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r["bits"] for r in df.select(scalars.real_bits(F.col("v")).alias("bits")).collect()]
+    assert got == [None if v is None else struct.unpack("<q", struct.pack("<d", v))[0] for v in values]
+
+
+def test_transition_faults(spark):
+    n = {r["n"] for r in catalog.submissions(spark, SF).collect()}
+    got = [r["n"] for r in catalog.QUERIES["transition_check"](spark, SF).collect()]
+    assert sorted(got) == sorted(k for k in n if k % 103 == 0 or k % 101 == 0) and got
+
+
 def test_coalescing_of_nulls_and_ties(spark):
     rows = [(1, 1, None, None, "a"), (1, 2, None, None, "a"), (1, 3, None, None, "b"), (1, 4, None, "k", None), (1, 5, None, "k", None), (2, 6, None, None, "b")]
     s = spark.createDataFrame(rows, "store int, n int, scope string, key string, content string")
