@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpointed, numbered
-from .graph import components
+from .graph import Forest, components
 from .simhash import shingle_hashes
 
 SURE, HOPELESS, FIRST_WORD = 4.5, 4.0, 22
@@ -116,21 +116,6 @@ def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return common >= least * (small + large - common)
 
 
-class _Forest(dict):
-    """Which trees names are in."""
-
-    def find(self, c: int) -> int:
-        while self.setdefault(c, c) != c:
-            self[c] = self[self[c]]
-            c = self[c]
-        return c
-
-    def join(self, a: int, b: int) -> bool:
-        x, y = self.find(a), self.find(b)
-        self[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _close(groups: np.ndarray, sigs: np.ndarray, split: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, distance) of the rows of different groups that differ in `most` bits or fewer: those before `split` with those from it on
     (0: all with all)."""
@@ -147,7 +132,7 @@ def _close(groups: np.ndarray, sigs: np.ndarray, split: int, most: int) -> tuple
 
 def block_trees(nodes: np.ndarray, groups: np.ndarray, sigs: np.ndarray, split: int, most: int) -> list[tuple[int, int]]:
     """Pairs of nodes that are close and of different groups, as a forest over nodes."""
-    forest = _Forest()
+    forest = Forest()
     i, j, _ = _close(groups, sigs, split, most)
     return [(a, b) for a, b in zip(nodes[i].tolist(), nodes[j].tolist()) if forest.join(a, b)]
 
@@ -156,7 +141,7 @@ def block_merges(comps: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], sp
     """Pairs of components that links join, as a forest. Pairs are tried from the closest on, and only between different trees."""
     i, j, d = _close(comps, sigs, split, hopeless)
     order = np.argsort(d, kind="stable")
-    forest, out = _Forest(), []
+    forest, out = Forest(), []
     for a, b, x in zip(i[order].tolist(), j[order].tolist(), d[order].tolist()):
         p, q = forest.find(int(comps[a])), forest.find(int(comps[b]))
         if p != q and (x <= sure or similar(sets[a], sets[b], least)):

@@ -37,6 +37,25 @@ def test_components(spark, shape):
     assert got == _components(ids, [x for x in links if x[0] != x[1]])
 
 
+@pytest.mark.parametrize("shape", ["path", "hub", "random"])
+def test_components_over_several_tasks(spark, monkeypatch, shape):
+    rng = random.Random(5)
+    links = {"path": [(k + 1, k) for k in range(40)], "hub": [(0, k) for k in range(1, 60)] + [(-7, 59)], "random": [(rng.randrange(200), rng.randrange(200)) for _ in range(110)]}[shape]
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 8)
+    rows = [tuple(r) for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()]
+    ids = {x for a, b in links for x in (a, b) if a != b}
+    assert len(rows) == len(ids) and dict(rows) == _components(ids, links)
+
+
+def test_components_of_one_task_take_no_rounds(spark):
+    edges = checkpointed(spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long"))
+    sc = spark.sparkContext
+    sc.setJobGroup("one-task", "components")
+    graph.components(edges)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("one-task")) <= 6
+
+
 def test_close_fingerprints_against_all_pairs(spark):
     rng = random.Random(7)
     fps = [rng.getrandbits(64) for _ in range(60)]
