@@ -1,5 +1,9 @@
 """State machines against small programs written independently of them, and stream against batch."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
@@ -170,6 +174,37 @@ def test_journal_tail_and_damage():
     assert journal.decode(b"") == ([], 0)
 
 
+def test_checksums_side_by_side(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(journal, "PIECE", 16)
+    parts = [rng.randbytes(n) for n in [0, 1, 3, 15, 16, 17, 31, 32, 33, 300, 0, 9]]
+    starts = [sum(map(len, parts[:k])) for k in range(len(parts))]
+    got = journal.crc32c_spans(np.frombuffer(b"".join(parts), np.uint8), starts, [len(p) for p in parts])
+    assert got.tolist() == [journal.crc32c(p) for p in parts]
+    data, bounds = journal.encode_all(list(range(5, 17)), parts)
+    frames = [journal.encode(k, p) for k, p in enumerate(parts, 5)]
+    assert data.tobytes() == b"".join(frames) and np.diff(bounds).tolist() == [len(f) for f in frames]
+    files = [b"", b"".join(frames), frames[0] + frames[1][:-1] + b"?", b"noise" * 9, frames[3] + frames[4] + b"tail"]
+    ends = [0, *np.cumsum([len(f) for f in files]).tolist()]
+    got = journal.decode_all(b"".join(files), ends)
+    assert [[s for _, s, _ in f] for f, _ in got] == [[], list(range(5, 17)), [5], [], [8, 9]]
+    assert [p for _, _, p in got[1][0]] == parts and [e for _, e in got] == [0, len(files[1]), len(frames[0]), 0, len(frames[3] + frames[4])]
+
+
+def test_scan_keeps_batches(spark):
+    """A batch of files comes back as one batch, not one a file."""
+    frames = journal.encode_frames(spark.range(1, 2001, 1, 1).selectExpr("id AS seq", "cast(id AS string) AS payload"))
+    files = frames.selectExpr("cast(seq AS string) AS path", "frame AS content").union(spark.sql("SELECT 'none', cast(NULL AS binary)")).coalesce(1)
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    found = [r["n"] for r in journal.scan(files).mapInArrow(rows, "n long").collect()]
+    assert sum(found) == 4001 and len(found) <= 4
+    assert {(r["seq"], bytes(r["payload"])) for r in journal.scan(files).where("seq IS NOT NULL").collect()} == {(k, str(k).encode()) for k in range(1, 2001)}
+
+
 def _as_submissions(spark):
     i = F.col("n")
     s = catalog.submissions(spark, SF)
