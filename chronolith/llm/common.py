@@ -12,6 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +40,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold about 4 MB, so that an executor and its Python workers hold some texts and not a whole file's.
+
+    A setting of the session, in force when rows are sent; where the session has a value of its own, it stays. Rows aren't cut."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns named by their place, which clash with no name that an operator uses; new names by the old ones."""
     names = {c: f"in{k}" for k, c in enumerate(docs.columns)}

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import blocks, bounded_ids, broadcast_if_small, checkpointed, crc_mod, table
+from .common import blocks, bounded_ids, broadcast_if_small, checkpointed, crc_mod, small_batches, table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -117,6 +118,7 @@ class LanguageModel:
 
 def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 600, most: int = 20_000, alpha: float = 0.05, seed: int = 11) -> LanguageModel:
     """Fit on at most `per_language` documents of each language and `most` in all; of repeated ids one text; prior: uniform."""
+    small_batches(docs.sparkSession)
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     known = docs.where(lang.isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), lang.alias("lang"), text.alias("text"))
     ids = bounded_ids(known, ["lang"], "id", per_language, most, seed)
@@ -133,21 +135,27 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
 
 
 def score_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """`id_col`, the columns in `keep`, lang_pred and score for each row of docs, in one narrow pass."""
+    """`id_col`, the columns in `keep`, lang_pred and score for each row of docs, in one narrow pass.
+
+    A text that is kept is sent to Python once."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.weights))
     held = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("lang_pred", "score")]
-    src = docs.select(*(F.col(c).alias(f"in{k}") for k, c in enumerate(held)), F.col(text_col).cast("string").alias("_text"))
+    own_text = [] if text_col in held and docs.schema[text_col].dataType == StringType() else [F.col(text_col).cast("string").alias("_text")]
+    at = len(held) if own_text else held.index(text_col)
+    src = docs.select(*(F.col(c).alias(f"in{k}") for k, c in enumerate(held)), *own_text)
     schema = src.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    width = len(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
         for batch in batches:
             found: list[tuple[str, float]] = []
-            for block in blocks(enumerate(t.as_py() for t in batch.column(batch.num_columns - 1)), BLOCK):
+            for block in blocks(enumerate(t.as_py() for t in batch.column(at)), BLOCK):
                 found += own.predict([t for _, t in block])
-            cols = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "lang_pred", "score"])
+            cols = [*batch.columns[:width], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:width], "lang_pred", "score"])
 
     return src.mapInArrow(run, schema).toDF(*held, "lang_pred", "score")
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, numbered
+from .common import broadcast_if_small, checkpointed, numbered, small_batches
 from .graph import Forest, components
 from .simhash import shingle_hashes
 
@@ -154,6 +154,7 @@ class _Search:
     """The steps of the module's text over one table of documents."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, recall: float, planned_rows: int | None, small_bytes: int):
+        small_batches(docs.sparkSession)
         text = F.col(text_col).cast("string")
         own = F.struct(F.col(id_col).isNull().alias("nil"), F.col(id_col).alias("id"), text_hash(text).alias("th"))
         self.src = docs.select(own.alias("id"), text.cast("binary").alias("_text"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, numbered, table
+from .common import broadcast_if_small, checkpointed, numbered, small_batches, table
 
 KEY_SETTING = "spark.chronolith.pii.key"
 TITLES = {"mr": "m", "mister": "m", "sir": "m", "herr": "m", "herrn": "m", "señor": "m", "sr": "m", "don": "m", "monsieur": "m", "mrs": "f", "ms": "f", "miss": "f", "madam": "f", "frau": "f", "señora": "f", "sra": "f", "señorita": "f", "doña": "f", "madame": "f", "mme": "f", "mlle": "f", "господин": "m", "госпожа": "f", "dr": "n", "prof": "n"}
@@ -417,6 +417,7 @@ def configured_key(spark: SparkSession) -> bytes:
 
 def replace_entities(docs: DataFrame, *, key: bytes, text_col: str = "text", count_col: str = "_n_entities") -> DataFrame:
     """docs with text_col rewritten, and a column count_col."""
+    small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c != count_col]
     plain, names = numbered(docs.select(*(F.col(f"`{c}`") for c in columns)))
     text = names[text_col]

@@ -1,8 +1,11 @@
 """The pipeline's stages against what their operators must keep."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from chronolith.llm.langid import BUCKETS, LanguageModel, score_languages
 
 
 def test_stages(spark):
@@ -124,3 +127,35 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
         with pytest.raises(ValueError):
             shared_folder(session(master, None))
+
+
+def test_batches_of_texts_are_small_and_hold_a_text_once(spark):
+    """A task's texts as one batch, and twice in the first stage, took an executor over 3000 MB."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    text = F.concat(F.lit("Write to "), F.col("id").cast("string"), F.lit("@example.org. "), F.expr("repeat('the cat sat on the mat ', 250)"))
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    mine = spark.conf.get(setting, None)
+    try:
+        for stage in (cp.language, cp.near_duplicates, cp.personal_data):
+            spark.conf.unset(setting)
+            out = stage(spark, docs, "")
+            seen = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in seen) == 3000 and max(r["bytes"] for r in seen) < 5 << 20, stage
+            if stage is not cp.near_duplicates:
+                assert out.count() == 3000
+            if stage is cp.language:
+                sent = spark.range(1).select(F.lit("x").alias("text"), F.lit(1).alias("doc_id"))
+                model = LanguageModel(["en"], np.zeros((BUCKETS + 1, 1), np.float32))
+                kept = score_languages(sent, model, keep=("text",))
+                assert "_text" not in kept._jdf.queryExecution().optimizedPlan().toString()
+                assert [tuple(r) for r in kept.collect()] == [tuple(r) for r in score_languages(sent.select("doc_id", F.col("text").cast("binary").alias("text")), model).select("doc_id", F.lit("x"), "lang_pred", "score").collect()]
+        spark.conf.set(setting, "8m")
+        cp.personal_data(spark, docs.limit(10), "")
+        assert spark.conf.get(setting) == "8m"
+    finally:
+        spark.conf.unset(setting) if mine is None else spark.conf.set(setting, mine)
