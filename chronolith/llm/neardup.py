@@ -11,7 +11,9 @@ Hot groups make no quadratic tables of pairs, and no pair that shares a variant
 2. Each member is compared with its class's hub by all bits. Those that share far more bits than strangers do, be it by a template, make
    a region.
 3. Classes, not members, emit their variants. A variant that several classes share is a bit mask of the flips that lead to them, so a
-   variant's group is one row of two numbers however hot it is. Hubs of classes that aren't of one region yet are compared, too.
+   variant's group is one row of two numbers however hot it is. A variant brings its class's region along, by a number that the
+   largest ones get, and a variant whose classes are all of one region is settled there, before it makes a row for a pair. Hubs of
+   classes that aren't of one region yet are compared, too.
 4. The members of a region are compared whole, by blocks of signatures, but for those that links which the bits prove have made one
    component: large components take blocks of their own. So are the members of classes and pairs of classes that aren't of one region.
    What comes close returns as trees, at most one edge for each member of a block.
@@ -36,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpointed, numbered, small_batches
@@ -47,6 +50,8 @@ SURE, HOPELESS, FIRST_WORD = 4.5, 4.0, 22
 REGION = 0.33
 #: Bits of the first word that may differ in it.
 REGION_WORD = 26
+#: Bits of a family's number at most; as many of the largest families as it can tell apart get one.
+FAMILY_BITS = 16
 #: Members and bytes of a block, about.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
 
@@ -97,6 +102,11 @@ def signature_words(tables: int, bits: int) -> int:
     return max(7, 1 + -(-tables * bits // 64))
 
 
+def family_bits(tables: int, bits: int) -> int:
+    """Bits of a family's number: what a ball leaves beside key and flip, and what a mask of flips leaves for it and its complement."""
+    return max(0, min(FAMILY_BITS, 57 - bits - (tables - 1).bit_length(), (62 - bits) // 2))
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
@@ -214,36 +224,74 @@ class _Search:
         members = self.crowd.join(families, "node", "left").groupBy("key")
         return self.kept(members.agg(F.min(family).alias("lo"), F.max(family).alias("hi")))
 
-    def state(self, classes: DataFrame, families: DataFrame) -> DataFrame:
+    def state(self, classes: DataFrame, families: DataFrame, spread: DataFrame) -> DataFrame:
         """classes with lo and hi: the smallest and largest family of each."""
-        own = classes.join(families.withColumnRenamed("node", "hub"), "hub", "left").join(self.small(self.spread(families)), "key", "left")
+        own = classes.join(families.withColumnRenamed("node", "hub"), "hub", "left").join(self.small(spread), "key", "left")
         family = F.coalesce("component", "hub")
         return own.withColumns({"lo": F.coalesce("lo", family), "hi": F.coalesce("hi", family)}).drop("component")
 
-    def meet(self, families: DataFrame) -> None:
-        """met: (k1, k2, hub, node, n, near) of classes that share a variant and aren't of one family: their hubs, members in all, and
-        whether the hubs may be alike. Pairs of single members that may not are settled and left out. Of variants with more than four
-        classes, the first meets the others, and wide holds them all: (variant, keys)."""
-        balls = self.classes.select("key", F.posexplode(self.flips).alias("at", "flip"))
-        balls = balls.select(F.expr("shiftleft(key ^ flip, 6) | at").alias("ball")).repartition(F.shiftright("ball", 6))  # one number a row
-        groups = balls.groupBy(F.shiftright("ball", 6).alias("variant")).agg(F.bit_or(F.expr("shiftleft(1L, cast(ball & 63 as int))")).alias("mask"))
-        groups = self.kept(groups.where(F.bit_count("mask") > 1))
+    def numbered(self, families: DataFrame, spread: DataFrame, width: int) -> DataFrame:
+        """(key, family): the classes whose members are all of one of the largest families, and its number, from 1 to 2^width - 1."""
+        order = F.desc("count"), F.col("component")
+        largest = families.groupBy("component").count().orderBy(*order).limit((1 << width) - 1)
+        largest = F.broadcast(self.kept(largest.select("component", F.row_number().over(W.orderBy(*order)).cast("long").alias("family"))))
+        nodes = self.small(self.kept(families.join(largest, "component").select(F.col("node").alias("hub"), "family")))
+        alone = self.classes.where("n = 1").join(nodes, "hub").select("key", "family")
+        several = spread.where("lo = hi").join(largest, F.col("lo") == F.col("component")).select("key", "family")
+        return self.kept(alone.union(several))
+
+    def shared(self, families: DataFrame, spread: DataFrame) -> DataFrame:
+        """(variant, mask) of the variants that several classes share, but for those whose classes are all of one numbered family.
+
+        A ball is one number: the family, the variant, and which flip leads to the class. What a group has of the families' bits, and of
+        their complements' bits, has nothing in common only where all are one family; without a number a class has all bits of both."""
+        tables_bits = self.bits + (self.tables - 1).bit_length()
+        width = family_bits(self.tables, self.bits)
+        classes = self.classes.select("key", F.lit(0).cast("long").alias("family"))
+        if width:
+            known = self.numbered(families, spread, width)
+            classes = self.classes.select("key").join(self.small(known), "key", "left").select("key", F.coalesce("family", F.lit(0).cast("long")).alias("family"))
+        balls = classes.select("key", "family", F.posexplode(self.flips).alias("at", "flip"))
+        balls = balls.select(F.expr(f"shiftleft(family, {6 + tables_bits}) | shiftleft(key ^ flip, 6) | at").alias("ball"))
+        variant = F.shiftright("ball", 6).bitwiseAND(F.lit((1 << tables_bits) - 1).cast("long"))
+        ones, flags = (1 << width) - 1, (1 << self.bits + 1) - 1
+        family = f"shiftright(ball, {6 + tables_bits})"
+        both = f"if({family} = 0, {ones << width | ones}L, {family} | shiftleft({family} ^ {ones}L, {width}))"
+        found = F.bit_or(F.expr(f"shiftleft(1L, cast(ball & 63 as int)) | shiftleft({both}, {self.bits + 1})")).alias("found")
+        groups = balls.repartition(variant).groupBy(variant.alias("variant")).agg(found)  # one number a row
+        apart = f"shiftright(found, {self.bits + 1}) & shiftright(found, {self.bits + 1 + width}) & {ones}L" if width else "1"
+        return self.kept(groups.where(f"bit_count(found & {flags}L) > 1 AND ({apart}) != 0").select("variant", F.expr(f"found & {flags}L").alias("mask")))
+
+    def class_pairs(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(k1, k2) of classes that share a variant, and wide: (variant, keys) of the variants with more than four classes. There the
+        first meets the others, and wide holds them all.
+
+        Two classes share two variants, in one of which the later one, by flips, is above the variant: that one makes the pair, or, where
+        it is wide, holds it. A class has at most bits + 1 variants, and a variant makes at most 1.5 rows for each of its classes."""
         # the flip of a mask's bit is half its value
-        two = groups.where("bit_count(mask) = 2").selectExpr("variant ^ shiftright(mask & -mask, 1) AS k1", "variant ^ shiftright(mask ^ (mask & -mask), 1) AS k2")
+        two = groups.where("bit_count(mask) = 2").selectExpr("variant ^ shiftright(mask & -mask, 1) AS k1", "variant ^ shiftright(mask ^ (mask & -mask), 1) AS k2", "variant")
+        two = two.where("k2 > variant").drop("variant")
         bit_set = F.filter(F.sequence(F.lit(0), F.lit(self.bits)), lambda i: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
         keys = F.transform(bit_set, lambda i: F.col("variant").bitwiseXOR(F.element_at(self.flips, i + 1)))
         more = groups.where("bit_count(mask) > 2").select("variant", keys.alias("keys"))
         firsts = F.posexplode(F.expr("slice(keys, 1, if(size(keys) > 4, 1, size(keys)))")).alias("at", "k1")
-        more_pairs = more.select("keys", firsts).select("k1", F.explode(F.expr("slice(keys, at + 2, size(keys))")).alias("k2"))
-        pairs = two.union(more_pairs).select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct()
-        state = self.state(self.classes, families).select("key", "hub", "w0", "n", "lo", "hi")
+        others = "filter(slice(keys, at + 2, size(keys)), k -> k > variant OR size(keys) > 4)"
+        more_pairs = more.select("variant", "keys", firsts).select("k1", F.explode(F.expr(others)).alias("k2"))
+        return two.union(more_pairs).select(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")), more.where("size(keys) > 4")
+
+    def meet(self, families: DataFrame) -> None:
+        """met: (k1, k2, hub, node, n, near) of classes that share a variant and aren't of one family: their hubs, members in all, and
+        whether the hubs may be alike. Pairs of single members that may not are settled and left out. wide: as class_pairs has it."""
+        spread = self.spread(families)
+        pairs, wide = self.class_pairs(self.shared(families, spread))
+        state = self.state(self.classes, families, spread).select("key", "hub", "w0", "n", "lo", "hi")
         c1, c2 = (state.toDF(f"k{k}", f"h{k}", f"w{k}", f"n{k}", f"lo{k}", f"hi{k}") for k in (1, 2))
         near = F.bit_count(F.col("w1").bitwiseXOR(F.col("w2"))) <= FIRST_WORD
         open_pair = (F.col("k2") == F.col("c2")) & F.expr("least(lo1, lo2) < greatest(hi1, hi2)") & (near | (F.col("n1") + F.col("n2") > 2))
-        met = pairs.join(c1, "k1").join(c2.withColumnRenamed("k2", "c2"), open_pair)
+        met = pairs.distinct().join(c1, "k1").join(c2.withColumnRenamed("k2", "c2"), open_pair)
         met = met.select("k1", "k2", F.col("h1").alias("hub"), F.col("h2").alias("node"), (F.col("n1") + F.col("n2")).alias("n"), near.alias("near"))
         self.met = self.kept(met)
-        self.wide = self.kept(more.where("size(keys) > 4"))
+        self.wide = self.kept(wide)
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """(a, b, d) of those pairs (a, b) of nodes that are of one region."""
@@ -292,12 +340,11 @@ class _Search:
         turns = split.select(F.col("key").alias("k1"), F.col("key").alias("k2")).union(unsettled(self.met.where("n > 2")))
         if not self.wide.isEmpty():
             each = self.wide.select("variant", F.explode("keys").alias("key")).join(self.classes, "key")
-            each = self.state(each, families)
-            groups = each.groupBy("variant").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("key", "hub"))).alias("m"))
+            each = self.state(each, families, spread)
+            groups = each.groupBy("variant").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("key", "lo", "hi"))).alias("m"))
             groups = groups.where("lo < hi").select("m", F.posexplode("m").alias("at", "x"))
-            groups = groups.select("x", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("y"))
-            pairs = groups.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2"), F.col("x.hub").alias("hub"), F.col("y.hub").alias("node"))
-            turns = turns.union(unsettled(pairs.distinct()))
+            others = "filter(slice(m, at + 2, size(m)), y -> least(x.lo, y.lo) < greatest(x.hi, y.hi))"
+            turns = turns.union(groups.select(F.col("x.key").alias("k1"), F.explode(F.expr(others)).alias("y")).select("k1", "y.key"))
         turns = self.kept(turns.distinct())
         if turns.isEmpty():
             return None

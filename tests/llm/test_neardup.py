@@ -145,3 +145,52 @@ def test_long_equal_and_short_texts(spark):
     got = neardup.near_duplicate_groups(docs).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, 3), (1, 1), (2, 1), (3, 3), (4, 1), (5, 3), (6, 6), (7, 6), (7, 6), (8, 8)]
     assert neardup.near_duplicate_groups(docs.limit(0)).count() == 0
+
+
+def _classes_that_meet(keys, bits):
+    """All pairs of keys of one table that share a variant, and how many classes each variant has."""
+    variants = {}
+    for k in keys:
+        for v in (k, *(k ^ 1 << b for b in range(bits))):
+            variants.setdefault(v, []).append(k)
+    pairs = {p for m in variants.values() for p in itertools.combinations(sorted(m), 2)}
+    return pairs, [len(m) for m in variants.values()]
+
+
+@pytest.mark.parametrize("width", [neardup.FAMILY_BITS, 1, 0])
+def test_a_hot_region_is_settled_before_its_classes_make_pairs(spark, monkeypatch, width):
+    monkeypatch.setattr(neardup, "FAMILY_BITS", width)
+    rng = random.Random(7)
+    base = [f"t{k}" for k in range(200)]
+    rows = [(k, " ".join(_changed(rng, base, rng.randrange(1, 9), "y"))) for k in range(300)]
+    rows += [(1000 + k, " ".join(_changed(rng, [f"u{c}" for c in range(60)], 4, "z"))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    s = neardup._Search(docs, "doc_id", "text", 5, 0.8, 0.97, None, 32 << 20)
+    s.sign()
+    s.classify()
+    member = {r["id"]["id"]: r["node"] for r in s.signed.collect()}
+    component = {member[k]: min(member[j] for j in range(300) if j % 40) for k in range(300) if k % 40}  # all but some of the hot ones
+    component |= {member[1000 + k]: min(member[1000 + j] for j in range(10)) for k in range(10)}
+    families = spark.createDataFrame(list(component.items()), "node long, component long")
+    spread = s.spread(families)
+    pairs, wide = s.class_pairs(s.shared(families, spread))
+    made, wide = [(r["k1"], r["k2"]) for r in pairs.collect()], [r["keys"] for r in wide.collect()]
+
+    groups = {}
+    for r in s.members.collect():
+        groups.setdefault(r["key"], set()).add(component.get(r["node"], r["node"]))
+    want, sizes = _classes_that_meet(groups, s.bits)
+    held = {p for m in wide for p in itertools.combinations(sorted(m), 2)}
+    assert set(made) <= want and held <= want
+    assert {(a, b) for a, b in want if len(groups[a] | groups[b]) > 1} <= set(made) | held  # none is lost
+    once = [p for p in made if p not in held]
+    assert len(once) == len(set(once))
+    before = sum(n * (n - 1) // 2 if n <= 4 else n - 1 for n in sizes)
+    assert len(made) < (0.5 if width else 0.9) * before and len(made) <= 1.5 * sum(n for n in sizes if n > 1)
+
+
+@pytest.mark.parametrize("n", [2, 10**5, 10**8, 10**10, 10**13])
+def test_family_numbers_fit_beside_variants_and_masks(n):
+    tables, bits = neardup.table_plan(n, 0.8, 0.97)
+    width = neardup.family_bits(tables, bits)
+    assert width >= 0 and (width == 0 or 6 + bits + (tables - 1).bit_length() + width <= 63) and bits + 1 + 2 * width <= 63
