@@ -231,14 +231,14 @@ class _Search:
         return own.withColumns({"lo": F.coalesce("lo", family), "hi": F.coalesce("hi", family)}).drop("component")
 
     def numbered(self, families: DataFrame, spread: DataFrame, width: int) -> DataFrame:
-        """(key, family): the classes whose members are all of one of the largest families, and its number, from 1 to 2^width - 1."""
+        """(key, family) of all classes: one of the largest families, by its number from 1 to 2^width - 1, if all members are of it, else 0."""
         order = F.desc("count"), F.col("component")
         largest = families.groupBy("component").count().orderBy(*order).limit((1 << width) - 1)
-        largest = F.broadcast(self.kept(largest.select("component", F.row_number().over(W.orderBy(*order)).cast("long").alias("family"))))
-        nodes = self.small(self.kept(families.join(largest, "component").select(F.col("node").alias("hub"), "family")))
-        alone = self.classes.where("n = 1").join(nodes, "hub").select("key", "family")
-        several = spread.where("lo = hi").join(largest, F.col("lo") == F.col("component")).select("key", "family")
-        return self.kept(alone.union(several))
+        largest = self.kept(largest.select("component", F.row_number().over(W.orderBy(*order)).cast("long").alias("family")))
+        nodes = self.small(self.kept(families.join(F.broadcast(largest), "component").select(F.col("node").alias("hub"), "family")))
+        mixed = self.small(self.kept(spread.where("lo < hi").select("key", F.lit(True).alias("mixed"))))
+        family = F.when(F.col("mixed").isNull(), F.col("family"))
+        return self.classes.join(nodes, "hub", "left").join(mixed, "key", "left").select("key", F.coalesce(family, F.lit(0).cast("long")).alias("family"))
 
     def shared(self, families: DataFrame, spread: DataFrame) -> DataFrame:
         """(variant, mask) of the variants that several classes share, but for those whose classes are all of one numbered family.
@@ -247,10 +247,7 @@ class _Search:
         their complements' bits, has nothing in common only where all are one family; without a number a class has all bits of both."""
         tables_bits = self.bits + (self.tables - 1).bit_length()
         width = family_bits(self.tables, self.bits)
-        classes = self.classes.select("key", F.lit(0).cast("long").alias("family"))
-        if width:
-            known = self.numbered(families, spread, width)
-            classes = self.classes.select("key").join(self.small(known), "key", "left").select("key", F.coalesce("family", F.lit(0).cast("long")).alias("family"))
+        classes = self.numbered(families, spread, width) if width else self.classes.select("key", F.lit(0).cast("long").alias("family"))
         balls = classes.select("key", "family", F.posexplode(self.flips).alias("at", "flip"))
         balls = balls.select(F.expr(f"shiftleft(family, {6 + tables_bits}) | shiftleft(key ^ flip, 6) | at").alias("ball"))
         variant = F.shiftright("ball", 6).bitwiseAND(F.lit((1 << tables_bits) - 1).cast("long"))
